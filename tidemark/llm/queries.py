@@ -1,0 +1,99 @@
+"""The pN_ queries of this subpackage: (spark, sf_dir) -> DataFrame, over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark import scratch
+from tidemark.functions.keys import canonical_ticker, community_key, current_rows, folded, table
+from tidemark.llm.cap import CapState, cap_share
+from tidemark.llm.lines import frequent_lines, remove_lines
+from tidemark.llm.nearest import nearest_in_time
+from tidemark.llm.topn import top_n
+
+#: Posts of one author on one ticker in one week that may stay, and the batches in which posts arrive.
+AUTHOR_LIMIT, ARRIVAL_BATCHES = 5, 3
+
+
+def ticker_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (post_id, canonical ticker)."""
+    return table(spark, sf_dir, "post_tickers").select("post_id", canonical_ticker("ticker").alias("ticker")).distinct()
+
+
+def _authored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = current_rows(table(spark, sf_dir, "posts"), "id", "collected_at", ["author_id", "created_at", "engagement", "collected_at"])
+    # A week runs from Saturday to Saturday; it is named by its Saturday.
+    saturday = F.date_sub(F.next_day(F.to_date("created_at"), "SAT"), 7)
+    posts = posts.select(F.col("id").alias("post_id"), folded("author_id").alias("author"), saturday.alias("week"), "engagement", "collected_at")
+    return ticker_pairs(spark, sf_dir).join(posts.where(F.col("author").isNotNull()), "post_id")
+
+
+def _capped(spark: SparkSession, sf_dir: str) -> CapState:
+    """Posts arrive in batches by collection time; each batch runs against the state of the earlier ones."""
+    rows = scratch.materialize(_authored(spark, sf_dir).withColumn("_tm_at", F.unix_micros(F.col("collected_at").cast("timestamp"))), "arrivals")
+    shares = [i / ARRIVAL_BATCHES for i in range(1, ARRIVAL_BATCHES)]
+    bounds = rows.select(F.percentile_approx("_tm_at", shares, 1000)).first()[0] or []
+    state = CapState(spark, ["author", "ticker", "week"], "post_id", "engagement", AUTHOR_LIMIT)
+    at, edges = F.coalesce(F.col("_tm_at"), F.lit(0)), [None, *sorted(set(bounds)), None]
+    for low, high in zip(edges, edges[1:]):
+        batch = rows
+        batch = batch if low is None else batch.where(at > low)
+        batch = batch if high is None else batch.where(at <= high)
+        state.apply(batch)
+    return state
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _capped(spark, sf_dir).displaced().select("post_id", "ticker").distinct()
+
+
+def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _capped(spark, sf_dir).kept().select("author", "ticker", F.date_format("week", "yyyy-MM-dd").alias("week"), "post_id", "place")
+
+
+def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of one author beyond a tenth of a ticker's posts."""
+    marked = cap_share(_authored(spark, sf_dir), ["ticker"], "author", "post_id", "engagement", 0.1)
+    return marked.where(~F.col("kept")).select("post_id", "ticker", F.col("place").cast("long").alias("place"))
+
+
+def _repeated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    posts = table(spark, sf_dir, "posts")
+    return posts, frequent_lines(posts, "id", community_key("community"), "body", min_docs=10)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repeated(spark, sf_dir)[1].select(F.col("id").alias("post_id"), F.col("line_no").cast("int").alias("line_no"))
+
+
+def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts, hits = _repeated(spark, sf_dir)
+    return remove_lines(posts.select("id", "collected_at", "body"), hits, "id", "body").select("id", "collected_at", "body")
+
+
+def usable_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (ticker, date) with a close that is not NULL, not NaN and above 0, and the time the bar stands at."""
+    bars = table(spark, sf_dir, "prices_daily").where(F.col("close").isNotNull() & ~F.isnan("close") & (F.col("close") > 0))
+    bars = bars.select(canonical_ticker("ticker").alias("ticker"), "date").distinct()
+    return bars.withColumn("bar_at", (F.col("date").cast("timestamp_ntz") + F.expr("INTERVAL 21 HOURS")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filings = table(spark, sf_dir, "sec_filings").where(F.col("accepted_at").isNotNull())
+    filings = filings.select("accession", canonical_ticker("ticker").alias("ticker"), "accepted_at").distinct()
+    pairs = nearest_in_time(filings, usable_bars(spark, sf_dir), "ticker", "accepted_at", "bar_at", 48 * 3600)
+    return pairs.where(F.col("matched").isNotNull()).select("accession", "ticker", F.date_format("matched.date", "yyyy-MM-dd").alias("bar_date")).distinct()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "weekly_signals")
+    monday = F.date_sub(F.next_day("week_start", "MON"), 7)
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"composite_{s}").alias("value")) for s in ("bull", "bear")]))
+    rows = rows.select(monday.alias("week"), canonical_ticker("ticker").alias("ticker"), sides.alias("s")).select("week", "ticker", "s.side", (F.col("s.value") + F.lit(0.0)).alias("value"))
+    best = rows.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("week", "side", "ticker").agg(F.max("value").alias("value"))
+    top = top_n(best, ["week", "side"], "value", "ticker", 10)
+    return top.select(F.date_format("week", "yyyy-MM-dd").alias("week_start"), "side", "ticker")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_share, p3_found, p3_cleaned, p4_found, p6_found)}
