@@ -10,6 +10,7 @@ from tidemark.functions.keys import canonical_ticker, community_key, current_row
 from tidemark.llm.cap import CapState, cap_share
 from tidemark.llm.lines import frequent_lines, remove_lines
 from tidemark.llm.nearest import nearest_in_time
+from tidemark.llm.neardup import near_duplicate_classes, near_duplicate_pairs
 from tidemark.llm.topn import top_n
 
 #: Posts of one author on one ticker in one week that may stay, and the batches in which posts arrive.
@@ -86,6 +87,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where(F.col("matched").isNotNull()).select("accession", "ticker", F.date_format("matched.date", "yyyy-MM-dd").alias("bar_date")).distinct()
 
 
+def post_text():
+    """Title, line break, body; NULL as empty."""
+    return F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit("")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_pairs(table(spark, sf_dir, "posts"), "id", post_text(), width=3, threshold=0.6)
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "posts"), "id", post_text(), width=3, threshold=0.6)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "weekly_signals")
     monday = F.date_sub(F.next_day("week_start", "MON"), 7)
@@ -96,4 +110,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.date_format("week", "yyyy-MM-dd").alias("week_start"), "side", "ticker")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_share, p3_found, p3_cleaned, p4_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_share, p3_found, p3_cleaned, p4_found, p5_found, p5_classes, p6_found)}
