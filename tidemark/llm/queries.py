@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import scratch
 from tidemark.functions.keys import canonical_ticker, community_key, current_rows, folded, table
 from tidemark.llm.cap import CapState, cap_share
+from tidemark.llm.leakage import leaked_paraphrases, leaked_runs
 from tidemark.llm.lines import frequent_lines, remove_lines
 from tidemark.llm.nearest import nearest_in_time
 from tidemark.llm.neardup import near_duplicate_classes, near_duplicate_pairs
@@ -110,4 +111,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.date_format("week", "yyyy-MM-dd").alias("week_start"), "side", "ticker")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_share, p3_found, p3_cleaned, p4_found, p5_found, p5_classes, p6_found)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = leaked_paraphrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return rows.select("doc_id", "item_id", "run", *[F.round(c, 4).alias(c) for c in ("cosine", "common", "answer")])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_share, p3_found, p3_cleaned, p4_found, p5_found, p5_classes, p6_found, p8_found, p8_paraphrases)}
