@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANKS = " \t\n\r\f\x0b\x85     　"
+BLANKS = " \t\n\r\f\x0b\x85\xa0\u2002\u2003\u2009\u202f\u3000"
 
 
 def canonical_ticker(c: Column | str) -> Column:
