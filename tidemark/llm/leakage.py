@@ -37,7 +37,7 @@ BLOCK_CELLS = 4_000_000
 SEED = 7
 _TERMS_PER_BLOCK = 1024
 _WORD = re.compile(r"[^\W_]+")
-_DROPPED = str.maketrans("", "", "­​")
+_DROPPED = str.maketrans("", "", "\xad\u200b")
 
 
 def word_list(text: str | None) -> list[str]:

@@ -12,6 +12,7 @@ from tidemark.llm.leakage import leaked_paraphrases, leaked_runs
 from tidemark.llm.lines import frequent_lines, remove_lines
 from tidemark.llm.nearest import nearest_in_time
 from tidemark.llm.neardup import near_duplicate_classes, near_duplicate_pairs
+from tidemark.llm.sentences import sentences
 from tidemark.llm.topn import top_n
 
 #: Posts of one author on one ticker in one week that may stay, and the batches in which posts arrive.
@@ -120,4 +121,12 @@ def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "item_id", "run", *[F.round(c, 4).alias(c) for c in ("cosine", "common", "answer")])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_share, p3_found, p3_cleaned, p4_found, p5_found, p5_classes, p6_found, p8_found, p8_paraphrases)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("sent_start", "sent_end")])
+
+
+def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "sent_no", "sentence")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_share, p3_found, p3_cleaned, p4_found, p5_found, p5_classes, p6_found, p8_found, p8_paraphrases, p9_found, p9_sentences)}
