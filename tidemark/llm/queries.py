@@ -12,6 +12,7 @@ from tidemark.llm.leakage import leaked_paraphrases, leaked_runs
 from tidemark.llm.lines import frequent_lines, remove_lines
 from tidemark.llm.nearest import nearest_in_time
 from tidemark.llm.neardup import near_duplicate_classes, near_duplicate_pairs
+from tidemark.llm.packing import pack, token_counts
 from tidemark.llm.sentences import sentences
 from tidemark.llm.topn import top_n
 
@@ -112,6 +113,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.date_format("week", "yyyy-MM-dd").alias("week_start"), "side", "ticker")
 
 
+#: Tokens per container.
+CAPACITY = 2048
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "tokens", CAPACITY)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: their number, the least possible number, and the share of room used."""
+    packed = p7_containers(spark, sf_dir)
+    per = packed.groupBy("container").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("containers"), F.max("t").cast("long").alias("fullest"), F.sum("n").cast("long").alias("pieces"), F.sum("t").cast("long").alias("tokens"), F.ceil(F.sum("t") / CAPACITY).alias("least_containers"), F.round(F.sum("t") / (F.count(F.lit(1)) * CAPACITY), 4).alias("used"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -129,4 +145,4 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "sent_no", "sentence")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_share, p3_found, p3_cleaned, p4_found, p5_found, p5_classes, p6_found, p8_found, p8_paraphrases, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_share, p3_found, p3_cleaned, p4_found, p5_found, p5_classes, p6_found, p7_containers, p7_fill, p8_found, p8_paraphrases, p9_found, p9_sentences)}
