@@ -165,6 +165,7 @@ def _bucket_pairs(entries: DataFrame) -> DataFrame:
     bucket = W.partitionBy("cell", "key")
     shared = entries.withColumn("n", F.count(F.lit(1)).over(bucket)).where(F.col("n") > 1)
     shared = shared.withColumn("i", ((F.row_number().over(bucket.orderBy("t")) - 1) / BLOCK).cast("int")).withColumn("last", F.ceil(F.col("n") / BLOCK).cast("int") - 1)
+    shared = scratch.materialize(shared, "shared")  # few rows; the join below reads them twice
     left = shared.select("cell", "key", F.col("t").alias("x"), F.col("i").alias("bi"), F.explode(F.sequence(F.col("i"), F.col("last"))).alias("bj"))
     right = shared.select("cell", "key", F.col("t").alias("y"), F.explode(F.sequence(F.lit(0), F.col("i"))).alias("bi"), F.col("i").alias("bj"))
     pairs = left.join(right, ["cell", "key", "bi", "bj"]).where(F.col("x") < F.col("y"))
