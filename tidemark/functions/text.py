@@ -8,10 +8,12 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -49,7 +51,7 @@ def _majority(bits: np.ndarray) -> int:
 
 
 def _simhash_of(digest):
-    @pandas_udf("long")
+    @pandas_udf(T.LongType())
     def simhash(shingles: pd.Series) -> pd.Series:
         out = []
         for runs in shingles:
@@ -180,7 +182,7 @@ def dotted_symbol(ticker: Column) -> Column:
     return F.translate(F.upper(ticker), "-", ".")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     """HTML entities as characters; there is no built-in for it."""
     return text.map(lambda t: None if t is None else html.unescape(t))

@@ -39,7 +39,7 @@ def summarise(ics: DataFrame, by: list[str]) -> DataFrame:
     """(by, mean_ic, t_stat, weeks, share_positive); t_stat is NULL for one week or constant values."""
     known = ics.where(F.col("ic").isNotNull())
     sd = F.stddev_samp("ic")
-    out = known.groupBy(*by).agg(F.avg("ic").alias("mean_ic"), sd.alias("_tm_sd"), F.count(F.lit(1)).alias("weeks"), F.avg((F.col("ic") > 0).cast("double")).alias("share_positive"))
+    out = known.groupBy(*by).agg(F.avg("ic").alias("mean_ic"), sd.alias("_tm_sd"), F.count(F.lit(1)).alias("weeks"), F.avg((F.col("ic") > 1e-12).cast("double")).alias("share_positive"))
     return out.select(*by, "mean_ic", F.when(F.col("_tm_sd") > 1e-12, F.col("mean_ic") / (F.col("_tm_sd") / F.sqrt("weeks"))).alias("t_stat"), "weeks", "share_positive")
 
 

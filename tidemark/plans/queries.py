@@ -1,13 +1,85 @@
-"""Registered queries of the core and their DuckDB SQL."""
+"""Registered queries of the core and their DuckDB SQL, both over the whole tables."""
 
 from __future__ import annotations
 
+from datetime import date, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import Week, friday_of, quarter_hours, week_start_of
+from tidemark.functions.extract import Rules, cashtags, extract_tickers
 from tidemark.functions.keys import canonical_ticker, current_rows, table
+from tidemark.functions.text import author_hash, clean_name, content_hash, describe_items, headline_key, name_keys, org_key, simple_sentences
+from tidemark.operators import evaluate, market, noise, read_api, scoring, signals, sinks
 from tidemark.operators.rolling import rolling_totals, spikes
 
+WEEK = Week.ending(date(2025, 5, 16))
+MODELS = ["secondpass", "lextone"]
+WEIGHTS = {"attention": 0.35, "sentiment": 0.35, "momentum": 0.15, "breadth": 0.15}
+POSTS = ["source", "community", "author_id", "author_age_days", "author_karma", "created_at", "collected_at", "title", "body", "url", "engagement", "content_hash"]
+SOCIAL = ["reddit", "stocktwits"]
+AUTHOR_RULES = {
+    "reddit": {"min_age_days": 30, "new_account_weight": 0.25, "min_karma": 100, "low_karma_weight": 0.5},
+    "stocktwits": {"min_age_days": 30, "new_account_weight": 0.25, "min_karma": 5, "low_karma_weight": 0.5},
+}
+BOTS = {"sources": SOCIAL, "max_posts": 40, "weight": 0.1}
+
+
+# -- tables in clean form ------------------------------------------------------------------------------------------
+
+
+def posts_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current rows of posts."""
+    return current_rows(table(spark, sf_dir, "posts"), "id", "collected_at", POSTS)
+
+
+def tickers_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per post and canonical ticker, with its highest confidence."""
+    rows = table(spark, sf_dir, "post_tickers").select("post_id", canonical_ticker("ticker").alias("ticker"), "match_type", "confidence")
+    best = rows.groupBy("post_id", "ticker").agg(F.max(F.struct(F.coalesce("confidence", F.lit(-1.0)).alias("c"), "match_type")).alias("m"))
+    return best.select("post_id", "ticker", "m.match_type", F.when(F.col("m.c") >= 0, F.col("m.c")).alias("confidence"))
+
+
+def scores_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "post_scores").select("post_id", canonical_ticker("ticker").alias("ticker"), "model", "label", "score", "scored_at")
+
+
+def bars_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One usable bar per canonical ticker and date: of several the one with the highest close, then volume."""
+    rows = table(spark, sf_dir, "prices_daily").where(F.col("close").isNotNull() & ~F.isnan("close") & (F.col("close") > 0))
+    best = rows.select(canonical_ticker("ticker").alias("ticker"), "date", "close", "volume").groupBy("ticker", "date").agg(F.max(F.struct("close", F.coalesce("volume", F.lit(-1)).alias("volume"))).alias("b"))
+    return best.select("ticker", "date", "b.close", F.when(F.col("b.volume") >= 0, F.col("b.volume")).alias("volume"))
+
+
+def signals_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per Monday and canonical ticker: of several the one with most mentions, then the highest composites."""
+    rows = table(spark, sf_dir, "weekly_signals").withColumn("week_start", F.date_sub(F.next_day("week_start", "MON"), 7)).withColumn("ticker", canonical_ticker("ticker"))
+    numbers = ["attention_z", "sentiment", "momentum", "breadth", "composite_bull", "composite_bear", "rel_volume", "ret_5d", "ret_30d"]
+    rows = rows.select("week_start", "ticker", "mentions", *[F.nanvl(c, F.lit(None)).alias(c) for c in numbers])
+    best = rows.groupBy("week_start", "ticker").agg(F.max(F.struct("mentions", "composite_bull", "composite_bear", *[c for c in numbers if not c.startswith("composite")])).alias("r"))
+    return best.select("week_start", "ticker", "r.*")
+
+
+def filings_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "sec_filings")
+    best = rows.groupBy("accession").agg(F.max(F.struct("fetched_at", "accepted_at", canonical_ticker("ticker").alias("ticker"), "form", "filing_date", "items", "url")).alias("r"))
+    return best.select("accession", "r.ticker", "r.form", "r.filing_date", "r.accepted_at", "r.items", "r.url")
+
+
+def mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of the week and the 30 days before with scores, day, block and the plain weight log(1 + engagement)."""
+    rows = signals.load_mentions(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), MODELS, signals.baseline_start(WEEK, 30), WEEK.end, 0.5)
+    weight = F.log1p(F.greatest(F.coalesce(F.col("engagement"), F.lit(0)), F.lit(0)).cast("double"))
+    return signals.with_days(rows, WEEK).withColumn("weight", weight)
+
+
+def _r(*names: str):
+    return [F.round(c, 6).alias(c) for c in names]
+
+
+# -- rolling totals ------------------------------------------------------------------------------------------------
+
 
 def mention_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (post, ticker) with the post's day and its current engagement, NULL and negative as 0."""
@@ -26,19 +98,256 @@ def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ticker", F.date_format("on_day", "yyyy-MM-dd").alias("on_day"), "sum_7", F.round("avg_7", 6).alias("avg_7"), "count_7", "sum_30", F.round("avg_30", 6).alias("avg_30"), "count_30")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_totals)}
+# -- signals -------------------------------------------------------------------------------------------------------
 
-TICKER = "replace(regexp_replace(upper(trim(ticker, ' \t\n\r')), '^\\$', ''), '-', '.')"
-ROLLING = f"""WITH posts_now AS (SELECT * FROM posts QUALIFY row_number() OVER (PARTITION BY id ORDER BY collected_at DESC, engagement DESC) = 1),
-pairs AS (SELECT DISTINCT post_id, {TICKER} AS ticker FROM post_tickers),
-daily AS (SELECT ticker, CAST(created_at AS DATE) AS d, sum(greatest(coalesce(engagement, 0), 0)) AS v, count(*) AS n FROM pairs JOIN posts_now ON id = post_id GROUP BY ALL),
-span AS (SELECT ticker, min(d) AS a, max(d) AS b FROM daily GROUP BY ticker),
-grid AS (SELECT ticker, a, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM span),
-filled AS (SELECT grid.ticker, a, grid.d, coalesce(v, 0) AS v, coalesce(n, 0) AS n FROM grid LEFT JOIN daily ON daily.ticker = grid.ticker AND daily.d = grid.d),
-totals AS (SELECT ticker, a, d, CAST(sum(v) OVER w7 AS BIGINT) AS sum_7, CAST(sum(n) OVER w7 AS BIGINT) AS count_7, CAST(sum(v) OVER w30 AS BIGINT) AS sum_30, CAST(sum(n) OVER w30 AS BIGINT) AS count_30 FROM filled
-  WINDOW w7 AS (PARTITION BY ticker ORDER BY d ROWS 6 PRECEDING), w30 AS (PARTITION BY ticker ORDER BY d ROWS 29 PRECEDING))"""
 
-ORACLE = {
-    "p2_found": f"{ROLLING} SELECT ticker, strftime(d, '%Y-%m-%d') AS on_day FROM totals WHERE d >= a + 29 AND count_30 >= 12 AND sum_7 * 30 > sum_30 * 21",
-    "p2_totals": f"{ROLLING} SELECT ticker, strftime(d, '%Y-%m-%d') AS on_day, sum_7, round(sum_7 / 7.0, 6) AS avg_7, count_7, sum_30, round(sum_30 / 30.0, 6) AS avg_30, count_30 FROM totals",
-}
+def mentions_effective_scores(spark, sf_dir):
+    rows = signals.load_mentions(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), MODELS, datetime(2025, 1, 1), datetime(2026, 1, 1), 0.5)
+    return rows.select("post_id", "ticker", "label", *_r("score"))
+
+
+def attention_z(spark, sf_dir):
+    return signals.attention(mention_rows(spark, sf_dir), 7, 30, 1.0, 10.0).select("ticker", *_r("attention_z"))
+
+
+def weekly_components(spark, sf_dir):
+    rows = signals.weekly_components(mention_rows(spark, sf_dir))
+    return rows.select("ticker", "mentions", "n_authors", *_r("attention_z", "sentiment", "sentiment_prev", "momentum", "breadth"))
+
+
+def composite_scores(spark, sf_dir):
+    rows = signals.composites(signals.weekly_components(mention_rows(spark, sf_dir)), [], WEIGHTS)
+    return rows.select("ticker", *_r("composite_bull", "composite_bear"))
+
+
+def heating_up(spark, sf_dir):
+    both = None
+    for side in ("bull", "bear"):
+        part = signals.ranked_list(signals_now(spark, sf_dir), side, 20, ["week_start"]).select(F.date_format("week_start", "yyyy-MM-dd").alias("week"), F.lit(side).alias("side"), "rank", "ticker")
+        both = part if both is None else both.unionByName(part)
+    return both
+
+
+# -- noise ---------------------------------------------------------------------------------------------------------
+
+
+def _mentions(spark, sf_dir):
+    return posts_now(spark, sf_dir).withColumnRenamed("id", "post_id").join(tickers_now(spark, sf_dir).select("post_id", "ticker"), "post_id").withColumn("block", F.datediff(F.lit(WEEK.friday), friday_of(F.col("created_at"))) / 7)
+
+
+def drop_reposts(spark, sf_dir):
+    return noise.drop_reposts(_mentions(spark, sf_dir)).select("post_id", "ticker")
+
+
+def drop_syndicated(spark, sf_dir):
+    return noise.drop_syndicated(_mentions(spark, sf_dir), ["news"]).select("post_id", "ticker")
+
+
+def drop_spam(spark, sf_dir):
+    return noise.drop_spam(posts_now(spark, sf_dir)).select("id")
+
+
+def headline_kinds(spark, sf_dir):
+    return posts_now(spark, sf_dir).where(F.col("title").isNotNull()).select("id", noise.headline_kind(F.col("title"), F.col("community")).alias("kind"))
+
+
+def author_weights(spark, sf_dir):
+    return noise.author_weights(_mentions(spark, sf_dir), AUTHOR_RULES, BOTS).select("post_id", "ticker", *_r("author_weight"))
+
+
+def cap_per_author(spark, sf_dir):
+    rows = _mentions(spark, sf_dir).withColumn("weight", F.coalesce(F.col("engagement"), F.lit(0)).cast("double"))
+    return noise.cap_per_author(rows, 5, "block", SOCIAL).select("post_id", "ticker")
+
+
+def post_weights(spark, sf_dir):
+    w = noise.post_weight(F.col("engagement"), F.col("source"), F.lit(1.0), F.lit(1.0), {"news": 10.0}, {"reddit": 1.0, "news": 0.5})
+    return posts_now(spark, sf_dir).select("id", F.round(w, 6).alias("weight"))
+
+
+def near_duplicate_posts(spark, sf_dir):
+    posts = posts_now(spark, sf_dir).select(F.col("id").alias("post_id"), "created_at", "title", "body")
+    return noise.near_duplicate_posts(posts)
+
+
+# -- text ----------------------------------------------------------------------------------------------------------
+
+
+def content_hashes(spark, sf_dir):
+    return posts_now(spark, sf_dir).select("id", content_hash(F.col("title"), F.col("body")).alias("content"), author_hash(F.col("author_id")).alias("author"))
+
+
+def headline_keys(spark, sf_dir):
+    return posts_now(spark, sf_dir).where(F.col("title").isNotNull()).select("id", headline_key(F.col("title"), unicode=False).alias("headline"))
+
+
+def company_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "ticker_universe")
+    return rows.select("ticker", clean_name(F.col("company_name")).alias("name"), org_key(F.col("company_name")).alias("org"), F.array_join(name_keys(F.col("company_name"), F.array().cast("array<string>")), "|").alias("keys"))
+
+
+def post_sentences(spark, sf_dir):
+    return posts_now(spark, sf_dir).where(F.col("body").isNotNull()).select("id", F.size(simple_sentences(F.col("body"))).alias("n"))
+
+
+def post_cashtags(spark, sf_dir):
+    return posts_now(spark, sf_dir).select("id", F.array_join(F.array_sort(cashtags(F.col("title"), F.col("body"))), ",").alias("symbols")).where(F.col("symbols") != "")
+
+
+def extracted_tickers(spark, sf_dir):
+    """Every post against the whole universe of tickers, which is dimension data."""
+    universe = frozenset(r.t for r in table(spark, sf_dir, "ticker_universe").select(canonical_ticker("ticker").alias("t")).distinct().collect())
+    return extract_tickers(posts_now(spark, sf_dir), Rules(universe, blocklist=frozenset({"ALL", "NOW", "FOR"})))
+
+
+# -- filings and market --------------------------------------------------------------------------------------------
+
+
+def filing_items(spark, sf_dir):
+    return filings_now(spark, sf_dir).select("accession", F.array_join(describe_items(F.col("items")), "; ").alias("described"))
+
+
+def filing_events(spark, sf_dir):
+    rows = filings_now(spark, sf_dir).withColumn("week", week_start_of(F.coalesce("accepted_at", F.col("filing_date").cast("timestamp_ntz"))))
+    out = market.event_labels(rows, ["ticker", "week"])
+    return out.select("ticker", F.date_format("week", "yyyy-MM-dd").alias("week"), "events", "red_flag")
+
+
+def session_context(spark, sf_dir):
+    return market.session_context(bars_now(spark, sf_dir), WEEK.friday).select("ticker", *_r("ret_5d", "ret_30d", "rel_volume", "updown_vol_ratio"))
+
+
+def dollar_volume(spark, sf_dir):
+    return market.mean_dollar_volume(bars_now(spark, sf_dir)).select("ticker", F.round("avg_dollar_volume", 2).alias("avg_dollar_volume"))
+
+
+def early_chatter(spark, sf_dir):
+    rows = market.early_chatter(signals_now(spark, sf_dir), ["week_start"])
+    flag = market.divergence(F.col("rel_volume"), F.col("ret_5d"), F.col("sentiment"))
+    return rows.select(F.date_format("week_start", "yyyy-MM-dd").alias("week"), "ticker", "early_chatter_flag", flag.alias("divergence"))
+
+
+def _panel(spark, sf_dir):
+    return market.return_panel(signals_now(spark, sf_dir), bars_now(spark, sf_dir))
+
+
+def return_panel(spark, sf_dir):
+    return _panel(spark, sf_dir).select(F.date_format("week_start", "yyyy-MM-dd").alias("week"), "ticker", *_r("ret_prior", "ret_same", "ret_next"))
+
+
+# -- evaluation ----------------------------------------------------------------------------------------------------
+
+
+def lead_lag(spark, sf_dir):
+    return evaluate.lead_lag(_panel(spark, sf_dir)).select("signal", "horizon", "weeks", *_r("mean_ic", "t_stat", "share_positive"))
+
+
+def quintile_spread(spark, sf_dir):
+    rows = evaluate.cumulative(evaluate.quintile_spread(_panel(spark, sf_dir), "composite_bull"), "week_start", "spread")
+    return rows.select(F.date_format("week_start", "yyyy-MM-dd").alias("week"), *_r("spread", "cumulative"))
+
+
+def hit_rate(spark, sf_dir):
+    return evaluate.hit_rate(_panel(spark, sf_dir), "composite_bull", 10, "bull", F.col("sentiment") > 0).select("picks", "hits", "weeks", *_r("hit_rate"))
+
+
+def added_signal(spark, sf_dir):
+    return evaluate.added_signal(_panel(spark, sf_dir)).select(*_r("mean_ic_base", "mean_ic_with"), "improves")
+
+
+def scorer_agreement(spark, sf_dir):
+    return evaluate.agreement(scores_now(spark, sf_dir), "lextone", "stocktwits_tag").select("pairs", "agree", "neutral", "opposite", *_r("accuracy", "accuracy_when_decisive"))
+
+
+# -- scoring -------------------------------------------------------------------------------------------------------
+
+
+def untagged_posts(spark, sf_dir):
+    return scoring.untagged_posts(posts_now(spark, sf_dir), tickers_now(spark, sf_dir)).select("id")
+
+
+def pending_pairs(spark, sf_dir):
+    return scoring.pairs_to_score(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), "secondpass").select("post_id", "ticker", "n_tickers")
+
+
+def second_pass_picks(spark, sf_dir):
+    return scoring.second_pass(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), "lextone", "secondpass", datetime(2025, 7, 1), limit=2000).select("post_id", "ticker", "top")
+
+
+def lexicon_scores(spark, sf_dir):
+    """Every pair the lexicon hasn't scored."""
+    return scoring.score_pending(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), scoring.LexiconScorer(), datetime(2025, 8, 1)).select("post_id", "ticker", "label", "score")
+
+
+# -- reading -------------------------------------------------------------------------------------------------------
+
+
+def _week(spark, sf_dir):
+    return read_api.week_mentions(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), WEEK, MODELS)
+
+
+def week_summary(spark, sf_dir):
+    return read_api.week_summary(_week(spark, sf_dir), ["ticker"]).select("ticker", "mentions", "posts", "authors", "pos", "neg", "neu", *_r("avg_score"))
+
+
+def community_breakdown(spark, sf_dir):
+    return read_api.community_breakdown(_week(spark, sf_dir)).select("source", "community", "posts", *_r("avg_score"))
+
+
+def top_posts(spark, sf_dir):
+    best = read_api.tracked_tickers(tickers_now(spark, sf_dir)).first()
+    return read_api.top_posts(_week(spark, sf_dir), best.ticker if best else "", 25).select("post_id", "engagement", "title")
+
+
+def daily_trend(spark, sf_dir):
+    best = read_api.tracked_tickers(tickers_now(spark, sf_dir)).first()
+    rows = read_api.daily_trend(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), bars_now(spark, sf_dir), best.ticker if best else "", date(2025, 4, 1), date(2025, 5, 31), MODELS)
+    return rows.select(F.date_format("on_day", "yyyy-MM-dd").alias("on_day"), "mentions", *_r("avg_score", "close"))
+
+
+def tracked_tickers(spark, sf_dir):
+    return read_api.tracked_tickers(tickers_now(spark, sf_dir))
+
+
+def ticker_picker(spark, sf_dir):
+    universe = table(spark, sf_dir, "ticker_universe").withColumn("ticker", canonical_ticker("ticker"))
+    return read_api.ticker_list(read_api.most_mentioned(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), datetime(2025, 6, 20), 50), universe, 100)
+
+
+def week_filings(spark, sf_dir):
+    return read_api.week_filings(filings_now(spark, sf_dir), WEEK, ["8-K", "8-K/A"]).select("accession", "ticker", "items")
+
+
+# -- writes, as the state they leave -------------------------------------------------------------------------------
+
+
+def upsert_posts_state(spark, sf_dir):
+    """The posts table after its rows collected before June were stored and the later ones upserted."""
+    rows = table(spark, sf_dir, "posts")
+    early = F.col("collected_at") < F.lit(datetime(2025, 6, 1)).cast("timestamp_ntz")
+    pick = lambda part: sinks.last_per_key(part, ["id"], F.col("collected_at"))
+    return sinks.merge_posts(pick(rows.where(early)), pick(rows.where(~early))).select("id", "engagement", F.unix_micros(F.col("collected_at").cast("timestamp")).alias("collected_us"))
+
+
+def insert_absent_state(spark, sf_dir):
+    rows = scores_now(spark, sf_dir)
+    old = rows.where(F.col("model") == "lextone").select("post_id", "ticker").distinct()
+    return sinks.absent_rows(old, rows.select("post_id", "ticker").distinct(), ["post_id", "ticker"])
+
+
+def stamps_grid(spark, sf_dir):
+    return spark.range(1).select(F.explode(quarter_hours(datetime(2025, 5, 9, 23, 7), datetime(2025, 5, 12, 1, 1))).alias("stamp"))
+
+
+def week_calendar(spark, sf_dir):
+    return posts_now(spark, sf_dir).select("id", F.date_format(friday_of(F.col("created_at")), "yyyy-MM-dd").alias("friday"), F.date_format(week_start_of(F.col("created_at")), "yyyy-MM-dd").alias("week_start"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_totals, mentions_effective_scores, attention_z, weekly_components, composite_scores, heating_up, drop_reposts, drop_syndicated, drop_spam, headline_kinds, author_weights, cap_per_author, post_weights, near_duplicate_posts,
+        content_hashes, headline_keys, company_names, post_sentences, post_cashtags, extracted_tickers, filing_items, filing_events, session_context, dollar_volume, early_chatter, return_panel, lead_lag, quintile_spread, hit_rate, added_signal,
+        scorer_agreement, untagged_posts, pending_pairs, second_pass_picks, lexicon_scores, week_summary, community_breakdown, top_posts, daily_trend, tracked_tickers, ticker_picker, week_filings, upsert_posts_state, insert_absent_state, stamps_grid, week_calendar,
+    )
+}
