@@ -157,4 +157,6 @@ def _drawn_class(room: Column, container: Column, supply: list[tuple[int, int]],
     # The classes that fit are those from some k on, since larger k are smaller items.
     before = F.coalesce(F.array_max(F.transform(F.filter(table, lambda x: x.k * room < capacity), lambda x: x.upto)), F.lit(0.0))
     target = before + F.pmod(F.xxhash64(container, F.lit("slot")), F.lit(1_000_000)) / 1_000_000 * (F.lit(total) - before)
-    return F.get(F.filter(table, lambda x: (x.upto > target) & (x.k * room >= capacity)), F.lit(0)).k
+    # Bound to a variable, or the target would be computed anew for every class.
+    drawn = F.transform(F.array(target), lambda t: F.get(F.filter(table, lambda x: (x.upto > t) & (x.k * room >= capacity)), F.lit(0)).k)
+    return F.get(drawn, F.lit(0))
