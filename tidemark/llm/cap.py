@@ -24,8 +24,8 @@ def ranking(df: DataFrame, score: str, ident: str) -> Column:
 class CapState:
     """Keeps the best ``limit`` records of each contributor group over any number of batches.
 
-    The state lies under ``path`` as one generation of rows per batch: ``fate=kept`` holds the complete top list of
-    every group the batch changed (``place`` = ``limit`` is the group's cutoff), ``fate=displaced`` logs the records
+    The state lies under ``path`` as one generation of rows per batch: those of fate "kept" hold the complete top list of
+    every group the batch changed (``place`` = ``limit`` is the group's cutoff), those of fate "displaced" log the records
     that came out. A group's latest generation is its state, so a batch rewrites only the groups it changes.
     Applying a batch again under its number replaces it.
 
@@ -101,7 +101,7 @@ class CapState:
         for part in parts:
             result = result.unionByName(part.withColumn("place", F.lit(None).cast("int")).withColumn("fate", F.lit("displaced")).select(*columns))
         number = len(self.generations)
-        result.write.mode("overwrite").partitionBy("fate").parquet(self._at(number))
+        result.write.mode("overwrite").parquet(self._at(number))
         self.generations.append(number)
 
 
