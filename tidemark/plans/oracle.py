@@ -72,12 +72,12 @@ _weight = "CASE WHEN source = 'reddit' AND author_age_days < 30 THEN 0.25 WHEN s
 
 ORACLE = {
     "p2_found": f"WITH {ROLLING} SELECT ticker, strftime(d, '%Y-%m-%d') AS on_day FROM totals WHERE d >= a + 29 AND count_30 >= 12 AND sum_7 * 30 > sum_30 * 21",
-    "p2_totals": f"WITH {ROLLING} SELECT ticker, strftime(d, '%Y-%m-%d') AS on_day, sum_7, round(sum_7 / 7.0, 6) AS avg_7, count_7, sum_30, round(sum_30 / 30.0, 6) AS avg_30, count_30 FROM totals",
-    "mentions_effective_scores": f"WITH {NOW}, {TICKERS}, {SCORES}, {EFFECTIVE} SELECT t.post_id, t.ticker, label, round(score, 6) AS score FROM posts_now p JOIN tickers_now t ON t.post_id = p.id LEFT JOIN effective e ON e.post_id = t.post_id AND e.ticker = t.ticker WHERE t.confidence >= 0.5 AND created_at >= TIMESTAMP '2025-01-01' AND created_at < TIMESTAMP '2026-01-01'",
-    "attention_z": f"WITH {ATTENTION} SELECT ticker, round(attention_z, 6) AS attention_z FROM att",
-    "weekly_components": f"WITH {COMPONENTS} SELECT ticker, mentions, n_authors, round(attention_z, 6) AS attention_z, round(sentiment, 6) AS sentiment, round(sentiment_prev, 6) AS sentiment_prev, round(momentum, 6) AS momentum, round(breadth, 6) AS breadth FROM components",
+    "p2_totals": f"WITH {ROLLING} SELECT ticker, strftime(d, '%Y-%m-%d') AS on_day, sum_7, round(sum_7 / 7.0, 9) AS avg_7, count_7, sum_30, round(sum_30 / 30.0, 9) AS avg_30, count_30 FROM totals",
+    "mentions_effective_scores": f"WITH {NOW}, {TICKERS}, {SCORES}, {EFFECTIVE} SELECT t.post_id, t.ticker, label, round(score, 9) AS score FROM posts_now p JOIN tickers_now t ON t.post_id = p.id LEFT JOIN effective e ON e.post_id = t.post_id AND e.ticker = t.ticker WHERE t.confidence >= 0.5 AND created_at >= TIMESTAMP '2025-01-01' AND created_at < TIMESTAMP '2026-01-01'",
+    "attention_z": f"WITH {ATTENTION} SELECT ticker, round(attention_z, 9) AS attention_z FROM att",
+    "weekly_components": f"WITH {COMPONENTS} SELECT ticker, mentions, n_authors, round(attention_z, 9) AS attention_z, round(sentiment, 9) AS sentiment, round(sentiment_prev, 9) AS sentiment_prev, round(momentum, 9) AS momentum, round(breadth, 9) AS breadth FROM components",
     "composite_scores": f"""WITH {COMPONENTS}, zs AS (SELECT ticker, {_z("attention_z")} AS a, {_z("sentiment")} AS s, {_z("momentum")} AS m, {_z("breadth")} AS b FROM components)
-        SELECT ticker, round(0.35 * a + 0.35 * s + 0.15 * m + 0.15 * b, 6) AS composite_bull, round(0.35 * a - 0.35 * s - 0.15 * m + 0.15 * b, 6) AS composite_bear FROM zs""",
+        SELECT ticker, round(0.35 * a + 0.35 * s + 0.15 * m + 0.15 * b, 9) AS composite_bull, round(0.35 * a - 0.35 * s - 0.15 * m + 0.15 * b, 9) AS composite_bear FROM zs""",
     "heating_up": f"""WITH {SIGNALS}, sides AS (SELECT week_start, ticker, 'bull' AS side, composite_bull AS v FROM signals_now WHERE attention_z > 0 AND sentiment > 0 UNION ALL SELECT week_start, ticker, 'bear', composite_bear FROM signals_now WHERE attention_z > 0 AND sentiment < 0)
         SELECT strftime(week_start, '%Y-%m-%d') AS week, side, CAST(row_number() OVER (PARTITION BY week_start, side ORDER BY v DESC NULLS LAST, ticker) AS INTEGER) AS rank, ticker FROM sides QUALIFY rank <= 20""",
     "drop_reposts": f"WITH {PM} SELECT id AS post_id, ticker FROM pm QUALIFY content_hash IS NULL OR id = first_value(id) OVER (PARTITION BY content_hash ORDER BY created_at, id)",
@@ -86,10 +86,10 @@ ORACLE = {
     "drop_spam": f"WITH {NOW}, t AS (SELECT id, coalesce(title, '') || ' ' || coalesce(body, '') AS t FROM posts_now) SELECT id FROM t WHERE NOT {_any(SPAM, 't')}",
     "headline_kinds": f"WITH {NOW}, h AS (SELECT id, community, title AS t FROM posts_now WHERE title IS NOT NULL) SELECT id, CASE WHEN {_release} THEN 'press_release' WHEN {_any(PROMO, 't')} THEN 'promo' WHEN {_any(PRICE_RECAP, 't')} AND NOT {_any(FORECAST, 't')} THEN 'price_recap' ELSE 'news' END AS kind FROM h",
     "author_weights": f"""WITH {PM}, busy AS (SELECT block, author_id FROM pm WHERE source IN ('reddit', 'stocktwits') AND author_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT id) > 40)
-        SELECT pm.id AS post_id, ticker, round(({_weight}) * CASE WHEN source IN ('reddit', 'stocktwits') AND busy.author_id IS NOT NULL THEN 0.1 ELSE 1 END, 6) AS author_weight FROM pm LEFT JOIN busy ON busy.block = pm.block AND busy.author_id = pm.author_id""",
+        SELECT pm.id AS post_id, ticker, round(({_weight}) * CASE WHEN source IN ('reddit', 'stocktwits') AND busy.author_id IS NOT NULL THEN 0.1 ELSE 1 END, 9) AS author_weight FROM pm LEFT JOIN busy ON busy.block = pm.block AND busy.author_id = pm.author_id""",
     "cap_per_author": f"""WITH {PM} SELECT id AS post_id, ticker FROM pm QUALIFY author_id IS NULL OR source NOT IN ('reddit', 'stocktwits')
         OR row_number() OVER (PARTITION BY block, ticker, author_id, source IN ('reddit', 'stocktwits') ORDER BY coalesce(engagement, 0) DESC, id) <= 5""",
-    "post_weights": f"WITH {NOW} SELECT id, round(ln(1 + greatest(greatest(coalesce(CAST(engagement AS DOUBLE), 0), 0), CASE WHEN source = 'news' THEN 10.0 ELSE 0 END)) * CASE WHEN source = 'news' THEN 0.5 ELSE 1.0 END, 6) AS weight FROM posts_now",
+    "post_weights": f"WITH {NOW} SELECT id, round(ln(1 + greatest(greatest(coalesce(CAST(engagement AS DOUBLE), 0), 0), CASE WHEN source = 'news' THEN 10.0 ELSE 0 END)) * CASE WHEN source = 'news' THEN 0.5 ELSE 1.0 END, 9) AS weight FROM posts_now",
     "content_hashes": f"WITH {NOW} SELECT id, sha256(trim(regexp_replace(lower(coalesce(title, '') || chr(10) || coalesce(body, '')), '[\\s\\x0b\\x{{85}}\\p{{Z}}]+', ' ', 'g'))) AS content, CASE WHEN coalesce(author_id, '') <> '' THEN substr(sha256(lower(author_id)), 1, 16) END AS author FROM posts_now",
     "headline_keys": f"WITH {NOW} SELECT id, nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '') AS headline FROM posts_now WHERE title IS NOT NULL",
     "company_names": f"""WITH b AS (SELECT ticker, company_name, trim(regexp_replace(regexp_replace(regexp_replace(company_name, {_words}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s&''-]', ' ', 'g'), '\\s+', ' ', 'g')) AS bare,
@@ -105,39 +105,39 @@ ORACLE = {
     "session_context": f"""WITH {BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back, close - lag(close) OVER (PARTITION BY ticker ORDER BY date) AS change FROM bars WHERE date <= DATE '2025-05-16'),
         a AS (SELECT ticker, max(close) FILTER (WHERE back = 1) AS c0, max(close) FILTER (WHERE back = 6) AS cs, max(close) FILTER (WHERE back = 22) AS cl, avg(volume) FILTER (WHERE date >= DATE '2025-05-10') AS v, avg(volume) FILTER (WHERE date < DATE '2025-05-10' AND date >= DATE '2025-04-10') AS b,
           sum(volume) FILTER (WHERE date >= DATE '2025-05-10' AND change > 0) AS up, sum(volume) FILTER (WHERE date >= DATE '2025-05-10' AND change < 0) AS down FROM k GROUP BY ticker)
-        SELECT ticker, round(c0 / cs - 1, 6) AS ret_5d, round(c0 / cl - 1, 6) AS ret_30d, round(CASE WHEN b > 0 THEN v / b END, 6) AS rel_volume, round(CASE WHEN down > 0 THEN coalesce(up, 0) / CAST(down AS DOUBLE) END, 6) AS updown_vol_ratio FROM a""",
+        SELECT ticker, round(c0 / cs - 1, 9) AS ret_5d, round(c0 / cl - 1, 9) AS ret_30d, round(CASE WHEN b > 0 THEN v / b END, 9) AS rel_volume, round(CASE WHEN down > 0 THEN coalesce(up, 0) / CAST(down AS DOUBLE) END, 9) AS updown_vol_ratio FROM a""",
     "dollar_volume": f"WITH {BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM bars) SELECT ticker, round(avg(close * volume), 2) AS avg_dollar_volume FROM k WHERE back <= 30 GROUP BY ticker HAVING avg(close * volume) > 0",
     "early_chatter": f"""WITH {SIGNALS}, k AS (SELECT *, greatest(1, ceil(count(*) OVER (PARTITION BY week_start) * (1 - CAST(0.9 AS DOUBLE)))) AS n, row_number() OVER (PARTITION BY week_start ORDER BY composite_bull DESC NULLS LAST, ticker) AS b, row_number() OVER (PARTITION BY week_start ORDER BY composite_bear DESC NULLS LAST, ticker) AS s FROM signals_now)
         SELECT strftime(week_start, '%Y-%m-%d') AS week, ticker, coalesce((b <= n OR s <= n) AND abs(ret_5d) < 0.03 AND rel_volume > 1.2, false) AS early_chatter_flag, coalesce(rel_volume > 1.2 AND ret_5d < -0.02 AND sentiment > 0, false) AS divergence FROM k""",
-    "return_panel": f"WITH {PANEL} SELECT strftime(week_start, '%Y-%m-%d') AS week, ticker, round(ret_prior, 6) AS ret_prior, round(ret_same, 6) AS ret_same, round(ret_next, 6) AS ret_next FROM panel",
+    "return_panel": f"WITH {PANEL} SELECT strftime(week_start, '%Y-%m-%d') AS week, ticker, round(ret_prior, 9) AS ret_prior, round(ret_same, 9) AS ret_same, round(ret_next, 9) AS ret_next FROM panel",
     "lead_lag": f"""WITH {PANEL}, long AS (SELECT week_start, s.signal, h.horizon, CASE s.signal WHEN 'sentiment' THEN sentiment WHEN 'momentum' THEN momentum WHEN 'attention_z' THEN attention_z WHEN 'composite_bull' THEN composite_bull ELSE composite_bear END AS x, CASE h.horizon WHEN 'ret_prior' THEN ret_prior WHEN 'ret_same' THEN ret_same ELSE ret_next END AS y
           FROM panel, (SELECT unnest(['sentiment', 'momentum', 'attention_z', 'composite_bull', 'composite_bear']) AS signal) s, (SELECT unnest(['ret_prior', 'ret_same', 'ret_next']) AS horizon) h), {SPEAR.format(by="week_start, signal, horizon")}
-        SELECT signal, horizon, count(*) AS weeks, round(avg(ic), 6) AS mean_ic, round(CASE WHEN stddev_samp(ic) > 1e-12 THEN avg(ic) / (stddev_samp(ic) / sqrt(count(*))) END, 6) AS t_stat, round(avg(CAST(ic > 1e-12 AS INTEGER)), 6) AS share_positive FROM ics WHERE ic IS NOT NULL GROUP BY ALL""",
+        SELECT signal, horizon, count(*) AS weeks, round(avg(ic), 9) AS mean_ic, round(CASE WHEN stddev_samp(ic) > 1e-12 THEN avg(ic) / (stddev_samp(ic) / sqrt(count(*))) END, 9) AS t_stat, round(avg(CAST(ic > 1e-12 AS INTEGER)), 9) AS share_positive FROM ics WHERE ic IS NOT NULL GROUP BY ALL""",
     "quintile_spread": f"""WITH {PANEL}, k AS (SELECT week_start, ret_next AS y, count(*) OVER (PARTITION BY week_start) AS n, row_number() OVER (PARTITION BY week_start ORDER BY composite_bull, ticker) AS r FROM panel WHERE composite_bull IS NOT NULL AND ret_next IS NOT NULL),
         b AS (SELECT week_start, y, greatest(((r - 1) * 5 + n - 2) // greatest(n - 1, 1), 1) - 1 AS b FROM k WHERE n >= 5), s AS (SELECT week_start, avg(y) FILTER (WHERE b = 4) - avg(y) FILTER (WHERE b = 0) AS spread FROM b GROUP BY week_start)
-        SELECT strftime(week_start, '%Y-%m-%d') AS week, round(spread, 6) AS spread, round(product(1 + spread) OVER (ORDER BY week_start ROWS UNBOUNDED PRECEDING) - 1, 6) AS cumulative FROM s""",
+        SELECT strftime(week_start, '%Y-%m-%d') AS week, round(spread, 9) AS spread, round(product(1 + spread) OVER (ORDER BY week_start ROWS UNBOUNDED PRECEDING) - 1, 9) AS cumulative FROM s""",
     "hit_rate": f"""WITH {PANEL}, r AS (SELECT * FROM panel WHERE ret_next IS NOT NULL), m AS (SELECT week_start, median(ret_next) AS m FROM r GROUP BY week_start),
         c AS (SELECT * FROM r WHERE sentiment > 0 AND composite_bull IS NOT NULL QUALIFY row_number() OVER (PARTITION BY week_start ORDER BY composite_bull DESC, ticker) <= 10)
-        SELECT count(*) AS picks, count(*) FILTER (WHERE ret_next > m) AS hits, count(DISTINCT week_start) AS weeks, round(count(*) FILTER (WHERE ret_next > m) / nullif(count(*), 0), 6) AS hit_rate FROM c JOIN m USING (week_start)""",
+        SELECT count(*) AS picks, count(*) FILTER (WHERE ret_next > m) AS hits, count(DISTINCT week_start) AS weeks, round(count(*) FILTER (WHERE ret_next > m) / nullif(count(*), 0), 9) AS hit_rate FROM c JOIN m USING (week_start)""",
     "added_signal": f"""WITH {PANEL}, k AS (SELECT week_start, composite_bull AS a, rel_volume AS e, ret_next AS y FROM panel WHERE composite_bull IS NOT NULL AND rel_volume IS NOT NULL AND ret_next IS NOT NULL),
         z AS (SELECT *, a + 0.15 * CASE WHEN count(*) OVER w < 2 OR stddev_pop(e) OVER w < 1e-12 THEN 0 ELSE (e - avg(e) OVER w) / stddev_pop(e) OVER w END AS b FROM k WINDOW w AS (PARTITION BY week_start)),
         long AS (SELECT week_start, 'a' AS kind, a AS x, y FROM z UNION ALL SELECT week_start, 'b', b, y FROM z), {SPEAR.format(by="week_start, kind")}
-        SELECT round(avg(ic) FILTER (WHERE kind = 'a'), 6) AS mean_ic_base, round(avg(ic) FILTER (WHERE kind = 'b'), 6) AS mean_ic_with, avg(ic) FILTER (WHERE kind = 'b') > avg(ic) FILTER (WHERE kind = 'a') AS improves FROM ics""",
+        SELECT round(avg(ic) FILTER (WHERE kind = 'a'), 9) AS mean_ic_base, round(avg(ic) FILTER (WHERE kind = 'b'), 9) AS mean_ic_with, avg(ic) FILTER (WHERE kind = 'b') > avg(ic) FILTER (WHERE kind = 'a') AS improves FROM ics""",
     "scorer_agreement": f"""WITH {SCORES}, l AS (SELECT * FROM scores_now WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY post_id, ticker, model ORDER BY scored_at DESC, score DESC) = 1),
         b AS (SELECT t.score AS t, m.score AS m FROM l t JOIN l m ON m.post_id = t.post_id AND m.ticker = t.ticker WHERE t.model = 'stocktwits_tag' AND m.model = 'lextone'),
         c AS (SELECT count(*) AS pairs, count(*) FILTER (WHERE abs(m) > 0.1 AND sign(m) = sign(t)) AS agree, count(*) FILTER (WHERE abs(m) <= 0.1) AS neutral, count(*) FILTER (WHERE abs(m) > 0.1 AND sign(m) <> sign(t)) AS opposite FROM b)
-        SELECT pairs, agree, neutral, opposite, round(agree / nullif(pairs, 0), 6) AS accuracy, round(agree / nullif(agree + opposite, 0), 6) AS accuracy_when_decisive FROM c""",
+        SELECT pairs, agree, neutral, opposite, round(agree / nullif(pairs, 0), 9) AS accuracy, round(agree / nullif(agree + opposite, 0), 9) AS accuracy_when_decisive FROM c""",
     "untagged_posts": f"WITH {NOW}, {TYPED} SELECT id FROM posts_now p WHERE NOT EXISTS (SELECT 1 FROM typed t WHERE t.post_id = p.id AND t.match_type <> 'source')",
     "pending_pairs": f"WITH {NOW}, {TICKERS}, {SCORES}, todo AS (SELECT post_id, ticker FROM tickers_now t WHERE NOT EXISTS (SELECT 1 FROM scores_now s WHERE s.model = 'secondpass' AND s.post_id = t.post_id AND s.ticker = t.ticker)) SELECT post_id, ticker, count(*) OVER (PARTITION BY post_id) AS n_tickers FROM todo WHERE post_id IN (SELECT id FROM posts_now)",
     "second_pass_picks": f"""WITH {NOW}, {TICKERS}, {SCORES}, base AS (SELECT * FROM scores_now WHERE model = 'lextone' AND score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY post_id, ticker ORDER BY scored_at DESC, score DESC) = 1),
         k AS (SELECT p.id AS post_id, t.ticker, p.engagement, b.score, row_number() OVER (PARTITION BY t.ticker, date_trunc('week', p.created_at) ORDER BY p.engagement DESC NULLS LAST, p.id) <= 5 AS top FROM posts_now p JOIN tickers_now t ON t.post_id = p.id JOIN base b ON b.post_id = p.id AND b.ticker = t.ticker WHERE p.created_at >= TIMESTAMP '2025-06-17')
         SELECT post_id, ticker, top FROM k WHERE (top OR abs(score) < 0.3) AND NOT EXISTS (SELECT 1 FROM scores_now s WHERE s.model = 'secondpass' AND s.post_id = k.post_id AND s.ticker = k.ticker) ORDER BY top DESC, engagement DESC NULLS LAST, post_id, ticker LIMIT 2000""",
-    "week_summary": f"WITH {WEEKM} SELECT ticker, count(*) AS mentions, count(DISTINCT id) AS posts, count(DISTINCT author_id) AS authors, count(*) FILTER (WHERE label = 'pos') AS pos, count(*) FILTER (WHERE label = 'neg') AS neg, count(*) FILTER (WHERE label = 'neu') AS neu, round(avg(score), 6) AS avg_score FROM wm GROUP BY ticker",
-    "community_breakdown": f"WITH {WEEKM} SELECT source, community, count(*) AS posts, round(avg(score), 6) AS avg_score FROM wm GROUP BY ALL",
+    "week_summary": f"WITH {WEEKM} SELECT ticker, count(*) AS mentions, count(DISTINCT id) AS posts, count(DISTINCT author_id) AS authors, count(*) FILTER (WHERE label = 'pos') AS pos, count(*) FILTER (WHERE label = 'neg') AS neg, count(*) FILTER (WHERE label = 'neu') AS neu, round(avg(score), 9) AS avg_score FROM wm GROUP BY ticker",
+    "community_breakdown": f"WITH {WEEKM} SELECT source, community, count(*) AS posts, round(avg(score), 9) AS avg_score FROM wm GROUP BY ALL",
     "top_posts": f"WITH {WEEKM}, f AS (SELECT * FROM wm WHERE ticker = {TOP} QUALIFY row_number() OVER (PARTITION BY coalesce(content_hash, id) ORDER BY created_at, id) = 1) SELECT id AS post_id, engagement, coalesce(title, body) AS title FROM f ORDER BY engagement DESC NULLS LAST, created_at DESC, id LIMIT 25",
     "daily_trend": f"""WITH {NOW}, {TICKERS}, {SCORES}, {EFFECTIVE}, {BARS}, d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2025-04-01', TIMESTAMP '2025-05-31', INTERVAL 1 DAY)) AS DATE) AS on_day),
         m AS (SELECT CAST(created_at AS DATE) AS on_day, count(*) AS n, avg(score) AS s FROM posts_now p JOIN tickers_now t ON t.post_id = p.id LEFT JOIN effective e ON e.post_id = p.id AND e.ticker = t.ticker WHERE t.ticker = {TOP} GROUP BY ALL)
-        SELECT strftime(d.on_day, '%Y-%m-%d') AS on_day, coalesce(n, 0) AS mentions, round(s, 6) AS avg_score, round(close, 6) AS close FROM d LEFT JOIN m ON m.on_day = d.on_day LEFT JOIN bars b ON b.date = d.on_day AND b.ticker = {TOP}""",
+        SELECT strftime(d.on_day, '%Y-%m-%d') AS on_day, coalesce(n, 0) AS mentions, round(s, 9) AS avg_score, round(close, 9) AS close FROM d LEFT JOIN m ON m.on_day = d.on_day LEFT JOIN bars b ON b.date = d.on_day AND b.ticker = {TOP}""",
     "tracked_tickers": f"WITH {TICKERS} SELECT ticker, count(*) AS mentions FROM tickers_now GROUP BY ticker",
     "ticker_picker": f"""WITH {NOW}, {TICKERS}, m AS (SELECT ticker, count(*) AS n FROM tickers_now WHERE post_id IN (SELECT id FROM posts_now WHERE created_at >= TIMESTAMP '2025-06-20') GROUP BY ticker ORDER BY n DESC, ticker LIMIT 50),
         u AS (SELECT ticker, 0 AS part, -CAST(n AS DOUBLE) AS key FROM m UNION ALL SELECT {TICKER}, 1, -avg_dollar_volume_30d FROM ticker_universe WHERE avg_dollar_volume_30d IS NOT NULL), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY part, key) = 1)

@@ -75,7 +75,7 @@ def mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _r(*names: str):
-    return [F.round(c, 6).alias(c) for c in names]
+    return [F.round(c, 9).alias(c) for c in names]
 
 
 # -- rolling totals ------------------------------------------------------------------------------------------------
@@ -95,7 +95,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rolling_totals(mention_amounts(spark, sf_dir), "ticker", "made_on", "amount")
-    return rows.select("ticker", F.date_format("on_day", "yyyy-MM-dd").alias("on_day"), "sum_7", F.round("avg_7", 6).alias("avg_7"), "count_7", "sum_30", F.round("avg_30", 6).alias("avg_30"), "count_30")
+    return rows.select("ticker", F.date_format("on_day", "yyyy-MM-dd").alias("on_day"), "sum_7", F.round("avg_7", 9).alias("avg_7"), "count_7", "sum_30", F.round("avg_30", 9).alias("avg_30"), "count_30")
 
 
 # -- signals -------------------------------------------------------------------------------------------------------
@@ -162,7 +162,7 @@ def cap_per_author(spark, sf_dir):
 
 def post_weights(spark, sf_dir):
     w = noise.post_weight(F.col("engagement"), F.col("source"), F.lit(1.0), F.lit(1.0), {"news": 10.0}, {"reddit": 1.0, "news": 0.5})
-    return posts_now(spark, sf_dir).select("id", F.round(w, 6).alias("weight"))
+    return posts_now(spark, sf_dir).select("id", F.round(w, 9).alias("weight"))
 
 
 def near_duplicate_posts(spark, sf_dir):
