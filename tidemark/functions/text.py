@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import html
-import re
 
 import numpy as np
 import pandas as pd
@@ -136,8 +135,8 @@ def mentions_name(ticker: Column, title: Column, body: Column, keys: Column) ->
     text = F.concat(_text(title), F.lit(" "), _text(body))
     whole = lambda quoted: F.concat(F.lit(r"(?U)(?<!\w)"), quoted, F.lit(r"(?!\w)"))
     quote = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
-    named = text.rlike(whole(F.concat(F.lit(r"\$?"), quote(ticker))))
-    return F.coalesce(named, F.lit(False)) | F.coalesce(F.exists(keys, lambda k: F.lower(text).rlike(whole(quote(k)))), F.lit(False))
+    named = F.rlike(text, whole(F.concat(F.lit(r"\$?"), quote(ticker))))
+    return F.coalesce(named, F.lit(False)) | F.coalesce(F.exists(keys, lambda k: F.rlike(F.lower(text), whole(quote(k)))), F.lit(False))
 
 
 # -- names ---------------------------------------------------------------------------------------------------------
@@ -197,7 +196,7 @@ def context_text(title: Column, body: Column, pattern: Column, n_tickers: Column
     """Text to score for one entity: the whole text, or with several entities only the sentences that match ``pattern``
     (all of them when none does), cut to ``max_chars`` characters."""
     whole = F.trim(F.concat(_text(title), F.lit("\n"), _text(body)))
-    own = F.filter(simple_sentences(whole), lambda s: s.rlike(pattern))
+    own = F.filter(simple_sentences(whole), lambda s: F.rlike(s, pattern))
     picked = F.when((n_tickers > 1) & (F.size(own) > 0), F.array_join(own, " ")).otherwise(whole)
     return F.substring(picked, 1, max_chars)
 
@@ -252,7 +251,3 @@ def gauge(score: Column) -> Column:
 
 def percent(share: Column, digits: int = 1) -> Column:
     return F.format_string(f"%+.{digits}f%%", share * 100)
-
-
-def quoted(word: str) -> str:
-    return re.escape(word)
