@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,11 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
+def bound(c: Column, step: Callable[[Column], Column]) -> Column:
+    """``step(c)`` with ``c`` computed once: an expression that a lambda names is computed anew for every element."""
+    return F.element_at(F.transform(F.array(c), step), 1)
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -39,8 +45,12 @@ def simhash_words(text: Column) -> Column:
 
 def word_shingles(words: Column, width: int = 3) -> Column:
     """All runs of ``width`` words, repeated ones included; NULL for fewer words."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, width), " "))
-    return F.when(F.size(words) >= width, runs)
+
+    def runs(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
+        return F.when(F.size(w) >= width, made)
+
+    return bound(words, runs)
 
 
 def _majority(bits: np.ndarray) -> int:

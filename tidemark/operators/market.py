@@ -103,7 +103,7 @@ def asof_close(bars: DataFrame, fridays: DataFrame, tolerance_days: int = 6) ->
     reach = F.filter(F.transform(F.sequence(F.lit(0), F.lit(tolerance_days // 7)), lambda i: F.date_add(own, i * 7)), lambda f: F.datediff(f, F.col("date")) <= tolerance_days)
     served = bars.select("ticker", "date", "close", F.explode(reach).alias("friday"))
     newest = served.groupBy("ticker", "friday").agg(F.max(F.struct("date", "close")).alias("n")).select("ticker", "friday", F.col("n.close").alias("close"))
-    return newest.join(fridays.distinct(), "friday", "left_semi")
+    return newest.join(fridays.distinct(), "friday", "left_semi").select("ticker", "friday", "close")
 
 
 def return_panel(signals: DataFrame, bars: DataFrame) -> DataFrame:
