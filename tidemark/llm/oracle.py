@@ -21,11 +21,19 @@ ORACLE = {
     "p1_share": f"""WITH {AUTHORED}, ranked AS (SELECT post_id, ticker, row_number() OVER (PARTITION BY ticker, author ORDER BY engagement DESC NULLS LAST, post_id) AS place,
         count(*) OVER (PARTITION BY ticker) AS n FROM authored) SELECT post_id, ticker, place FROM ranked WHERE place > greatest(1, floor(n * CAST(0.1 AS DOUBLE)))""",
     "p3_found": f"WITH {LINES} SELECT DISTINCT id AS post_id, CAST(line_no AS INTEGER) AS line_no FROM formed JOIN frequent USING (c, form)",
+    "p3_cleaned": f"""WITH {LINES}, hit AS (SELECT id, list(DISTINCT line_no) AS gone FROM formed JOIN frequent USING (c, form) GROUP BY id),
+        p AS (SELECT posts.id, collected_at, body, gone, string_split(body, chr(10)) AS parts FROM posts LEFT JOIN hit ON hit.id = posts.id)
+        SELECT id, collected_at, CASE WHEN body IS NULL OR gone IS NULL THEN body
+          ELSE array_to_string([CASE WHEN i < len(parts) THEN parts[i] || chr(10) ELSE parts[i] END FOR i IN range(1, len(parts) + 1) IF NOT list_contains(gone, i - 1)], '') END AS body FROM p""",
     "p4_found": f"""WITH f AS (SELECT DISTINCT accession, {TICKER} AS ticker, accepted_at FROM sec_filings WHERE accepted_at IS NOT NULL),
         b AS (SELECT DISTINCT {TICKER} AS ticker, date, CAST(date AS TIMESTAMP) + INTERVAL 21 HOUR AS bar_at FROM prices_daily WHERE close IS NOT NULL AND NOT isnan(close) AND close > 0)
         SELECT accession, ticker, strftime(date, '%Y-%m-%d') AS bar_date FROM f JOIN b USING (ticker)
         WHERE abs(epoch_us(accepted_at) - epoch_us(bar_at)) <= 172800000000
         QUALIFY row_number() OVER (PARTITION BY accession, ticker, accepted_at ORDER BY abs(epoch_us(accepted_at) - epoch_us(bar_at)), bar_at) = 1""",
+    "p5_found": f"""WITH {POSTS}, t AS (SELECT id, regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(body, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM posts_now),
+        s AS (SELECT DISTINCT id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS run FROM t WHERE len(w) >= 3), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.run = b.run AND a.id < b.id GROUP BY ALL)
+        SELECT id_a, id_b FROM c JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE k * 10 >= 6 * (na.n + nb.n - k)""",
     "p6_found": f"""WITH s AS (SELECT CAST(date_trunc('week', week_start) AS DATE) AS week, {TICKER} AS ticker, composite_bull, composite_bear FROM weekly_signals),
         v AS (SELECT week, ticker, 'bull' AS side, composite_bull AS value FROM s UNION ALL SELECT week, ticker, 'bear', composite_bear FROM s),
         m AS (SELECT week, side, ticker, max(value) AS value FROM v WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL)
