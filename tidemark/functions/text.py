@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import html
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,11 +13,6 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
-def bound(c: Column, step: Callable[[Column], Column]) -> Column:
-    """``step(c)`` with ``c`` computed once: an expression that a lambda names is computed anew for every element."""
-    return F.element_at(F.transform(F.array(c), step), 1)
-
-
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -43,32 +37,22 @@ def simhash_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def word_shingles(words: Column, width: int = 3) -> Column:
-    """All runs of ``width`` words, repeated ones included; NULL for fewer words."""
-
-    def runs(w: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
-        return F.when(F.size(w) >= width, made)
-
-    return bound(words, runs)
-
-
 def _majority(bits: np.ndarray) -> int:
     ones = bits.sum(axis=0) * 2 > len(bits)
     value = int("".join("1" if b else "0" for b in ones), 2)
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _simhash_of(digest):
+def _simhash_of(digest, width: int):
     @pandas_udf(T.LongType())
-    def simhash(shingles: pd.Series) -> pd.Series:
+    def simhash(words: pd.Series) -> pd.Series:
         out = []
-        for runs in shingles:
-            if runs is None or not len(runs):
+        for w in words:
+            if w is None or len(w) < width:
                 out.append(None)
                 continue
-            raw = np.frombuffer(b"".join(digest(r.encode()) for r in runs), np.uint8).reshape(len(runs), 8)
-            out.append(_majority(np.unpackbits(raw, axis=1)))
+            raw = b"".join(digest(" ".join(w[i : i + width]).encode()) for i in range(len(w) - width + 1))
+            out.append(_majority(np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)))
         return pd.Series(out, dtype="Int64")
 
     return simhash
@@ -85,7 +69,7 @@ def simhash(text: Column, width: int = 3, algorithm: str = "blake2b") -> Column:
         digest = lambda b: hashlib.md5(b).digest()[:8]
     else:
         raise ValueError(algorithm)
-    return _simhash_of(digest)(word_shingles(simhash_words(text), width))
+    return _simhash_of(digest, width)(simhash_words(text))
 
 
 def hamming(a: Column, b: Column) -> Column:
