@@ -19,7 +19,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root:
         return root
-    if not sc.master.startswith("local["):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="tidemark-")
     sc.setCheckpointDir(root)
