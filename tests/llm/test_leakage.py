@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from tests.conftest import rows
-from tidemark.llm.leakage import leaked_paraphrases, leaked_runs, word_list
+from tidemark.llm.leakage import BUCKETS, _common_subsequence, _Item, leaked_paraphrases, leaked_runs, word_list
 
 WORDS = [f"word{n}" for n in range(60)]
 
@@ -50,6 +52,31 @@ def test_paraphrase(spark):
     assert all(r.common >= 0.6 or r.run >= 10 for r in got.collect())
 
 
+def test_paraphrase_in_long_documents(spark):
+    """One or two copies far apart in documents of several thousand words, the query's own parameters."""
+    rng = random.Random(8)
+    some = lambda n: [f"term{int(rng.paretovariate(0.6))}" for _ in range(n)]
+    items = [some(60) for _ in range(6)]
+    other = lambda n: [w if k % 9 != 8 else f"else{k}" for k, w in enumerate(items[n])]
+    docs = [some(100) + other(n % 6) + some(3500) + (other(n % 6) if n < 12 else []) + some(100) for n in range(24)] + [some(3000) for _ in range(6)]
+    docs = [(n, " ".join(v)) for n, v in enumerate(docs)]
+    got = leaked_paraphrases(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(v)) for n, v in enumerate(items)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect() if r.common >= 0.85 and r.answer >= 0.5} == {(n, n % 6) for n in range(24)}
+
+
+def test_common_subsequence_against_table():
+    rng = random.Random(9)
+    for _ in range(200):
+        words, text = (np.array([rng.randrange(9) for _ in range(rng.randrange(1, n))], np.uint64) for n in (90, 150))
+        table = np.zeros((len(words) + 1, len(text) + 1), int)
+        for i, w in enumerate(words):
+            for j, x in enumerate(text):
+                table[i + 1, j + 1] = table[i, j] + 1 if w == x else max(table[i, j + 1], table[i + 1, j])
+        item = _Item(words, np.ones(BUCKETS), 4)
+        masks = [item.masks[list(item.words).index(w)] for w in text if w in item.words]
+        assert _common_subsequence(masks, item.n) == table[-1, -1]
+
+
 def test_empty(spark):
     none, some = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     assert rows(leaked_runs(none, some)) == []

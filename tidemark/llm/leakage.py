@@ -182,13 +182,58 @@ def _embed(idf: np.ndarray, vectors: np.ndarray, terms: np.ndarray) -> np.ndarra
     return (x / np.maximum(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1, keepdims=True)), 1e-300)).astype(np.float32)
 
 
-def _common_subsequence(p: np.ndarray, q: np.ndarray) -> int:
-    """Length of the longest common subsequence."""
-    row = np.zeros(len(q) + 1, np.int64)
-    for w in p:
-        taken = np.where(q == w, row[:-1] + 1, row[1:])
-        row[1:] = np.maximum.accumulate(np.maximum(taken, row[1:]))
-    return int(row[-1])
+def _common_subsequence(masks: list[int], n: int) -> int:
+    """Length of the longest common subsequence of an item of ``n`` words and a text, given for each word of the text
+    that the item has, in the text's order, the bits of the item's places that hold it (Hyyrö's bit vectors)."""
+    full = (1 << n) - 1
+    v = full
+    for m in masks:
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def _middles(offsets: np.ndarray, n: int) -> np.ndarray:
+    """Where an item of ``n`` words may begin in a document, from the offsets of a pair's hits: each of them, the median
+    of the hits within one item length from each, and the median of all."""
+    offsets = np.sort(offsets)
+    each, low = np.unique(offsets, return_index=True)
+    high = np.searchsorted(offsets, each + n, "right")
+    return np.unique(np.concatenate([each, (offsets[(low + high - 1) // 2] + offsets[(low + high) // 2]) // 2, [int(np.median(offsets))]]))
+
+
+class _Item:
+    """Words of an item, the places of each as bits, and its rarest words."""
+
+    def __init__(self, words: np.ndarray, idf: np.ndarray, answer_words: int):
+        self.n, self.words = len(words), np.unique(words)
+        self.masks = [sum(1 << int(at) for at in np.flatnonzero(words == w)) for w in self.words]
+        self.rare = np.argsort(-idf[(self.words & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")[:answer_words]
+
+    def best(self, text: np.ndarray, middles: np.ndarray, common: float, answer: float, sure: bool) -> tuple[bool, float, float]:
+        """Over the regions around ``middles``, two item lengths wide: does one hold the shares ``common`` and ``answer``, and
+        the highest shares, first those of a region that does. Unless ``sure``, regions that can't are left out."""
+        which = np.minimum(np.searchsorted(self.words, text), len(self.words) - 1)
+        at = np.flatnonzero(self.words[which] == text)
+        which = which[at]
+        low, high = np.maximum(middles - self.n // 2, 0), np.minimum(middles + self.n + self.n // 2, len(text))
+        i, j = np.searchsorted(at, low), np.searchsorted(at, high)
+        there = np.zeros(len(middles))
+        for r in self.rare:
+            own = at[which == r]
+            there += np.searchsorted(own, high) > np.searchsorted(own, low)
+        there /= max(1, len(self.rare))
+        # A region can't have more words in common than it has words of the item.
+        hopeful = np.flatnonzero(sure | (there >= answer) & (j - i >= common * self.n))
+        masks = [self.masks[k] for k in which.tolist()]
+        seen: dict[tuple[int, int], float] = {}
+        top = (False, 0.0, 0.0)
+        for k in hopeful.tolist():
+            span = int(i[k]), int(j[k])
+            if span not in seen:
+                seen[span] = _common_subsequence(masks[span[0] : span[1]], self.n) / max(1, self.n)
+            top = max(top, (seen[span] >= common and bool(there[k] >= answer), seen[span], float(there[k])))
+        return top
 
 
 def _longest_run(doc: np.ndarray, item: np.ndarray) -> int:
@@ -202,6 +247,22 @@ def _longest_run(doc: np.ndarray, item: np.ndarray) -> int:
     return best
 
 
+def _covered(near: list[tuple[np.ndarray, ...]], lengths: np.ndarray, span: int, step: int, coverage: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(document, item, offsets, cosines) of the pairs whose hits stand at so large a share of the item's passages."""
+    key, offset, item_at, cosine = (np.concatenate(x) for x in zip(*near))
+    near.clear()
+    order = np.lexsort((item_at, key))
+    key, offset, item_at, cosine = key[order], offset[order], item_at[order], cosine[order]
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    fresh = np.append(True, (key[1:] != key[:-1]) | (item_at[1:] != item_at[:-1]))
+    item = key[begins] % len(lengths)
+    enough = np.add.reduceat(fresh.astype(np.int64), begins) >= coverage * np.maximum(1, (lengths[item] - span) // step + 1)
+    ends = np.append(begins[1:], len(key))
+    for n in np.flatnonzero(enough).tolist():
+        at = slice(begins[n], ends[n])
+        yield int(key[begins[n]] // len(lengths)), int(item[n]), offset[at], cosine[at]
+
+
 def _searcher(space, items, span: int, step: int, run_words: int, min_cosine: float, paraphrase: dict | None):
     """mapInArrow: candidates of each batch of documents against all item passages, checked on word hashes."""
 
@@ -216,10 +277,11 @@ def _searcher(space, items, span: int, step: int, run_words: int, min_cosine: fl
         targets = np.ascontiguousarray(_embed(idf, vectors, terms).T)
         chunk = max(64, BLOCK_CELLS // max(1, targets.shape[1]))
         cols: list[list] = [[], [], [], [], [], []]
+        known: dict[int, _Item] = {}
         for batch in batches:
             flat, offs, starts, owner = _passages(batch, span, step)
             docs = batch.column(0)
-            near: dict[tuple[int, int], list] = {}
+            near: list[tuple[np.ndarray, ...]] = []
             longest: dict[tuple[int, int], int] = {}
             for i in range(0, len(starts), chunk):
                 at = starts[i : i + chunk]
@@ -232,8 +294,7 @@ def _searcher(space, items, span: int, step: int, run_words: int, min_cosine: fl
                 doc_at, who = np.repeat(at[hit_p], times), np.repeat(owner[i + hit_p], times)
                 item_at, item = p_starts[item_p], p_owner[item_p]
                 if paraphrase:
-                    for key, s, c in zip(zip(who.tolist(), item.tolist()), zip(doc_at.tolist(), item_at.tolist()), np.repeat(cosine[hit_p, hit_v], times).tolist()):
-                        near.setdefault(key, []).append((*s, c))
+                    near.append((who * len(item_ids) + item, doc_at - (item_at - item_ends[item]), item_at, np.repeat(cosine[hit_p, hit_v], times)))
                 same = np.ones(len(doc_at), bool)
                 for j in range(span):
                     same &= flat[doc_at + j] == item_words[item_at + j]
@@ -252,19 +313,12 @@ def _searcher(space, items, span: int, step: int, run_words: int, min_cosine: fl
                     if n > longest.get((w, k), 0):
                         longest[(w, k)] = n
             found = {key: (n, 1.0, 0.0, 0.0) for key, n in longest.items() if n >= run_words}
-            for (w, k), hits in near.items():
-                words = item_words[item_ends[k] : item_ends[k + 1]]
-                if len({t for _, t, _ in hits}) < paraphrase["coverage"] * max(1, (len(words) - span) // step + 1):
-                    continue
-                middle = int(np.median([s - (t - item_ends[k]) for s, t, _ in hits]))
-                low, high = max(offs[w], middle - len(words) // 2), min(offs[w + 1], middle + len(words) + len(words) // 2)
-                region = flat[low:high]
-                common = _common_subsequence(words, region) / max(1, len(words))
-                rare = np.unique(words)
-                rare = rare[np.argsort(-idf[(rare & np.uint64(BUCKETS - 1)).astype(np.int64)], kind="stable")][: paraphrase["answer_words"]]
-                answer = float(np.isin(rare, region).mean()) if len(rare) else 0.0
-                if common >= paraphrase["common"] and answer >= paraphrase["answer"] or (w, k) in found:
-                    found[(w, k)] = (longest.get((w, k), 0), max(c for *_, c in hits), common, answer)
+            for w, k, offsets, cosines in _covered(near, lengths, span, step, paraphrase["coverage"]) if near else ():
+                if k not in known:
+                    known[k] = _Item(item_words[item_ends[k] : item_ends[k + 1]], idf, paraphrase["answer_words"])
+                holds, common, answer = known[k].best(flat[offs[w] : offs[w + 1]], _middles(offsets - offs[w], int(lengths[k])), paraphrase["common"], paraphrase["answer"], (w, k) in found)
+                if holds or (w, k) in found:
+                    found[(w, k)] = (longest.get((w, k), 0), float(cosines.max()), common, answer)
             for (w, k), values in found.items():
                 for col, value in zip(cols, (docs[w].as_py(), int(item_ids[k]), *values)):
                     col.append(value)
@@ -345,10 +399,11 @@ def leaked_paraphrases(
 ) -> DataFrame:
     """Documents that hold an item in other words, or a run of its words.
 
-    Besides :func:`leaked_runs`' cases these are pairs where passages at cosine ``min_cosine`` or more meet ``coverage`` of the
-    item, the longest common subsequence of the item and the document's region there has at least the share
-    ``common`` of the item's words, and at least the share ``answer`` of the item's ``answer_words`` rarest words
-    stand in that region. Result: doc_id, item_id, ``run`` (longest run seen, 0 below ``span``; counted to
+    Besides :func:`leaked_runs`' cases these are pairs where passages at cosine ``min_cosine`` or more, wherever they stand,
+    meet ``coverage`` of the item, and a region of the document, two item lengths wide and around any of these, has
+    a longest common subsequence with the item of at least the share ``common`` of the item's words and at least the
+    share ``answer`` of the item's ``answer_words`` rarest words. Every such region is looked at, the best one's shares are
+    returned. Result: doc_id, item_id, ``run`` (longest run seen, 0 below ``span``; counted to
     ``2 * run_words + span``), ``cosine``, ``common``, ``answer``. Edge cases as there.
     """
     settings = {"coverage": coverage, "common": common, "answer": answer, "answer_words": answer_words}
