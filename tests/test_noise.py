@@ -98,3 +98,31 @@ def test_hash_pairs_are_complete(spark):
     df = spark.createDataFrame([(v,) for v in values], "h long")
     want = sorted((a, b) for i, a in enumerate(values) for b in values[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= 3)
     assert sorted(tuple(r) for r in noise.similar_hash_pairs(df, "h", 3).collect()) == want
+
+
+def test_all_filters_in_order(spark):
+    import math
+
+    from tidemark.operators import signals
+
+    long = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    later = lambda n: T0 + timedelta(minutes=n)
+    data = [
+        dict(post_id="h1", content_hash="h"), dict(post_id="h2", content_hash="h", author_id="v", created_at=later(1)),  # repost
+        dict(post_id="n1", body=long, author_id="w"), dict(post_id="n2", body=long.upper(), author_id="x", created_at=later(1)),  # near copy
+        dict(post_id="s", title="join our discord", author_id="y"),  # spam
+        dict(post_id="d1", source="news", title="Acme widgets", author_id="o1"), dict(post_id="d2", source="news", title="ACME widgets!", author_id="o2", created_at=later(1)),  # syndicated
+        dict(post_id="p", source="news", title="Why Acme stock soared 9%", author_id="o1"),  # recap: weight 0
+        dict(post_id="q", source="news", title="3 stocks to buy", author_id="o1"),  # promo, off topic
+        dict(post_id="g", author_age_days=2, author_id="z"),  # new account
+        *[dict(post_id=f"c{n}", author_id="many", engagement=n) for n in range(1, 5)],  # capped at 2
+    ]
+    news = {"sources": ["news"], "kind_weights": {"price_recap": 0.0, "promo": 0.3}, "off_topic_weight": 0.3}
+    rules = {"reddit": {"min_age_days": 30, "new_account_weight": 0.25, "min_karma": 100, "low_karma_weight": 0.5}}
+    keys = spark.createDataFrame([("A", ["acme"])], "ticker string, keys array<string>")
+    out = noise.filtered_mentions(frame(spark, data), keys, rules, None, news, {"news": 10.0}, {"news": 2.0}, 2, ["reddit"])
+    unit = math.log(2)
+    want = {"h1": unit, "n1": unit, "d1": 2 * math.log(11), "q": 0.09 * 2 * math.log(11), "g": 0.25 * unit, "c4": math.log(5), "c3": math.log(4)}
+    assert {r.post_id: round(r.weight, 9) for r in out.collect()} == {k: round(v, 9) for k, v in want.items()}
+    got = signals.weekly_components(out.withColumn("day", F.lit(0)).withColumn("score", F.lit(1.0))).first()
+    assert (got.mentions, got.n_authors) == (7, 5)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import scratch
-from tidemark.functions.text import classify, hamming, headline_key, matches_any, simhash, simhash_words
+from tidemark.functions.text import classify, hamming, headline_key, matches_any, mentions_name, simhash, simhash_words
 
 # Kinds of headline and the patterns that tell them, in the order in which they are tried.
 MOVE = r"(soar|jump|plunge|plummet|tumble|surge|sink|sank|slump|fall|fell|rise|rose|rall(y|ie)|drop|climb|gain|slide|slid|spike|crash|pop|rocket|skyrocket|dip|rebound|tripl|doubl|halv)\w*"
@@ -174,3 +174,20 @@ def cap_per_author(df: DataFrame, k: int, period: str, sources: list[str] | None
     first = salted.withColumn("_tm_r", F.row_number().over(W.partitionBy(*keys, "_tm_s").orderBy(*order))).where(F.col("_tm_r") <= k)
     top = first.withColumn("_tm_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_tm_r") <= k)
     return top.select(df.columns).unionByName(df.where(~capped))
+
+
+def filtered_mentions(df: DataFrame, keys: DataFrame, author_rules: dict[str, dict], bots: dict | None, news: dict, floors: dict[str, float], source_weights: dict[str, float], cap: int, capped_sources: list[str] | None, spam: list[str] = SPAM, max_hamming: int = 3, min_words: int = 12) -> DataFrame:
+    """All filters over mention rows with ``block``, in their fixed order: reposts, near copies, spam, syndicated headlines, news
+    quality, post weight, rows of weight factor 0, author cap per ticker and block. Adds ``weight`` and what it is made of.
+
+    ``keys`` has one row per ticker with ``keys``, the forms of its name; ``news``: sources, kind_weights, off_topic_weight.
+    """
+    df = scratch.materialize(drop_reposts(scratch.materialize(df, "mentions")), "firsts")
+    df = scratch.materialize(drop_spam(drop_near_duplicates(df, max_hamming, min_words), spam), "clean")
+    df = scratch.join_checked(drop_syndicated(df, news["sources"]), scratch.materialize(keys.select("ticker", F.col("keys").alias("_tm_keys")), "names"), ["ticker"], "left", "post_id")
+    named = mentions_name(F.col("ticker"), F.col("title"), F.col("body"), F.col("_tm_keys"))
+    df = news_quality(df, news["sources"], news["kind_weights"], news["off_topic_weight"], named).drop("_tm_keys", "title", "body")
+    df = author_weights(scratch.materialize(df, "judged"), author_rules, bots)
+    df = df.withColumn("weight", post_weight(F.col("engagement"), F.col("source"), F.col("author_weight"), F.col("quality"), floors, source_weights))
+    df = scratch.materialize(df.where(F.col("author_weight") * F.col("quality") > 0), "weighted")
+    return cap_per_author(df, cap, "block", capped_sources)

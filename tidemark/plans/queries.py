@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import scratch
 from tidemark.functions.calendar import Week, friday_of, quarter_hours, week_start_of
 from tidemark.functions.extract import Rules, cashtags, extract_tickers
 from tidemark.functions.keys import canonical_ticker, current_rows, table
@@ -24,6 +25,8 @@ AUTHOR_RULES = {
     "stocktwits": {"min_age_days": 30, "new_account_weight": 0.25, "min_karma": 5, "low_karma_weight": 0.5},
 }
 BOTS = {"sources": SOCIAL, "max_posts": 40, "weight": 0.1}
+NEWS = {"sources": ["news"], "kind_weights": {"price_recap": 0.0, "promo": 0.3, "press_release": 0.5, "news": 1.0}, "off_topic_weight": 0.3}
+FLOORS, SOURCE_WEIGHTS, AUTHOR_CAP = {"news": 10.0}, {"reddit": 1.0, "news": 1.0, "stocktwits": 1.0}, 5
 
 
 # -- tables in clean form ------------------------------------------------------------------------------------------
@@ -74,6 +77,13 @@ def mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.with_days(rows, WEEK).withColumn("weight", weight)
 
 
+def filtered_mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mentions after all noise filters, with post weights and the author cap."""
+    names = table(spark, sf_dir, "ticker_universe").select(canonical_ticker("ticker").alias("ticker"), name_keys(F.col("company_name"), F.array().cast("array<string>")).alias("k"))
+    keys = names.groupBy("ticker").agg(F.array_distinct(F.flatten(F.collect_list("k"))).alias("keys"))
+    return noise.filtered_mentions(mention_rows(spark, sf_dir).drop("weight"), keys, AUTHOR_RULES, BOTS, NEWS, FLOORS, SOURCE_WEIGHTS, AUTHOR_CAP, SOCIAL)
+
+
 def _r(*names: str):
     return [F.round(c, 9).alias(c) for c in names]
 
@@ -106,18 +116,40 @@ def mentions_effective_scores(spark, sf_dir):
     return rows.select("post_id", "ticker", "label", *_r("score"))
 
 
+def _attention(rows):
+    return signals.attention(rows, 7, 30, 1.0, 10.0).select("ticker", *_r("attention_z"))
+
+
+def _components(rows):
+    return signals.weekly_components(rows).select("ticker", "mentions", "n_authors", *_r("attention_z", "sentiment", "sentiment_prev", "momentum", "breadth"))
+
+
+def _composites(rows):
+    return signals.composites(signals.weekly_components(rows), [], WEIGHTS).select("ticker", *_r("composite_bull", "composite_bear"))
+
+
 def attention_z(spark, sf_dir):
-    return signals.attention(mention_rows(spark, sf_dir), 7, 30, 1.0, 10.0).select("ticker", *_r("attention_z"))
+    return _attention(mention_rows(spark, sf_dir))
 
 
 def weekly_components(spark, sf_dir):
-    rows = signals.weekly_components(mention_rows(spark, sf_dir))
-    return rows.select("ticker", "mentions", "n_authors", *_r("attention_z", "sentiment", "sentiment_prev", "momentum", "breadth"))
+    return _components(mention_rows(spark, sf_dir))
 
 
 def composite_scores(spark, sf_dir):
-    rows = signals.composites(signals.weekly_components(mention_rows(spark, sf_dir)), [], WEIGHTS)
-    return rows.select("ticker", *_r("composite_bull", "composite_bear"))
+    return _composites(mention_rows(spark, sf_dir))
+
+
+def filtered_attention_z(spark, sf_dir):
+    return _attention(scratch.materialize(filtered_mention_rows(spark, sf_dir), "filtered"))
+
+
+def filtered_components(spark, sf_dir):
+    return _components(scratch.materialize(filtered_mention_rows(spark, sf_dir), "filtered"))
+
+
+def filtered_composites(spark, sf_dir):
+    return _composites(scratch.materialize(filtered_mention_rows(spark, sf_dir), "filtered"))
 
 
 def heating_up(spark, sf_dir):
@@ -346,7 +378,7 @@ def week_calendar(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_totals, mentions_effective_scores, attention_z, weekly_components, composite_scores, heating_up, drop_reposts, drop_syndicated, drop_spam, headline_kinds, author_weights, cap_per_author, post_weights, near_duplicate_posts,
+        p2_found, p2_totals, mentions_effective_scores, attention_z, weekly_components, composite_scores, filtered_attention_z, filtered_components, filtered_composites, heating_up, drop_reposts, drop_syndicated, drop_spam, headline_kinds, author_weights, cap_per_author, post_weights, near_duplicate_posts,
         content_hashes, headline_keys, company_names, post_sentences, post_cashtags, extracted_tickers, filing_items, filing_events, session_context, dollar_volume, early_chatter, return_panel, lead_lag, quintile_spread, hit_rate, added_signal,
         scorer_agreement, untagged_posts, pending_pairs, second_pass_picks, lexicon_scores, week_summary, community_breakdown, top_posts, daily_trend, tracked_tickers, ticker_picker, week_filings, upsert_posts_state, insert_absent_state, stamps_grid, week_calendar,
     )
