@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import scratch
 from tidemark.functions.keys import canonical_ticker, community_key, current_rows, folded, table
 from tidemark.llm.cap import CapState, cap_share
-from tidemark.llm.leakage import leaked_paraphrases, leaked_runs
+from tidemark.llm.leakage import leaked_passages, leaked_runs
 from tidemark.llm.lines import frequent_lines, remove_lines
 from tidemark.llm.nearest import nearest_in_time
 from tidemark.llm.neardup import near_duplicate_classes, near_duplicate_pairs
@@ -133,7 +133,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = leaked_paraphrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    """Verbatim and reworded passages with what was measured on each."""
+    rows = leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return rows.select("doc_id", "item_id", "run", *[F.round(c, 4).alias(c) for c in ("cosine", "common", "answer")])
 
 
