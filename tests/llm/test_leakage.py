@@ -170,7 +170,7 @@ def test_space_decides(spark, monkeypatch):
 
     monkeypatch.setattr(LatentSpace, "fit", staticmethod(shuffled))
     by_chance = {(r.doc_id, r.item_id) for r in leaked_passages(frame, asked).collect()}
-    assert got == want and len(by_chance & want) < 10, (len(got & want), len(by_chance & want))
+    assert got == want and len(by_chance & want) <= 15, (len(got & want), len(by_chance & want))
 
 
 def test_empty(spark):

@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from tidemark import scratch
 
 #: Hash buckets for terms, dimensions kept, further dimensions of the sketch.
-BUCKETS, DIMENSIONS, OVERSAMPLING = 1 << 15, 48, 8
+BUCKETS, DIMENSIONS, OVERSAMPLING = 1 << 15, 32, 16
 #: Words of a block; blocks of a wide passage.
 BLOCK, WIDE = 5, 3
 #: Cosines from which a block and a wide passage are candidates.
-SHARP, BROAD = 0.995, 0.7
+SHARP, BROAD = 0.999, 0.7
 #: Cells searched for a wide passage.
 PROBES = 8
 #: Item words held at once; more items take more passes over the corpus. Bounds what is broadcast: about 100 MB.
@@ -47,7 +47,7 @@ ITEM_WORDS = 400_000
 #: Longer items are searched in segments of so many words, each beginning so many words before the last one's end.
 SEGMENT, SEGMENT_OVERLAP = 2_000, 200
 #: Words of documents handled at once in a worker; a longer document is handled by itself.
-GROUP_WORDS = 100_000
+GROUP_WORDS = 200_000
 SEED = 7
 _TERMS_PER_PART = 1024
 
@@ -166,7 +166,8 @@ class LatentSpace:
 
     @classmethod
     def fit(cls, words: DataFrame) -> LatentSpace:
-        """Randomised SVD: a Gaussian sketch, one power step, Rayleigh-Ritz; three passes over all passages."""
+        """Randomised SVD: a Gaussian sketch of A'A, the right singular vectors by Nyström's formula; two passes over all
+        passages, of which one counts terms."""
         sc = words.sparkSession.sparkContext
         held, total = np.zeros(BUCKETS), 0
         for r in words.mapInArrow(_counter, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
@@ -178,23 +179,21 @@ class LatentSpace:
         weights = sc.broadcast(idf)
         width = DIMENSIONS + OVERSAMPLING
 
-        def gram(b: np.ndarray) -> np.ndarray:
-            sent = sc.broadcast(b.astype(np.float32))
-            schema = "block int, part binary"
-            parts = words.mapInArrow(_sketcher(weights, sent), schema).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
-            parts = parts.repartition("block", "salt").select("block", "part").mapInArrow(_add, schema).repartition("block").mapInArrow(_add, schema)
-            z = np.zeros(b.shape)
-            for r in parts.collect():  # BUCKETS / 1024 rows of fixed size
-                x = np.frombuffer(r.part, np.float32).reshape(-1, width)
-                z[r.block : r.block + len(x)] = x
-            sent.unpersist()
-            return z
-
-        q, _ = np.linalg.qr(gram(np.random.default_rng(SEED).standard_normal((BUCKETS, width))))
-        z = gram(q)
-        values, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
-        best = np.argsort(values)[::-1][:DIMENSIONS]
-        return cls(idf, (q @ turn[:, best]).astype(np.float32))
+        sketch = np.random.default_rng(SEED).standard_normal((BUCKETS, width))
+        sent = sc.broadcast(sketch.astype(np.float32))
+        schema = "block int, part binary"
+        parts = words.mapInArrow(_sketcher(weights, sent), schema).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
+        parts = parts.repartition("block", "salt").select("block", "part").mapInArrow(_add, schema).repartition("block").mapInArrow(_add, schema)
+        y = np.zeros(sketch.shape)
+        for r in parts.collect():  # BUCKETS / 1024 rows of fixed size
+            x = np.frombuffer(r.part, np.float32).reshape(-1, width)
+            y[r.block : r.block + len(x)] = x
+        # A'A is about Y (S'Y)^-1 Y', whose eigenvectors are the left singular vectors of Y (S'Y)^-1/2.
+        y += 1e-7 * np.abs(y).max(initial=1e-7) * sketch
+        values, turn = np.linalg.eigh((sketch.T @ y + y.T @ sketch) / 2)
+        values = np.maximum(values, 1e-12 * np.abs(values).max(initial=1e-12))
+        vectors = np.linalg.svd(y @ (turn / np.sqrt(values)), full_matrices=False)[0]
+        return cls(idf, vectors[:, :DIMENSIONS].astype(np.float32))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -273,6 +272,8 @@ class _Items:
         place = np.arange(len(self.words)) - first[owner]
         key = self.key(owner, self.words)
         self.keys, which = np.unique(key, return_inverse=True)
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.keys & np.uint64(len(self.maybe) - 1)] = True
         key_item = np.zeros(len(self.keys), np.int64)
         key_item[which] = owner
         self.limb_at = np.concatenate(([0], np.cumsum(self.limbs[key_item]))).astype(np.int64)
@@ -288,6 +289,8 @@ class _Items:
         pairs = np.flatnonzero(np.arange(answer_words) < self.rares[:, None])
         by = np.argsort(self.rare.ravel()[pairs], kind="stable")
         self.rare_words, begins = np.unique(self.rare.ravel()[pairs][by], return_index=True)
+        self.rare_terms = np.zeros(BUCKETS, bool)
+        self.rare_terms[_terms(self.rare_words)] = True
         self.rare_items, self.rare_edges = pairs[by] // answer_words, np.append(begins, len(pairs))
 
     @staticmethod
@@ -299,11 +302,14 @@ class _Items:
 def _answered(items: _Items, flat: np.ndarray, ends: np.ndarray, share: float) -> np.ndarray:
     """Sorted numbers text * items + item of the texts that hold so large a share of the item's rarest words anywhere."""
     n = len(items.ids)
-    at = np.searchsorted(items.rare_words, flat)
-    at[at == len(items.rare_words)] = 0
-    here = np.flatnonzero(items.rare_words[at] == flat)
+    if not n:
+        return np.zeros(0, np.int64)
+    here = np.flatnonzero(items.rare_terms[_terms(flat)])
+    at = np.minimum(np.searchsorted(items.rare_words, flat[here]), len(items.rare_words) - 1)
+    same = items.rare_words[at] == flat[here]
+    here, at = here[same], at[same]
     text = np.searchsorted(ends, here, "right") - 1
-    seen = np.unique(text * len(items.rare_words) + at[here])
+    seen = np.unique(text * len(items.rare_words) + at)
     text, word = seen // len(items.rare_words), seen % len(items.rare_words)
     times = items.rare_edges[word + 1] - items.rare_edges[word]
     item = items.rare_items[np.repeat(items.rare_edges[word], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
@@ -317,10 +323,12 @@ def _places(items: _Items, flat: np.ndarray, low: np.ndarray, high: np.ndarray,
     valid = at < high[:, None]
     words = flat[np.minimum(at, len(flat) - 1)]
     key = items.key(item[:, None], words)
+    row, col = np.nonzero(valid & items.maybe[key & np.uint64(len(items.maybe) - 1)])
+    key = key[row, col]
     where = np.minimum(np.searchsorted(items.keys, key), len(items.keys) - 1)
-    valid &= items.keys[where] == key
-    bits = items.bits[np.where(valid, items.limb_at[where], len(items.bits) - limbs)[:, :, None] + np.arange(limbs)]
-    bits[~valid] = 0
+    same = items.keys[where] == key
+    bits = np.zeros((*at.shape, limbs), np.uint64)
+    bits[row[same], col[same]] = items.bits[items.limb_at[where[same]][:, None] + np.arange(limbs)]
     return np.where(at < high[:, None], words, 0), bits
 
 
@@ -367,9 +375,13 @@ def _candidates(items: _Items, space: LatentSpace, flat: np.ndarray, ends: np.nd
     count = np.bincount(owner, minlength=len(ends) - 1)
     number = np.arange(len(starts)) - np.repeat(np.cumsum(count) - count, count)
     begin = np.flatnonzero(number <= np.maximum(count - WIDE, 0)[owner])
+    answered = _answered(items, flat, ends, answer)
+    # A reworded passage must hold the answer, so texts without any item's answer aren't searched for one.
+    told = np.zeros(len(ends) - 1, bool)
+    told[answered // max(1, len(items.ids))] = True
+    begin = begin[told[owner[begin]]]
     padded = np.concatenate((sums, np.zeros((WIDE, sums.shape[1]), np.float32)))
     wide = sum(np.where((k < count[owner[begin]])[:, None], padded[begin + k], 0) for k in range(WIDE))
-    answered = _answered(items, flat, ends, answer)
     found = []
     for rows, vectors, (cells, of, at), least, near in ((whole, sums[whole], items.sharp, sharp, None), (begin, wide, items.broad, broad, probes)):
         for row, member, cosine in cells.search(_unit(vectors), least, near):
