@@ -35,7 +35,15 @@ def materialize(df: DataFrame, name: str = "step", path: str | None = None, part
     path = path or new_path(df.sparkSession, name)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._tm_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for these tables; nothing that is still to be read may depend on them."""
+    for table in tables:
+        remove(table.sparkSession, table._tm_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -51,8 +59,8 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
 
 
-#: A side is broadcast only when it was counted and holds at most so many rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when it was counted and holds at most so many rows, and so many bytes by Spark's estimate.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Copies of each row of the small side when it is too large to broadcast and the large side may be skewed.
 SALTS = 16
 
@@ -60,10 +68,11 @@ SALTS = 16
 def join_checked(large: DataFrame, small: DataFrame, on: list[str], how: str, spread: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a possibly skewed ``large`` side to a materialised ``small`` side with unique keys.
 
-    ``small`` is counted first. Up to ``max_rows`` it is broadcast; beyond, each hot key of ``large`` is spread over
+    ``small`` is counted first. Up to ``max_rows`` and ``BROADCAST_BYTES`` it is broadcast; beyond, each hot key of ``large`` is spread over
     ``SALTS`` tasks by the hash of column ``spread`` and ``small`` is repeated once per salt.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
+    size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= BROADCAST_BYTES and small.limit(max_rows + 1).count() <= max_rows:
         return large.join(F.broadcast(small), on, how)
     salted = large.withColumn("_tm_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
     copies = small.withColumn("_tm_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
