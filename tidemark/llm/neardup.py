@@ -31,8 +31,9 @@ from tidemark.llm.components import connected_components
 #: 0.1 %, at 0.7 two in a hundred thousand. Fewer rows or more bands find more at the cost of candidates or shuffle.
 BANDS, ROWS = 60, 5
 #: Keys of a partition. Within one of P partitions a key has 40 bits, so all keys are of 40 + log2(P) bits: a key meets
-#: a stranger by chance with a probability of ``PARTITION_KEYS / 2**40``, whatever the number of texts.
-PARTITION_KEYS = 2_000_000
+#: a stranger by chance with a probability of ``PARTITION_KEYS / 2**40``, whatever the number of texts. There are at most
+#: ``PARTITIONS``; beyond that many keys (1.6 billion texts) the partitions grow.
+PARTITION_KEYS, PARTITIONS = 1_000_000, 100_000
 #: Standard deviations that a true pair's signature may fall short by.
 SLACK = 4.5
 #: Texts of one bucket that are paired at once; a bucket of more is paired block by block.
@@ -294,7 +295,7 @@ def similar_texts(df: DataFrame, ident: str, text: Column, width: int = 5, thres
     texts = texts_of(source, ident, text)
     kind = texts.schema["id"].dataType
     id_kind = to_arrow_type(kind)
-    parts = min(1 << 22, max(spark.sparkContext.defaultParallelism, -(-source.count() * bands // PARTITION_KEYS)))
+    parts = min(PARTITIONS, max(spark.sparkContext.defaultParallelism, -(-source.count() * bands // PARTITION_KEYS)))
     signed = texts.select("id", "t", "h").mapInArrow(_signer(width, bands, rows, parts, id_kind), f"part int, keys binary, texts binary, hot binary, key long, block binary, t long, bits binary, id {kind.simpleString()}, enough boolean")
     bucketed = signed.repartitionById(parts, "part").mapInArrow(_bucketer(id_kind), f"kind string, x long, y long, key long, block array<long>, t long, bits binary, id {kind.simpleString()}, enough boolean")
     bucketed = scratch.materialize(bucketed, "buckets", partition_by=["kind"])
