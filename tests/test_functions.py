@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from tidemark.functions import text as T
 from tidemark.functions.calendar import Week, age_in_dates, age_in_days, days_back, friday_of, from_epoch_seconds, from_iso, from_stamp, latest_completed_friday, monday_of, quarter_hours, week_start_of
-from tidemark.functions.extract import Extractor, Rules, cashtags, extract_tickers
 from tidemark.functions.keys import canonical_ticker, community_key, current_rows, folded
 from tidemark.operators.noise import headline_kind
 
@@ -116,24 +115,3 @@ def test_items_and_display(spark):
     assert one(spark, T.item_groups(T.split_items(F.lit("8.01,4.01,2.02")))) == ["Earnings", "Red flag", "Other"]
     assert [one(spark, T.tone(F.lit(x))) for x in (0.5, 0.1, -0.2)] == ["positive", "neutral", "negative"]
     assert one(spark, T.gauge(F.lit(3.0))) == 100.0 and one(spark, T.percent(F.lit(0.0512))) == "+5.1%"
-
-
-RULES = Rules(frozenset({"AAA", "BBB", "T", "BRK.B", "ALL"}), (("Acme", "AAA", False), ("Bell", "BBB", True), ("Gone", "ZZZ", False)), frozenset({"ALL"}))
-
-
-def test_extractor():
-    find = lambda t, b=None: {m[0]: m[1] for m in Extractor(RULES).find(t, b)}
-    assert find("buy $aaa and $T") == {"AAA": "cashtag", "T": "cashtag"}
-    assert find("ACME rises, bell rings") == {"AAA": "alias"}
-    assert find("the Bell rang") == {"BBB": "alias"}
-    assert find("BBB is nice") == {} and find("BBB stock is nice") == {"BBB": "bare"} and find("BBB at 5%") == {"BBB": "bare"}
-    assert find("ALL T stock") == {} and find("BRK.B shares") == {"BRK.B": "bare"}
-    assert find("stock news", "WOW THIS IS BBB") == {} and find("stock news", "AAA BBB T") == {"AAA": "bare", "BBB": "bare"}
-    assert find("stock https://x.example/AAA r/BBB") == {} and find(None, None) == {}
-    assert find("$AAA AAA Acme") == {"AAA": "cashtag"}
-
-
-def test_extract_tickers(spark):
-    df = spark.createDataFrame([("1", "$AAA up", None), ("2", None, None), ("3", "", "BBB stock $bbb")], "id string, title string, body string")
-    assert rows(extract_tickers(df, RULES)) == [("1", "AAA", "cashtag", 0.95), ("3", "BBB", "cashtag", 0.95)]
-    assert [r[0] for r in df.select(cashtags(F.col("title"), F.col("body"))).collect()] == [["AAA"], [], ["BBB"]]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.functions.text import ITEM_GROUPS, ITEM_NAMES
+from tidemark.functions.extract import CONFIDENCE, CONTEXT_WORDS, NAME, WORD
+from tidemark.functions.text import COMPANY_WORDS, ITEM_GROUPS, ITEM_NAMES, SECURITY_WORDS
 from tidemark.operators.noise import FORECAST, PRESS_RELEASE, PRICE_RECAP, PROMO, RELEASE_OUTLETS, SPAM
+from tidemark.plans.queries import AUTHOR_RULES
 
 TICKER = "replace(regexp_replace(upper(trim(ticker, ' \t\n\r')), '^\\$', ''), '-', '.')"
 NOW = "posts_now AS (SELECT * FROM posts QUALIFY row_number() OVER (PARTITION BY id ORDER BY collected_at DESC, engagement DESC) = 1)"
@@ -63,14 +65,33 @@ def _any(patterns: list[str], text: str) -> str:
 
 
 _release = f"({_any(PRESS_RELEASE[1:], 't')} OR (regexp_matches(t, '^.{{0,60}}\\bannounces?\\b', 'i') AND NOT regexp_matches(t, '\\bamong\\b', 'i')) OR lower(trim(coalesce(community, ''))) IN ({', '.join(map(_q, RELEASE_OUTLETS))}))"
-_words = r"'(?i)\b(inc|incorporated|corp|corporation|co|company|holdings?|group|plc|ltd|limited|n\.?v|s\.?a|ag|the|class [a-z]|common stock)\b\.?'"
-_suffix = r"'(?i)\s*-?\s*(?:New\s+)?(?:Class [A-Z] )?(?:Common Stock|Capital Stock|Ordinary Shares?|Common Shares?|Common Units.*|American Depositary Shares.*)\s*$'"
+_words = _q(COMPANY_WORDS.replace("(?iU)", "(?i)"))
+_suffix = _q(SECURITY_WORDS)
 _name = "map {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in ITEM_NAMES.items()) + "}"
 _group = "CASE " + " ".join(f"WHEN code IN ({', '.join(map(_q, v))}) THEN {i}" for i, v in enumerate(ITEM_GROUPS.values())) + " END"
 _label = "[" + ", ".join(map(_q, ITEM_GROUPS)) + "]"
-_weight = "CASE WHEN source = 'reddit' AND author_age_days < 30 THEN 0.25 WHEN source = 'stocktwits' AND author_age_days < 30 THEN 0.25 ELSE 1 END * CASE WHEN source = 'reddit' AND author_karma < 100 THEN 0.5 WHEN source = 'stocktwits' AND author_karma < 5 THEN 0.5 ELSE 1 END"
+_weight = " * ".join(f"CASE WHEN source = {_q(s)} AND {c} < {r[least]} THEN {r[w]} ELSE 1 END" for s, r in AUTHOR_RULES.items() for c, least, w in (("author_age_days", "min_age_days", "new_account_weight"), ("author_karma", "min_karma", "low_karma_weight")))
+
+_symbol = lambda x, part, letters: f"CASE WHEN regexp_full_match({x}, '{letters}{{1,5}}\\.{letters}') THEN {part.format(x)} WHEN regexp_full_match(split_part({x}, '.', 1), '{letters}{{1,5}}') THEN {part.format(f'split_part({x}, {_q(".")}, 1)')} END"
+TEXTS = f"""{NOW}, texts AS (SELECT id, regexp_replace(regexp_replace(coalesce(title, '') || chr(10) || coalesce(body, ''), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '(^|[^{WORD}/])/?[ru]/[{WORD}]+', '\\1 ', 'g') AS text FROM posts_now),
+dollar AS (SELECT id, list_sort(list_distinct([{_symbol("x", "upper({})", "[A-Za-z]")} FOR x IN regexp_extract_all(text, '(?:^|[^{WORD}$])\\$([{WORD}]+(?:\\.[{WORD}]+)?)', 1)])) AS symbols FROM texts)"""
+NAMES = f"names AS (SELECT {TICKER} AS ticker, lower(trim(regexp_replace(regexp_replace(regexp_replace(company_name, {_words}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s&''-]', ' ', 'g'), '\\s+', ' ', 'g'))) AS name FROM ticker_universe)"
+EXTRACTED = f"""{TEXTS}, {NAMES}, known AS (SELECT DISTINCT ticker FROM names),
+cash AS (SELECT id, ticker FROM (SELECT id, unnest(symbols) AS ticker FROM dollar) JOIN known USING (ticker)),
+cut AS (SELECT id, ap, ticker, regexp_extract_all(lower(text), '[{NAME}]+|[^{NAME}]') AS p FROM texts JOIN (SELECT name, min(ticker) AS ticker, regexp_extract_all(name, '[{NAME}]+|[^{NAME}]') AS ap FROM names WHERE name <> '' GROUP BY name) ON contains(lower(text), name)),
+hits AS (SELECT id, {{'upto': i + len(ap), 'at': i, 't': [ticker]}} AS h FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM cut) WHERE p[i:i + len(ap) - 1] = ap),
+alias AS (SELECT id, unnest(r.t) AS ticker FROM (SELECT id, list_reduce(list(h ORDER BY h.at, h.upto DESC), lambda a, x: CASE WHEN x.at >= a.upto THEN {{'upto': x.upto, 'at': x.at, 't': a.t || x.t}} ELSE a END) AS r FROM hits GROUP BY id)),
+lines AS (SELECT id, gate, unnest(l) AS line FROM (SELECT id, regexp_split_to_array(text, '\\r\\n|[\\n\\x0b\\x0c\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS l, regexp_matches(text, '\\$\\s?[0-9]|[0-9]\\s?%') OR list_has_any(regexp_extract_all(lower(text), '[a-z]+'), [{", ".join(map(_q, CONTEXT_WORDS))}]) AS gate FROM texts)),
+plausible AS (SELECT list(ticker) AS tickers FROM known WHERE ticker NOT IN ('ALL', 'NOW', 'FOR')),
+quiet AS (SELECT id, gate, [{_symbol("x", "{}", "[A-Z]")} FOR x IN regexp_extract_all(line, '(?:^|[^{WORD}$.])([{WORD}]+(?:\\.[{WORD}]+)?)', 1)] AS found FROM lines, plausible
+  WHERE len([x FOR x IN regexp_extract_all(line, '(?:^|[^{WORD}$])([{WORD}]+)', 1) IF regexp_full_match(x, '[A-Z]{{2,}}') AND NOT list_contains(tickers, x)]) < 3),
+bare AS (SELECT DISTINCT id, ticker, gate FROM (SELECT id, gate, unnest(found) AS ticker FROM quiet), plausible WHERE list_contains(tickers, ticker) AND len(replace(ticker, '.', '')) >= 2),
+every AS (SELECT id, ticker, 'cashtag' AS kind, {CONFIDENCE["cashtag"]} AS confidence FROM cash UNION ALL SELECT id, ticker, 'alias', {CONFIDENCE["alias"]} FROM alias
+  UNION ALL SELECT id, ticker, 'bare', {CONFIDENCE["bare"]} FROM bare WHERE gate OR id IN (SELECT id FROM cash) OR id IN (SELECT id FROM alias))"""
 
 ORACLE = {
+    "post_cashtags": f"WITH {TEXTS} SELECT id, array_to_string([x FOR x IN symbols IF x IS NOT NULL], ',') AS symbols FROM dollar WHERE len([x FOR x IN symbols IF x IS NOT NULL]) > 0",
+    "extracted_tickers": f"WITH {EXTRACTED} SELECT id AS post_id, ticker, kind AS match_type, CAST(confidence AS DOUBLE) AS confidence FROM every QUALIFY row_number() OVER (PARTITION BY id, ticker ORDER BY confidence DESC, kind DESC) = 1",
     "p2_found": f"WITH {ROLLING} SELECT ticker, strftime(d, '%Y-%m-%d') AS on_day FROM totals WHERE d >= a + 29 AND count_30 >= 12 AND sum_7 * 30 > sum_30 * 21",
     "p2_totals": f"WITH {ROLLING} SELECT ticker, strftime(d, '%Y-%m-%d') AS on_day, sum_7, round(sum_7 / 7.0, 9) AS avg_7, count_7, sum_30, round(sum_30 / 30.0, 9) AS avg_30, count_30 FROM totals",
     "mentions_effective_scores": f"WITH {NOW}, {TICKERS}, {SCORES}, {EFFECTIVE} SELECT t.post_id, t.ticker, label, round(score, 9) AS score FROM posts_now p JOIN tickers_now t ON t.post_id = p.id LEFT JOIN effective e ON e.post_id = t.post_id AND e.ticker = t.ticker WHERE t.confidence >= 0.5 AND created_at >= TIMESTAMP '2025-01-01' AND created_at < TIMESTAMP '2026-01-01'",

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tidemark import scratch
 from tidemark.functions.calendar import Week, friday_of, quarter_hours, week_start_of
-from tidemark.functions.extract import Rules, cashtags, extract_tickers
+from tidemark.functions.extract import cashtags, extract_tickers
 from tidemark.functions.keys import canonical_ticker, current_rows, table
 from tidemark.functions.text import author_hash, clean_name, content_hash, describe_items, headline_key, name_keys, org_key, simple_sentences
 from tidemark.operators import evaluate, market, noise, read_api, scoring, signals, sinks
 from tidemark.operators.rolling import rolling_totals, spikes
 
+# Parameters of the registered queries: fixed values.
 WEEK = Week.ending(date(2025, 5, 16))
 MODELS = ["secondpass", "lextone"]
 WEIGHTS = {"attention": 0.35, "sentiment": 0.35, "momentum": 0.15, "breadth": 0.15}
@@ -227,9 +228,11 @@ def post_cashtags(spark, sf_dir):
 
 
 def extracted_tickers(spark, sf_dir):
-    """Every post against the whole universe of tickers, which is dimension data."""
-    universe = frozenset(r.t for r in table(spark, sf_dir, "ticker_universe").select(canonical_ticker("ticker").alias("t")).distinct().collect())
-    return extract_tickers(posts_now(spark, sf_dir), Rules(universe, blocklist=frozenset({"ALL", "NOW", "FOR"})))
+    """Every post against the whole universe, with the companies' names, less the words that say what kind of company, as aliases."""
+    universe = table(spark, sf_dir, "ticker_universe").select(canonical_ticker("ticker").alias("ticker"), "company_name")
+    aliases = universe.select(F.get(name_keys(F.col("company_name"), F.array().cast("array<string>")), F.lit(0)).alias("alias"), "ticker", F.lit(False).alias("exact"))
+    blocked = spark.createDataFrame([("ALL",), ("NOW",), ("FOR",)], "word string")
+    return extract_tickers(posts_now(spark, sf_dir), universe, aliases, blocked).select("post_id", "ticker", "match_type", "confidence")
 
 
 # -- filings and market --------------------------------------------------------------------------------------------
