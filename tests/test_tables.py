@@ -36,6 +36,57 @@ def test_upsert_posts(spark, tmp_path):
     assert store.upsert_posts(again) == (0, 2) and view() == want  # a write may be repeated
 
 
+def size(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_a_write_that_fails_leaves_the_table(spark, tmp_path, monkeypatch):
+    """Killed after the data, after the staged manifest, or in the rename: all rows stay, and the next write goes on."""
+    store = Store(spark, str(tmp_path))
+    one = lambda i, eng: posts(spark, (i, T0, "a", eng, 1, 1))
+    store.upsert_posts(one("1", 1))
+    want = [("1", 1)]
+    for n, broken in enumerate(("_publish", "_load", "_fs")):
+        with monkeypatch.context() as m:
+
+            class Fails:
+                def __getattr__(self, name):
+                    if name == "rename":
+                        raise OSError("killed")
+                    return getattr(store.__dict__["_fs_before"], name)
+
+            store._fs_before = store._fs
+            if broken == "_fs":
+                m.setattr(store, "_fs", Fails())
+            elif broken == "_publish":
+                m.setattr(store, "_publish", lambda *x: (_ for _ in ()).throw(OSError("killed")))
+            else:
+                m.setattr(store, "_commit", lambda *x, **y: (_ for _ in ()).throw(OSError("killed")))
+            for write in (lambda: store.upsert_posts(one("1", 50)), lambda: store.replace("posts", one("7", 7)), lambda: store.upsert_posts(one("9", 9))):
+                with pytest.raises(OSError):
+                    write()
+        assert rows(store.read("posts").select("id", "engagement")) == want
+        store.upsert_posts(one(f"n{n}", n))
+        want = sorted([*want, (f"n{n}", n)])
+        assert rows(store.read("posts").select("id", "engagement")) == want
+    assert len(list((tmp_path / "posts" / "data").iterdir())) <= 6
+
+
+def test_a_small_upsert_writes_little(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    many = spark.range(20_000).select(F.format_string("p%06d", "id").alias("id"), F.lit("x").alias("source"), *[F.lit(None).cast("string").alias(c) for c in ("community", "author_id")], *[F.lit(None).cast("int").alias(c) for c in ("author_age_days", "author_karma")], F.lit(T0).cast("timestamp_ntz").alias("created_at"), F.lit(T0).cast("timestamp_ntz").alias("collected_at"), F.sha2(F.col("id").cast("string"), 512).alias("title"), F.sha2((F.col("id") + 1).cast("string"), 512).alias("body"), F.lit(None).cast("string").alias("url"), F.col("id").cast("int").alias("engagement"), F.lit(None).cast("string").alias("content_hash"))
+    assert store.upsert_posts(many) == (20_000, 0)
+    before = size(tmp_path / "posts" / "data")
+    change = many.where("engagement % 100 = 7").withColumn("engagement", F.col("engagement") + 100_000)
+    assert store.upsert_posts(change) == (0, 200)
+    assert size(tmp_path / "posts" / "data") - before < 0.1 * before
+    got = store.read("posts")
+    assert got.count() == 20_000 and got.where("engagement >= 100000").count() == 200
+    for _ in range(20):  # merged now and then
+        store.upsert_posts(change)
+    assert store.read("posts").where("engagement >= 100000").count() == 200 and size(tmp_path / "posts" / "data") < 4 * before
+
+
 def test_insert_replace_and_prices(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     score = lambda *x: spark.createDataFrame([(p, "A", "m", "pos", s, T0) for p, s in x], schema("post_scores"))
