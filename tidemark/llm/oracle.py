@@ -18,8 +18,9 @@ frequent AS (SELECT c, form FROM formed WHERE form <> '' GROUP BY c, form HAVING
 ORACLE = {
     "p1_found": f"WITH {AUTHORED} SELECT post_id, ticker FROM placed WHERE place > 5",
     "p1_kept": f"WITH {AUTHORED} SELECT author, ticker, strftime(week, '%Y-%m-%d') AS week, post_id, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 5",
-    "p1_share": f"""WITH {AUTHORED}, ranked AS (SELECT post_id, ticker, row_number() OVER (PARTITION BY ticker, author ORDER BY engagement DESC NULLS LAST, post_id) AS place,
-        count(*) OVER (PARTITION BY ticker) AS n FROM authored) SELECT post_id, ticker, place FROM ranked WHERE place > greatest(1, floor(n * CAST(0.1 AS DOUBLE)))""",
+    "p1_share": f"""WITH {AUTHORED}, n AS (SELECT ticker, count(*) AS n FROM pairs JOIN posts_now ON id = post_id GROUP BY ticker),
+        ranked AS (SELECT post_id, ticker, row_number() OVER (PARTITION BY ticker, author ORDER BY engagement DESC NULLS LAST, post_id) AS place FROM authored)
+        SELECT post_id, ticker, place FROM ranked JOIN n USING (ticker) WHERE place > greatest(1, floor(n * CAST(0.1 AS DOUBLE)))""",
     "p3_found": f"WITH {LINES} SELECT DISTINCT id AS post_id, CAST(line_no AS INTEGER) AS line_no FROM formed JOIN frequent USING (c, form)",
     "p3_cleaned": f"""WITH {LINES}, hit AS (SELECT id, list(DISTINCT line_no) AS gone FROM formed JOIN frequent USING (c, form) GROUP BY id),
         p AS (SELECT posts.id, collected_at, body, gone, string_split(body, chr(10)) AS parts FROM posts LEFT JOIN hit ON hit.id = posts.id)

@@ -25,12 +25,12 @@ def ticker_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "post_tickers").select("post_id", canonical_ticker("ticker").alias("ticker")).distinct()
 
 
-def _authored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _authored(spark: SparkSession, sf_dir: str, known: bool = True) -> DataFrame:
     posts = current_rows(table(spark, sf_dir, "posts"), "id", "collected_at", ["author_id", "created_at", "engagement", "collected_at"])
     # A week runs from Saturday to Saturday; it is named by its Saturday.
     saturday = F.date_sub(F.next_day(F.to_date("created_at"), "SAT"), 7)
     posts = posts.select(F.col("id").alias("post_id"), folded("author_id").alias("author"), saturday.alias("week"), "engagement", "collected_at")
-    return ticker_pairs(spark, sf_dir).join(posts.where(F.col("author").isNotNull()), "post_id")
+    return ticker_pairs(spark, sf_dir).join(posts.where(F.col("author").isNotNull()) if known else posts, "post_id")
 
 
 def _capped(spark: SparkSession, sf_dir: str) -> CapState:
@@ -57,8 +57,8 @@ def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts of one author beyond a tenth of a ticker's posts."""
-    marked = cap_share(_authored(spark, sf_dir), ["ticker"], "author", "post_id", "engagement", 0.1)
+    """Posts of one author beyond a tenth of a ticker's posts, those without author counted."""
+    marked = cap_share(_authored(spark, sf_dir, known=False), ["ticker"], "author", "post_id", "engagement", 0.1)
     return marked.where(~F.col("kept")).select("post_id", "ticker", F.col("place").cast("long").alias("place"))
 
 
