@@ -29,6 +29,17 @@ def test_every_item_once_and_well_filled(spark):
     assert total / (bins * 100) > 0.85
 
 
+def test_leftovers_up_a_tree_of_workers(spark, monkeypatch):
+    import tidemark.llm.packing as m
+
+    rng = random.Random(9)
+    sizes = [rng.randrange(1, 60) for _ in range(2000)]
+    flat, _ = check(spark, sizes, 100, workers=40)
+    monkeypatch.setattr(m, "FAN_IN", 4)
+    tree, _ = check(spark, sizes, 100, workers=40)  # three levels
+    assert tree <= flat * 1.02
+
+
 @pytest.mark.parametrize("sizes", [[0], [None, 0], [7], [100], [101], [51] * 9, [1] * 250])
 def test_small_inputs(spark, sizes):
     check(spark, sizes, 100)

@@ -35,6 +35,15 @@ ORACLE = {
         s AS (SELECT DISTINCT id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS run FROM t WHERE len(w) >= 3), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
         c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.run = b.run AND a.id < b.id GROUP BY ALL)
         SELECT id_a, id_b FROM c JOIN n na ON na.id = id_a JOIN n nb ON nb.id = id_b WHERE k * 10 >= 6 * (na.n + nb.n - k)""",
+    "p5_classes": f"""WITH RECURSIVE {POSTS}, w AS (SELECT id, regexp_extract_all(lower(coalesce(title, '') || chr(10) || coalesce(body, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM posts_now),
+        t AS (SELECT w, min(id) AS t FROM w GROUP BY w), m AS (SELECT id, t FROM w JOIN t USING (w)),
+        s AS (SELECT DISTINCT t, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS run FROM t WHERE len(w) >= 3), n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
+        c AS (SELECT a.t AS a, b.t AS b, count(*) AS k FROM s a JOIN s b ON a.run = b.run AND a.t <> b.t GROUP BY ALL),
+        e AS (SELECT a, b FROM c JOIN n na ON na.t = a JOIN n nb ON nb.t = b WHERE k * 10 >= 6 * (na.n + nb.n - k)),
+        r AS (SELECT t AS a, t AS b FROM t UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+        g AS (SELECT a AS t, min(b) AS class_id FROM r GROUP BY a), d AS (SELECT a AS t, count(*) AS links FROM e GROUP BY a)
+        SELECT id, class_id, CAST(coalesce(links, 0) AS INTEGER) AS links FROM m JOIN g USING (t) LEFT JOIN d USING (t)""",
+    "p7_whole": "SELECT doc_id, greatest(1, CAST(ceil(n_chars / 4096.0) AS BIGINT)) AS pieces, n_chars AS tokens, true AS right FROM documents",
     "p6_found": f"""WITH s AS (SELECT CAST(date_trunc('week', week_start) AS DATE) AS week, {TICKER} AS ticker, composite_bull, composite_bear FROM weekly_signals),
         v AS (SELECT week, ticker, 'bull' AS side, composite_bull AS value FROM s UNION ALL SELECT week, ticker, 'bear', composite_bear FROM s),
         m AS (SELECT week, side, ticker, max(value) AS value FROM v WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL)

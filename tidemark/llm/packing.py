@@ -2,8 +2,8 @@
 
 Lengths are cut into reciprocal-capacity classes: an item of class k has at most capacity / k tokens, so k of them
 always fit in one container. Each class fills its containers with a fixed number of items, independently on every
-worker; what a worker has left of a class is filled up across workers, and the few items left then (fewer than k of each
-class, a number that doesn't grow with the data) are packed by first fit.
+worker; what a worker has left of a class is filled up with what ``FAN_IN`` workers have left, and so on up a tree, and the few
+items left at its root (fewer than k of each class, a number that doesn't grow with the data) are packed by first fit.
 
 Large items leave room: a container of one item of 60 % wastes 40. Before the small classes are packed, the room left in
 containers of the large classes is offered to them in slots of capacity / k, again a fixed number by class and
@@ -25,6 +25,8 @@ from tidemark import scratch
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Items that a worker ranks together; the number of workers follows from it and the number of items.
 WORKER_ITEMS = 200_000
+#: Workers whose leftovers are filled up together: a task has fewer than FAN_IN * k items of a class.
+FAN_IN = 64
 #: Classes up to this one have room to fill; later ones fill it.
 LARGE = 6
 
@@ -134,10 +136,16 @@ def pack(sizes: DataFrame, ident: str, tokens: str, capacity: int, workers: int
 
     filled = scratch.materialize(fill(placed.where(F.col("container").isNull()).drop("container"), ["k", "w"], local), "filled")
     left = large.where(F.col("container").isNull()).unionByName(filled.where(F.col("container").isNull())).drop("container")
-    # Across workers: fewer than k items per class and worker are left.
-    joint = scratch.materialize(fill(left, ["k"], F.concat_ws("/", F.lit("joint"), F.col("k").cast("string"))), "joint")
-    rest = joint.where(F.col("container").isNull()).select("_tm_id", "piece", "tokens", F.lit(0).alias("all")).groupBy("all").applyInPandas(_first_fit(capacity), joint.select("_tm_id", "piece", "tokens", "container").schema)
-    parts = [x.where(F.col("container").isNotNull()).select("_tm_id", "piece", "tokens", "container") for x in (large, placed, filled, joint)] + [rest]
+    # Up the tree: fewer than k items per class and worker are left.
+    levels, number, level = [], workers, 0
+    while number > 1 or level == 0:
+        number, level = -(-number // FAN_IN), level + 1
+        joint = fill(left.withColumn("w", F.floor(F.col("w") / FAN_IN).cast("int")), ["k", "w"], F.concat_ws("/", F.lit(f"joint{level}"), F.col("k").cast("string"), F.col("w").cast("string")))
+        levels.append(scratch.materialize(joint, "joint"))
+        left = levels[-1].where(F.col("container").isNull()).drop("container")
+    rest = left.select("_tm_id", "piece", "tokens", F.lit(0).alias("all")).groupBy("all").applyInPandas(_first_fit(capacity), levels[-1].select("_tm_id", "piece", "tokens", "container").schema)
+    parts = [x.where(F.col("container").isNotNull()).select("_tm_id", "piece", "tokens", "container") for x in (large, placed, filled, *levels)] + [rest]
+    scratch.release(items, pieces)
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

@@ -128,6 +128,16 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("containers"), F.max("t").cast("long").alias("fullest"), F.sum("n").cast("long").alias("pieces"), F.sum("t").cast("long").alias("tokens"), F.ceil(F.sum("t") / CAPACITY).alias("least_containers"), F.round(F.sum("t") / (F.count(F.lit(1)) * CAPACITY), 4).alias("used"))
 
 
+def p7_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document packed by its number of characters: its pieces, their sum, and whether none of their containers is
+    overfull and all of them follow one another."""
+    packed = scratch.materialize(pack(table(spark, sf_dir, "documents"), "doc_id", "n_chars", 2 * CAPACITY), "packed")
+    full = packed.groupBy("container").agg((F.sum("tokens") <= 2 * CAPACITY).alias("fits"))
+    per = packed.join(full, "container").groupBy("doc_id")
+    chain = F.sum("token_to") - F.sum("token_from") == F.max("token_to")
+    return per.agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").cast("long").alias("tokens"), (F.bool_and("fits") & chain & (F.countDistinct("piece") == F.count(F.lit(1)))).alias("right"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -146,4 +156,4 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "sent_no", "sentence")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_share, p3_found, p3_cleaned, p4_found, p5_found, p5_classes, p6_found, p7_containers, p7_fill, p8_found, p8_paraphrases, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_share, p3_found, p3_cleaned, p4_found, p5_found, p5_classes, p6_found, p7_containers, p7_fill, p7_whole, p8_found, p8_paraphrases, p9_found, p9_sentences)}
