@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidemark.functions.calendar import Week
-from tidemark.operators import evaluate, market, scoring, signals
+from tidemark.operators import evaluate, market, ranking, scoring, signals
 
 WEEK = Week.ending(date(2025, 5, 16))
 
@@ -111,6 +111,11 @@ def test_evaluation_tells_leading_from_following(spark):
         assert lead.weeks == 20
     p = panel(spark, "leads")
     assert {r.signal: r.verdict for r in evaluate.verdict(evaluate.lead_lag(p)).collect()}["sentiment"] == "leads"
+    table = spark.createDataFrame([(n, h, ic, t) for n, prior, after in (("leads", (0.1, 9.0), (0.1, 2.0)), ("reverse", (0.1, 1.0), (-0.3, -5.0)), ("follows", (-0.4, -3.0), (0.1, 2.5)), ("none", (0.1, 3.0), (0.2, 1.0)), ("unknown", (0.1, 3.0), (None, None)), ("none2", (0.1, None), (0.2, None))) for h, (ic, t) in (("ret_prior", prior), ("ret_next", after))], "signal string, horizon string, mean_ic double, t_stat double")
+    assert all(r.signal.rstrip("2") == r.verdict for r in evaluate.verdict(table).collect())
+    full = {(r.part, r.measure): r.value for r in ranking.analyse(p.withColumn("mentions", F.lit(1))).collect()}
+    assert full[("panel", "weeks_with_returns")] == 20 and full[("panel", "enough_data")] == 1 and full[("ic_bull", "t_stat")] > 5 and full[("bull_list", "picks")] == 0  # attention is constant
+    assert {(r.part, r.measure): r.value for r in ranking.analyse(p.withColumn("mentions", F.lit(1)).limit(0)).collect()}[("panel", "weeks_with_returns")] == 0
     spread = evaluate.cumulative(evaluate.quintile_spread(p, "composite_bull"), "week_start", "spread").orderBy("week_start").collect()
     assert statistics.mean(r.spread for r in spread) > 1 and abs(spread[1].cumulative - ((1 + spread[0].spread) * (1 + spread[1].spread) - 1)) < 1e-9
     r = evaluate.hit_rate(p, "composite_bull", 3, "bull", F.col("sentiment") > 0).first()
@@ -149,6 +154,53 @@ def test_scoring(spark):
     assert got == [("1", "Y", "lexicon", "pos", 1.0), ("2", "X", "lexicon", "pos", 1.0), ("3", "X", "lexicon", "neg", -1.0)]
     picks = scoring.second_pass(posts, tickers, scores, "base", "own", t + timedelta(days=1), top_k=1)
     assert [(r.post_id, r.top) for r in picks.collect()] == [("2", False)]
-    reply = spark.createDataFrame([('{"label": "pos", "score": 3}',), ('{"label": "odd", "score": 0}',), ("broken",), (None,)], "r string")
-    assert [r[0] and tuple(r[0]) for r in reply.select(scoring.score_from_reply(F.col("r"))).collect()] == [("pos", 1.0), None, None, None]
+    reply = spark.createDataFrame([('{"label": "bullish", "score": 3}',), ('{"label": "bearish", "score": "-0.123456"}',), ('{"label": "neutral", "score": 0.04}',), ('{"label": "pos", "score": 0}',), ('{"label": "bullish"}',), ("broken",), (None,)], "r string")
+    assert [r[0] and tuple(r[0]) for r in reply.select(scoring.score_from_reply(F.col("r"))).collect()] == [("pos", 1.0), ("neg", -0.1235), ("neu", 0.04), None, None, None, None]
+    own = scoring.run_second_pass(posts, tickers, scores, "base", type("Own", (scoring.LexiconScorer,), {"name": "own"})(), t + timedelta(days=1), top_k=1)
+    assert rows(own.select("post_id", "ticker", "model", "label")) == [("2", "X", "own", "pos")]
+
+
+def test_each_ticker_is_scored_by_its_own_sentences(spark):
+    t = datetime(2025, 5, 1)
+    posts = spark.createDataFrame([("1", t, "Two of them", "AAA is a strong buy. Acme Works? weak! $bbb will crash. aaab buy", 5), ("2", t, None, "strong buy", 1)], "id string, created_at timestamp_ntz, title string, body string, engagement int")
+    tickers = spark.createDataFrame([("1", "AAA", "bare"), ("1", "BBB", "bare"), ("1", "CCC", "bare"), ("1", "D.D", "bare"), ("2", "AAA", "bare")], "post_id string, ticker string, match_type string")
+    aliases = spark.createDataFrame([("acme works", "CCC", False), ("TWO", "D.D", True)], "alias string, ticker string, exact boolean")
+    none = spark.createDataFrame([], "post_id string, ticker string, model string, label string, score double, scored_at timestamp_ntz")
+    got = {(r.post_id, r.ticker): r.score for r in scoring.score_pending(posts, tickers, none, scoring.LexiconScorer(), t, aliases).collect()}
+    assert got == {("1", "AAA"): 1.0, ("1", "BBB"): -1.0, ("1", "CCC"): 0.0, ("1", "D.D"): (3 - 2) / 5, ("2", "AAA"): 1.0}
+    assert [r.post_id for r in scoring.in_order(scoring.pairs_to_score(posts, tickers, none, "m")).collect()] == ["1"] * 4 + ["2"]
     assert tuple(spark.range(1).select(scoring.score_from_probabilities(F.lit(0.2), F.lit(0.7), F.lit(0.1))).first()[0]) == ("neg", -0.5)
+
+
+def test_all_weeks_at_once_are_what_each_week_is(spark):
+    from tidemark.operators import read_api
+
+    rng = random.Random(5)
+    first = datetime(2025, 1, 1)
+    data = [(f"p{n}", rng.choice("AB"), rng.choice(["u", "v", None]), rng.choice("xyz"), "reddit", first + timedelta(minutes=rng.randrange(80 * 1440)), rng.choice([None, 0.5, -1.0]), float(rng.randrange(4))) for n in range(400)]
+    data += [("edge", "A", "u", "x", "reddit", datetime(2025, 2, 1), 1.0, 1.0)]  # Saturday 00:00
+    mentions = spark.createDataFrame(data, "post_id string, ticker string, author_id string, community string, source string, created_at timestamp_ntz, score double, weight double")
+    together = rows(signals.weekly_components(signals.spread_over_weeks(mentions), by=["week_start"]))
+    alone = []
+    for k in range(-1, 14):
+        week = Week.ending(date(2025, 1, 3) + timedelta(weeks=k))
+        inside = signals.with_days(mentions, week).where(F.col("day").between(0, 36))
+        alone += [(week.monday, *r) for r in rows(signals.weekly_components(inside))]
+    close = lambda a, b: all(x == y or isinstance(x, float) and abs(x - y) < 1e-9 for x, y in zip(a, b))
+    assert len(together) == len(alone) > 15 and all(close(a, b) for a, b in zip(together, sorted(alone, key=repr)))
+    bars = [(t, date(2025, 1, 1) + timedelta(days=d), 10 + rng.random(), float(rng.randrange(1, 9))) for t in "AB" for d in range(59) if rng.random() < 0.7 and not (t == "B" and d > 35)]
+    frame = spark.createDataFrame(bars, "ticker string, date date, close double, volume double")
+    weekly = {(r.week_start, r.ticker): tuple(r)[2:] for r in market.weekly_context(frame).collect()}
+    for friday in (date(2025, 1, 31), date(2025, 2, 28)):
+        for r in market.session_context(frame.where(F.col("date") >= F.lit(friday - timedelta(days=60))), friday).collect():
+            assert close([x or 0.0 for x in tuple(r)[1:]], [x or 0.0 for x in weekly[(friday - timedelta(days=4), r.ticker)]])
+    buys = spark.createDataFrame([("A", date(2025, 1, 31), 2), ("A", date(2025, 1, 31), 0), ("B", date(2025, 2, 3), None)], "ticker string, filing_date date, purchase_count int")
+    flags = {(r.week_start, r.ticker): r.insider_buy_flag for r in market.purchases_within(buys, 30).collect()}
+    for k in range(8):
+        friday = date(2025, 1, 24) + timedelta(weeks=k)
+        one = market.flag_within(spark.createDataFrame([("A",), ("B",)], "ticker string"), buys, friday, 30).collect()
+        assert all(r.insider_buy_flag == flags.get((friday - timedelta(days=4), r.ticker), False) for r in one)
+    lists = [spark.createDataFrame(x, "rank int, ticker string, red_flag boolean, events string") for x in ([(1, "A", True, "e"), (2, "B", False, None), (3, "C", True, "f")], [(1, "C", True, "f"), (2, "D", None, None), (3, "E", True, "g")])]
+    assert [tuple(r) for r in read_api.red_flag_panel(*lists).collect()] == [("A", "e"), ("C", "f"), ("E", "g")]
+    top = spark.createDataFrame([("news", "Why Acme stock plunged today", None), ("reddit", "Why Acme stock plunged today", None), ("news", "Plain", "PR Newswire"), ("news", None, None)], "source string, title string, community string")
+    assert [(r.kind_label or "")[:5] for r in read_api.with_news_kind(top).collect()] == ["PRICE", "", "PRESS", ""]

@@ -157,19 +157,23 @@ def test_bulk_news(spark, tmp_path):
         f[-1] = extras
         return "\t".join(f)
 
-    text = "\n".join([line("u1", "acme corp;other", "<PAGE_TITLE>Acme &amp; friends rise</PAGE_TITLE><PAGE_PRECISEPUBTIMESTAMP>20250501113000</PAGE_PRECISEPUBTIMESTAMP>"), line("u2", "acme corp", "<PAGE_TITLE>Nothing about it at all</PAGE_TITLE>"), line("u3", "acme", "no title"), line("u4", "acme", "x", 20), line("u1", "Acme", "<PAGE_TITLE>Acme &amp; friends rise</PAGE_TITLE>")])
+    text = "\n".join([line("u1", " acme;other;acme", "<PAGE_TITLE>Acme &amp; friends rise</PAGE_TITLE><PAGE_PRECISEPUBTIMESTAMP>20250501113000</PAGE_PRECISEPUBTIMESTAMP>"), line("u2", "acme", "<PAGE_TITLE>Nothing about it at all</PAGE_TITLE>"), line("u3", "acme", "no title"), line("u4", "acme", "x", 20), line("u1", "shared", "<PAGE_TITLE>Acme &amp; friends rise</PAGE_TITLE>")])
     (tmp_path / "a.tsv").write_text(text)
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("a.tsv", text)
-    orgs = feeds.org_tickers(spark.createDataFrame([("AAA", "Acme Corp"), ("BBB", "Shared Inc"), ("CCC", "Shared")], "ticker string, name string"))
-    assert rows(orgs) == [("acme", "AAA")]
+    universe = spark.createDataFrame([("AAA", "Acme Corp", 1.0), ("BBB", "Shared Inc", 5.0), ("CCC", "Shared", 9.0), ("DDD", "AT&T-Works", None), ("EEE", "Abc", 3.0), ("FFF", None, 1.0), ("GGG", "Shared Co", float("nan"))], "ticker string, company_name string, liquidity double")
+    aliases = spark.createDataFrame([("Acme", "BBB"), ("abc", "EEE"), ("gone", "ZZZ")], "alias string, ticker string")
+    assert rows(feeds.org_tickers(universe, aliases)) == [("abc", "EEE"), ("acme", "BBB"), ("at&t-works", "DDD"), ("shared", "CCC")]
+    orgs = feeds.org_tickers(universe)
+    assert rows(orgs) == [("acme", "AAA"), ("at&t-works", "DDD"), ("shared", "CCC")]
     keys = spark.createDataFrame([("AAA", ["acme"])], "ticker string, keys array<string>")
     for raw in (feeds.read_bulk_news(spark, str(tmp_path / "a.tsv")), feeds.read_bulk_news(spark, str(tmp_path / "a.zip"), zipped=True)):
         assert raw.count() == 4
-        (r,) = feeds.bulk_news_posts(raw, orgs, keys, T0).collect()
+        (r,) = feeds.bulk_news_posts(raw, orgs, keys, T0, min_title=10).collect()
         assert (r.title, r.created_at, r.source_tickers, r.url) == ("Acme & friends rise", datetime(2025, 5, 1, 11, 30), ["AAA"], "u1")
+        assert feeds.bulk_news_posts(raw, orgs, keys, T0, min_title=30).count() == feeds.bulk_news_posts(raw, orgs, keys, T0, min_title=10, excluded=["ACME"]).count() == 0
     ledger = spark.createDataFrame([("20250501000000", "done"), ("20250501001500", "error")], "stamp string, status string")
-    assert [r[0] for r in rows(feeds.pending_stamps(spark, ledger, T0, T0 + timedelta(minutes=40), timedelta(0)))] == ["20250501001500", "20250501003000"]
+    assert [r[0] for r in rows(feeds.pending_stamps(spark, ledger, T0, T0 + timedelta(minutes=55), timedelta(0)))] == ["20250501001500", "20250501003000"]  # that of 00:45 isn't there yet
 
 
 def test_json_feeds(spark, tmp_path):
@@ -199,8 +203,22 @@ def test_filings(spark, tmp_path):
     assert got[1].document_url.endswith("/456/b.xml") and got[0].url.endswith("/123/1-2-3-index.htm")
     one = lambda code, n, p, d="A": f"<nonDerivativeTransaction><transactionCoding><transactionCode>{code}</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>{n}</value></transactionShares><transactionPricePerShare><value>{p}</value></transactionPricePerShare><transactionAcquiredDisposedCode><value>{d}</value></transactionAcquiredDisposedCode></transactionAmounts></nonDerivativeTransaction>"
     (tmp_path / "f.xml").write_text(f"<ownershipDocument>{one('P', 10, 2.5)}{one('P', 'x', 1)}{one('S', 5, 5, 'D')}{one('P', 3, '')}</ownershipDocument>")
-    (r,) = filings.read_purchases(spark, str(tmp_path / "f.xml")).collect()
-    assert (r.purchase_count, r.purchase_value) == (3, 25.0)
+    (tmp_path / "g.xml").write_text("<ownershipDocument><issuer>x</issuer></ownershipDocument>")
+    read = lambda paths: filings.read_purchases(spark, str(tmp_path / "[fg].xml")).join(paths, "path", "left_semi")
+    assert [(r.path[-5:], r.purchase_count, r.purchase_value) for r in filings.read_purchases(spark, str(tmp_path / "[fg].xml")).orderBy("path").collect()] == [("f.xml", 3, 25.0), ("g.xml", 0, 0.0)]
+    store = Store(spark, str(tmp_path / "store"))
+    at = [r.path for r in filings.read_purchases(spark, str(tmp_path / "[fg].xml")).orderBy("path").collect()]
+    reports = spark.createDataFrame([("a1", "AAA", date(2025, 5, 1), at[0]), ("a2", "AAA", date(2025, 5, 2), at[1])], "accession string, ticker string, filing_date date, path string")
+    assert filings.update_insider_cache(store, reports.limit(1), read, T0) == 1
+    asked = []
+    assert filings.update_insider_cache(store, reports, lambda paths: asked.extend(r.path for r in paths.collect()) or read(paths), T0) == 1 and asked == [at[1]]
+    assert filings.update_insider_cache(store, reports, None, T0) == 0
+    assert rows(store.read("insider_filings").select("accession", "purchase_count")) == [("a1", 3), ("a2", 0)]
+    (tmp_path / "lists").mkdir()
+    for cik in (5, 6, 7):
+        (tmp_path / "lists" / f"CIK00{cik}.json").write_text(json.dumps(dict(filings=dict(recent=recent))))
+    many = filings.read_submissions_folder(spark, str(tmp_path / "lists"), spark.createDataFrame([(5, "A"), (5, "AB"), (6, "B")], "cik int, ticker string"), ["8-K"], date(2025, 1, 1), date(2025, 12, 31))
+    assert [(r.ticker, r.cik, r.url.split("/")[-3]) for r in many.orderBy("cik").collect()] == [("A", 5, "5"), ("B", 6, "6")]
 
 
 def test_streams(spark, tmp_path):

@@ -71,6 +71,12 @@ def days_back(ts: Column, end: datetime, parity: bool = False) -> Column:
     return F.floor((micros if parity else micros - 1) / F.lit(86_400_000_000)).cast("int")
 
 
+def days_before_week_end(ts: Column, friday: Column) -> Column:
+    """As :func:`days_back` for the week that closes on a column's Friday."""
+    micros = F.timestamp_diff("MICROSECOND", ts, F.date_add(friday, 1).cast("timestamp_ntz"))
+    return F.floor((micros - 1) / F.lit(86_400_000_000)).cast("int")
+
+
 def from_epoch_seconds(c: Column) -> Column:
     return F.timestamp_seconds(c).cast("timestamp_ntz")
 

@@ -37,22 +37,26 @@ def simhash_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def _majority(bits: np.ndarray) -> int:
-    ones = bits.sum(axis=0) * 2 > len(bits)
-    value = int("".join("1" if b else "0" for b in ones), 2)
-    return value - (1 << 64) if value >= 1 << 63 else value
-
-
 def _simhash_of(digest, width: int):
+    def block(words: list) -> list:
+        """SimHashes of texts of ``width`` words or more."""
+        counts = np.array([len(w) - width + 1 for w in words])
+        raw = b"".join(digest(" ".join(w[i : i + width]).encode()) for w in words for i in range(len(w) - width + 1))
+        ones = np.add.reduceat(np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1), np.cumsum(counts) - counts, axis=0, dtype=np.int32)
+        return np.packbits(ones * 2 > counts[:, None], axis=1).view(">i8").ravel().tolist()
+
     @pandas_udf(T.LongType())
     def simhash(words: pd.Series) -> pd.Series:
-        out = []
-        for w in words:
-            if w is None or len(w) < width:
-                out.append(None)
-                continue
-            raw = b"".join(digest(" ".join(w[i : i + width]).encode()) for i in range(len(w) - width + 1))
-            out.append(_majority(np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)))
+        lists = [w if w is not None and len(w) >= width else None for w in words]
+        at = [i for i, w in enumerate(lists) if w is not None]
+        out: list = [None] * len(lists)
+        begin, size = 0, 0
+        for k, i in enumerate(at):
+            size += len(lists[i])
+            if size > 200_000 or k == len(at) - 1:
+                for j, value in zip(at[begin : k + 1], block([lists[j] for j in at[begin : k + 1]])):
+                    out[j] = value
+                begin, size = k + 1, 0
         return pd.Series(out, dtype="Int64")
 
     return simhash
@@ -162,8 +166,8 @@ def name_keys(company: Column, aliases: Column) -> Column:
 
 
 def org_key(name: Column, least: int = 4) -> Column:
-    """Organisation name for matching: no company words, punctuation as blanks, lower case; NULL under ``least`` characters."""
-    key = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, COMPANY_WORDS, " "), r"(?U)[^\w\s]", " "), r"(?U)\s+", " ")))
+    """Organisation name for matching: no company words, punctuation but & ' - as blanks, lower case; NULL under ``least`` characters."""
+    key = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, COMPANY_WORDS, " "), r"(?U)[^\w\s&'-]", " "), r"(?U)\s+", " ")))
     return F.when(F.length(key) >= least, key)
 
 
@@ -186,13 +190,13 @@ def simple_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def context_text(title: Column, body: Column, pattern: Column, n_tickers: Column, max_chars: int) -> Column:
+def context_text(title: Column, body: Column, pattern: Column, n_tickers: Column, max_chars: int | None = None) -> Column:
     """Text to score for one entity: the whole text, or with several entities only the sentences that match ``pattern``
-    (all of them when none does), cut to ``max_chars`` characters."""
-    whole = F.trim(F.concat(_text(title), F.lit("\n"), _text(body)))
+    (all of them when none does), cut to ``max_chars`` characters if given."""
+    whole = F.concat_ws("\n", F.nullif(title, F.lit("")), F.nullif(body, F.lit("")))
     own = F.filter(simple_sentences(whole), lambda s: F.rlike(s, pattern))
     picked = F.when((n_tickers > 1) & (F.size(own) > 0), F.array_join(own, " ")).otherwise(whole)
-    return F.substring(picked, 1, max_chars)
+    return picked if max_chars is None else F.substring(picked, 1, max_chars)
 
 
 # -- filing items --------------------------------------------------------------------------------------------------

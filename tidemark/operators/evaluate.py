@@ -98,11 +98,16 @@ def added_signal(panel: DataFrame, base: str = "composite_bull", extra: str = "r
 
 
 def verdict(table: DataFrame, min_t: float = 2.0) -> DataFrame:
-    """Per signal what its rank correlations with prior and next returns say: an ordered list of decisions."""
+    """(signal, verdict): what a signal's rank correlations with prior and next returns say, the first that holds of:
+
+    unknown (one of them is missing), leads (next is significant, positive and no weaker than prior), reverse (next is significant
+    and negative), follows (prior is significant and stronger than next), none.
+    """
     at = lambda h, c: F.max(F.when(F.col("horizon") == h, F.col(c)))
     wide = table.groupBy("signal").agg(at("ret_prior", "mean_ic").alias("p"), at("ret_prior", "t_stat").alias("pt"), at("ret_next", "mean_ic").alias("n"), at("ret_next", "t_stat").alias("nt"))
     strong = lambda t: F.coalesce(F.abs(F.col(t)) >= min_t, F.lit(False))
-    kind = F.when(F.col("n").isNull() | F.col("p").isNull(), "unknown").when(strong("nt") & (F.abs("n") >= F.abs("p")), "leads").when(strong("nt"), "leads_and_follows").when(strong("pt"), "follows").otherwise("none")
+    kind = F.when(F.col("n").isNull() | F.col("p").isNull(), "unknown").when(strong("nt") & (F.col("n") > 0) & (F.abs("n") >= F.abs("p")), "leads")
+    kind = kind.when(strong("nt") & (F.col("n") < 0), "reverse").when(strong("pt") & (F.abs("p") > F.abs("n")), "follows").otherwise("none")
     return wide.select("signal", kind.alias("verdict"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.calendar import friday_of, week_start_of
 from tidemark.functions.text import ITEM_NAMES, item_groups, split_items
 
 
@@ -33,6 +34,41 @@ def session_context(bars: DataFrame, friday: date, short: int = 5, long: int = 2
     return out.select("ticker", (F.try_divide(F.col("c0"), F.col("cs")) - 1).alias("ret_5d"), (F.try_divide(F.col("c0"), F.col("cl")) - 1).alias("ret_30d"), ratio("v", "b").alias("rel_volume"), F.try_divide(F.coalesce(F.col("up"), F.lit(0.0)), F.when(F.col("down") > 0, F.col("down"))).alias("updown_vol_ratio"))
 
 
+def weekly_context(bars: DataFrame, short: int = 5, long: int = 21, baseline_days: int = 30, context_days: int = 60) -> DataFrame:
+    """:func:`session_context` for all weeks at once: (week_start, ticker, ret_5d, ret_30d, rel_volume, updown_vol_ratio) of
+    every week that a ticker's bars of the ``context_days`` before its Friday reach; only those bars count.
+
+    A bar takes the closes ``short`` and ``long`` sessions before it along and goes to the weeks it can serve, at most
+    ``context_days // 7 + 1``; then all is one aggregation.
+    """
+    sessions = W.partitionBy("ticker").orderBy("date")
+    seen = bars.select("ticker", "date", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"), friday_of(F.col("date")).alias("own"))
+    for k, name in ((1, "p"), (short, "s"), (long, "l")):
+        seen = seen.withColumn(name, F.lag("close", k).over(sessions)).withColumn(f"{name}_at", F.lag("date", k).over(sessions))
+    weeks = F.transform(F.sequence(F.lit(0), F.lit(context_days // 7 + 1)), lambda j: F.date_add("own", j * 7))
+    rows = seen.withColumn("friday", F.explode(weeks)).where(F.datediff("friday", "date") <= context_days)
+    start = F.date_sub("friday", 6)
+    known = lambda name: F.when(F.datediff("friday", f"{name}_at") <= context_days, F.col(name))
+    week, base = F.col("date") >= start, (F.col("date") < start) & (F.col("date") >= F.date_sub(start, baseline_days))
+    change = F.col("close") - known("p")
+    total = lambda when: F.sum(F.when(week & when, F.col("volume")))
+    out = rows.groupBy("ticker", "friday").agg(
+        F.max_by(F.struct(F.col("close").alias("c"), known("s").alias("s"), known("l").alias("l")), "date").alias("last"),
+        F.avg(F.when(week, F.col("volume"))).alias("v"), F.avg(F.when(base, F.col("volume"))).alias("b"), total(change > 0).alias("up"), total(change < 0).alias("down"),
+    )
+    ratio = lambda x, y: F.try_divide(x, F.when(y > 0, y))
+    ret = lambda x: F.try_divide(F.col("last.c"), F.col(f"last.{x}")) - 1
+    return out.select(F.date_sub("friday", 4).alias("week_start"), "ticker", ret("s").alias("ret_5d"), ret("l").alias("ret_30d"), ratio(F.col("v"), F.col("b")).alias("rel_volume"), ratio(F.coalesce("up", F.lit(0.0)), F.col("down")).alias("updown_vol_ratio"))
+
+
+def purchases_within(filings: DataFrame, lookback_days: int) -> DataFrame:
+    """(week_start, ticker, insider_buy_flag) of all weeks with a filing in (friday - lookback, friday]: any with purchases?"""
+    own = friday_of(F.col("filing_date"))
+    weeks = F.transform(F.sequence(F.lit(0), F.lit(lookback_days // 7 + 1)), lambda j: F.date_add(own, j * 7))
+    served = filings.where(F.col("filing_date").isNotNull()).select("ticker", "filing_date", "purchase_count", F.explode(weeks).alias("friday")).where(F.datediff("friday", "filing_date") < lookback_days)
+    return served.groupBy(F.date_sub("friday", 4).alias("week_start"), "ticker").agg(F.bool_or(F.coalesce(F.col("purchase_count") > 0, F.lit(False))).alias("insider_buy_flag"))
+
+
 def mean_dollar_volume(bars: DataFrame, sessions: int = 30) -> DataFrame:
     """(ticker, avg_dollar_volume): mean of close times volume over the last ``sessions`` bars; not positive ones dropped."""
     last = bars.withColumn("back", F.row_number().over(W.partitionBy("ticker").orderBy(F.col("date").desc()))).where(F.col("back") <= sessions)
@@ -117,3 +153,25 @@ def return_panel(signals: DataFrame, bars: DataFrame) -> DataFrame:
         out = out.join(at, ["ticker", "_tm_f"], "left")
     ret = lambda x, y: F.try_divide(F.col(f"_tm_{y}"), F.col(f"_tm_{x}")) - 1
     return out.withColumns({"ret_prior": ret("a", "b"), "ret_same": ret("b", "c"), "ret_next": ret("c", "d")}).drop("_tm_f", "_tm_a", "_tm_b", "_tm_c", "_tm_d")
+
+
+def with_context(signals: DataFrame, bars: DataFrame, purchases: DataFrame | None, filings: DataFrame | None, forms: list[str], lookback_days: int = 30, **limits: float) -> DataFrame:
+    """Signals (week_start, ticker, composites, ...) of any number of weeks with everything that is context only and never
+    ranks: returns and volume, early_chatter_flag, insider_buy_flag, events and red_flag.
+
+    Without ``purchases`` (insider filings) or ``filings`` (SEC) their columns are NULL, as nothing is known; with them, tickers that have
+    none get false.
+    """
+    key = ["week_start", "ticker"]
+    out = signals.join(weekly_context(bars), key, "left")
+    out = early_chatter(out, ["week_start"], **limits)
+    no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    if purchases is None:
+        out = out.withColumn("insider_buy_flag", F.lit(None).cast("boolean"))
+    else:
+        out = out.join(purchases_within(purchases, lookback_days), key, "left").withColumn("insider_buy_flag", no("insider_buy_flag"))
+    if filings is None:
+        return out.withColumns({"events": F.lit(None).cast("string"), "red_flag": F.lit(None).cast("boolean")})
+    at = F.coalesce(F.col("accepted_at"), F.col("filing_date").cast("timestamp_ntz"))
+    known = filings.where(F.col("form").isin(forms) & at.isNotNull()).withColumn("week_start", week_start_of(at))
+    return out.join(event_labels(known, ["ticker", "week_start"]), key, "left").withColumn("red_flag", no("red_flag"))

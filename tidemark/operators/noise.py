@@ -40,27 +40,31 @@ def headline_kind(title: Column, outlet: Column | None = None) -> Column:
     return classify(title, rules, "news", outlet, {"press_release": RELEASE_OUTLETS}, {"price_recap": FORECAST})
 
 
-def _first_per_key(df: DataFrame, key: Column) -> DataFrame:
-    """Rows without a key, and all rows of the earliest post of each key.
+def _first_per_key(df: DataFrame, key: Column, by: list[str]) -> DataFrame:
+    """Rows without a key, and all rows of the earliest post of each key within ``by``.
 
     The earliest is found by aggregation (one row per key and task moves) and joined back, so a key with a third of
     all rows isn't gathered in one task; ties by post_id.
     """
     df = df.withColumn("_tm_key", key)
-    first = df.where(F.col("_tm_key").isNotNull()).groupBy("_tm_key").agg(F.min(F.struct("created_at", "post_id")).alias("_tm_first"))
-    winners = first.select(F.col("_tm_first.post_id").alias("post_id"), "_tm_key")
-    kept = df.where(F.col("_tm_key").isNotNull()).join(winners, ["post_id", "_tm_key"], "left_semi")
-    return kept.unionByName(df.where(F.col("_tm_key").isNull())).drop("_tm_key").select(df.drop("_tm_key").columns)
+    first = df.where(F.col("_tm_key").isNotNull()).groupBy(*by, "_tm_key").agg(F.min(F.struct("created_at", "post_id")).alias("_tm_first"))
+    winners = first.select(*by, F.col("_tm_first.post_id").alias("post_id"), "_tm_key")
+    kept = df.where(F.col("_tm_key").isNotNull()).join(winners, [*by, "post_id", "_tm_key"], "left_semi")
+    columns = df.drop("_tm_key").columns
+    return kept.select(columns).unionByName(df.where(F.col("_tm_key").isNull()).select(columns))
 
 
-def drop_reposts(df: DataFrame) -> DataFrame:
-    """Only the earliest post of each content hash, with all its rows; rows without a hash stay."""
-    return _first_per_key(df, F.col("content_hash"))
+def drop_reposts(df: DataFrame, by: list[str] = []) -> DataFrame:
+    """Only the earliest post of each content hash (within ``by``), with all its rows; rows without a hash stay."""
+    return _first_per_key(df, F.col("content_hash"), by)
 
 
-def drop_syndicated(df: DataFrame, sources: list[str], unicode: bool = True) -> DataFrame:
-    """Only the earliest post of each headline among ``sources``; rows of other sources or without headline stay."""
-    return _first_per_key(df, F.when(F.col("source").isin(sources), headline_key(F.col("title"), unicode)))
+def drop_syndicated(df: DataFrame, sources: list[str], unicode: bool = False, by: list[str] = []) -> DataFrame:
+    """Only the earliest post of each headline among ``sources``; rows of other sources or without headline stay.
+
+    Headlines are compared by their ASCII letters and digits, or with ``unicode`` by all letters and digits.
+    """
+    return _first_per_key(df, F.when(F.col("source").isin(sources), headline_key(F.col("title"), unicode)), by)
 
 
 def drop_spam(df: DataFrame, patterns: list[str] = SPAM) -> DataFrame:
@@ -86,37 +90,38 @@ def similar_hash_pairs(hashes: DataFrame, column: str, max_hamming: int, pieces:
     return near.select("x", "y").distinct()
 
 
-def near_duplicate_posts(posts: DataFrame, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b", rounds: int = 100) -> DataFrame:
-    """post_ids that are near copies of an earlier kept post, by SimHash distance.
+def near_duplicate_posts(posts: DataFrame, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b", by: list[str] = []) -> DataFrame:
+    """post_ids (with ``by``) that are near copies of an earlier kept post, by SimHash distance.
 
     A post is dropped if a *kept* earlier one (by created_at, then post_id) is near; near posts that were dropped
     themselves don't count. All later posts of one hash are dropped at once; of the rest, those without undecided
-    earlier neighbours are kept, their neighbours dropped, and so on until none is undecided. Posts of fewer than
-    ``min_words`` words take no part; repeated rows of a post count once.
+    earlier neighbours are kept, their neighbours dropped, and so on until none is undecided: as many rounds as the
+    longest chain of near posts has, each over what is still undecided. Posts of fewer than ``min_words`` words take no part; repeated
+    rows of a post count once. Within each value of ``by`` for itself; texts are hashed and compared once all the same.
     """
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
-    long_enough = posts.select("post_id", "created_at", text.alias("t")).where(F.size(simhash_words(F.col("t"))) >= min_words)
-    hashed = scratch.materialize(long_enough.select("post_id", "created_at", simhash(F.col("t"), algorithm=algorithm).alias("h")).where(F.col("h").isNotNull()), "hashed")
-    firsts = scratch.materialize(hashed.groupBy("h").agg(F.min(F.struct("created_at", "post_id")).alias("at")), "firsts")
-    later = hashed.join(firsts, "h").where(F.col("post_id") != F.col("at.post_id")).select("post_id")
-    near = similar_hash_pairs(firsts, "h", max_hamming)
-    ordered = near.join(firsts.select(F.col("h").alias("x"), F.col("at").alias("p")), "x").join(firsts.select(F.col("h").alias("y"), F.col("at").alias("q")), "y")
-    edges = scratch.materialize(ordered.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")), "edges")
+    long_enough = posts.select("post_id", text.alias("t")).distinct().where(F.size(simhash_words(F.col("t"))) >= min_words)
+    hashes = scratch.materialize(long_enough.select("post_id", simhash(F.col("t"), algorithm=algorithm).alias("h")).where(F.col("h").isNotNull()).distinct(), "hashes")
+    hashed = scratch.materialize(posts.select(*by, "post_id", "created_at").distinct().join(hashes, "post_id"), "hashed")
+    firsts = scratch.materialize(hashed.groupBy(*by, "h").agg(F.min(F.struct("created_at", "post_id")).alias("at")), "firsts")
+    later = hashed.join(firsts, [*by, "h"]).where(F.col("post_id") != F.col("at.post_id")).select(*by, "post_id")
+    near = similar_hash_pairs(hashes, "h", max_hamming)
+    ordered = near.join(firsts.select(*by, F.col("h").alias("x"), F.col("at").alias("p")), "x").join(firsts.select(*by, F.col("h").alias("y"), F.col("at").alias("q")), [*by, "y"])
+    edges = scratch.materialize(ordered.select(*by, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")), "edges")
     dropped = later
-    for _ in range(rounds):
-        if edges.isEmpty():
-            return dropped.distinct()
-        kept = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        gone = scratch.materialize(edges.join(kept, "a", "left_semi").select("b").distinct(), "gone")
-        dropped = dropped.unionByName(gone.select(F.col("b.post_id").alias("post_id")))
-        rest = edges.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b")
-        edges = scratch.materialize(rest, "edges")
-    raise RuntimeError("near duplicates didn't settle")
+    while not edges.isEmpty():
+        kept = edges.select(*by, "a").distinct().join(edges.select(*by, F.col("b").alias("a")).distinct(), [*by, "a"], "left_anti")
+        gone = scratch.materialize(edges.join(kept, [*by, "a"], "left_semi").select(*by, "b").distinct(), "gone")
+        dropped = dropped.unionByName(gone.select(*by, F.col("b.post_id").alias("post_id")))
+        rest = edges.join(gone, [*by, "b"], "left_anti").join(gone.select(*by, F.col("b").alias("a")), [*by, "a"], "left_anti")
+        before, edges = edges, scratch.materialize(rest.select(*by, "a", "b"), "edges")
+        scratch.release(before)
+    return dropped.distinct()
 
 
-def drop_near_duplicates(df: DataFrame, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b") -> DataFrame:
-    posts = df.select("post_id", "created_at", "title", "body").dropDuplicates(["post_id"])
-    return df.join(near_duplicate_posts(posts, max_hamming, min_words, algorithm), "post_id", "left_anti").select(df.columns)
+def drop_near_duplicates(df: DataFrame, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b", by: list[str] = []) -> DataFrame:
+    posts = df.groupBy(*by, "post_id").agg(F.min(F.struct("created_at", "title", "body")).alias("p")).select(*by, "post_id", "p.*")
+    return df.join(near_duplicate_posts(posts, max_hamming, min_words, algorithm, by), [*by, "post_id"], "left_anti").select(df.columns)
 
 
 def lookup(key: Column, values: dict, default: float) -> Column:
@@ -127,9 +132,9 @@ def lookup(key: Column, values: dict, default: float) -> Column:
     return F.coalesce(F.try_element_at(table, key), F.lit(float(default)))
 
 
-def author_weights(df: DataFrame, rules: dict[str, dict], bots: dict | None = None) -> DataFrame:
+def author_weights(df: DataFrame, rules: dict[str, dict], bots: dict | None = None, by: list[str] = []) -> DataFrame:
     """Add ``author_weight``: lower for new or little followed accounts of a source, and for authors of very many posts in a
-    period (``block``). Missing age or karma lowers nothing.
+    period (``block``, within ``by``). Missing age or karma lowers nothing.
 
     ``rules[source]``: min_age_days, new_account_weight, min_karma, low_karma_weight. ``bots``: sources, max_posts, weight.
     """
@@ -141,8 +146,8 @@ def author_weights(df: DataFrame, rules: dict[str, dict], bots: dict | None = No
     if bots:
         watched = F.col("source").isin(bots["sources"]) & F.col("author_id").isNotNull()
         # Distinct posts first: two partial aggregations instead of one set per author.
-        busy = df.where(watched).select("block", "author_id", "post_id").distinct().groupBy("block", "author_id").agg(F.count(F.lit(1)).alias("_tm_n")).where(F.col("_tm_n") > bots["max_posts"])
-        df = df.join(busy, ["block", "author_id"], "left")
+        busy = df.where(watched).select(*by, "block", "author_id", "post_id").distinct().groupBy(*by, "block", "author_id").agg(F.count(F.lit(1)).alias("_tm_n")).where(F.col("_tm_n") > bots["max_posts"])
+        df = df.join(busy, [*by, "block", "author_id"], "left")
         weight = weight * F.when(watched & F.col("_tm_n").isNotNull(), bots["weight"]).otherwise(1.0)
     return df.withColumn("author_weight", weight).drop("_tm_n")
 
@@ -160,8 +165,8 @@ def news_quality(df: DataFrame, sources: list[str], kind_weights: dict[str, floa
     return df.withColumn("quality", F.when(news, lookup(F.col("news_kind"), kind_weights, 1.0) * F.when(named, 1.0).otherwise(off_topic_weight)).otherwise(1.0))
 
 
-def cap_per_author(df: DataFrame, k: int, period: str, sources: list[str] | None = None, salts: int = 16) -> DataFrame:
-    """At most ``k`` rows per (period, ticker, author), greatest weight first, ties by post_id.
+def cap_per_author(df: DataFrame, k: int, period: str, sources: list[str] | None = None, salts: int = 16, by: list[str] = []) -> DataFrame:
+    """At most ``k`` rows per (``by``, period, ticker, author), greatest weight first, ties by post_id.
 
     Rows of other sources and without author stay. Ranked in two stages, so that a hot author is spread over tasks.
     """
@@ -169,25 +174,30 @@ def cap_per_author(df: DataFrame, k: int, period: str, sources: list[str] | None
     if sources is not None:
         capped = capped & F.col("source").isin(sources)
     capped = F.coalesce(capped, F.lit(False))
-    keys, order = [period, "ticker", "author_id"], [F.col("weight").desc_nulls_last(), F.col("post_id")]
+    keys, order = [*by, period, "ticker", "author_id"], [F.col("weight").desc_nulls_last(), F.col("post_id")]
     salted = df.where(capped).withColumn("_tm_s", F.pmod(F.xxhash64("post_id"), F.lit(salts)))
     first = salted.withColumn("_tm_r", F.row_number().over(W.partitionBy(*keys, "_tm_s").orderBy(*order))).where(F.col("_tm_r") <= k)
     top = first.withColumn("_tm_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_tm_r") <= k)
     return top.select(df.columns).unionByName(df.where(~capped))
 
 
-def filtered_mentions(df: DataFrame, keys: DataFrame, author_rules: dict[str, dict], bots: dict | None, news: dict, floors: dict[str, float], source_weights: dict[str, float], cap: int, capped_sources: list[str] | None, spam: list[str] = SPAM, max_hamming: int = 3, min_words: int = 12) -> DataFrame:
+def filtered_mentions(
+    df: DataFrame, keys: DataFrame, author_rules: dict[str, dict], bots: dict | None, news: dict, floors: dict[str, float], source_weights: dict[str, float], cap: int, capped_sources: list[str] | None,
+    spam: list[str] = SPAM, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b", by: list[str] = [],
+) -> DataFrame:
     """All filters over mention rows with ``block``, in their fixed order: reposts, near copies, spam, syndicated headlines, news
     quality, post weight, rows of weight factor 0, author cap per ticker and block. Adds ``weight`` and what it is made of.
 
     ``keys`` has one row per ticker with ``keys``, the forms of its name; ``news``: sources, kind_weights, off_topic_weight.
+    ``by`` (the ranked week, where a row stands once for each week whose window it lies in) keeps groups apart in every step.
     """
-    df = scratch.materialize(drop_reposts(scratch.materialize(df, "mentions")), "firsts")
-    df = scratch.materialize(drop_spam(drop_near_duplicates(df, max_hamming, min_words), spam), "clean")
-    df = scratch.join_checked(drop_syndicated(df, news["sources"]), scratch.materialize(keys.select("ticker", F.col("keys").alias("_tm_keys")), "names"), ["ticker"], "left", "post_id")
+    first = scratch.materialize(drop_reposts(scratch.materialize(df, "mentions"), by), "firsts")
+    clean = scratch.materialize(drop_spam(drop_near_duplicates(first, max_hamming, min_words, algorithm, by), spam), "clean")
+    df = scratch.join_checked(drop_syndicated(clean, news["sources"], by=by), scratch.materialize(keys.select("ticker", F.col("keys").alias("_tm_keys")), "names"), ["ticker"], "left", "post_id")
     named = mentions_name(F.col("ticker"), F.col("title"), F.col("body"), F.col("_tm_keys"))
     df = news_quality(df, news["sources"], news["kind_weights"], news["off_topic_weight"], named).drop("_tm_keys", "title", "body")
-    df = author_weights(scratch.materialize(df, "judged"), author_rules, bots)
+    df = author_weights(scratch.materialize(df, "judged"), author_rules, bots, by)
     df = df.withColumn("weight", post_weight(F.col("engagement"), F.col("source"), F.col("author_weight"), F.col("quality"), floors, source_weights))
     df = scratch.materialize(df.where(F.col("author_weight") * F.col("quality") > 0), "weighted")
-    return cap_per_author(df, cap, "block", capped_sources)
+    scratch.release(first, clean)
+    return cap_per_author(df, cap, "block", capped_sources, by=by)

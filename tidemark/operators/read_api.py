@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import Week
-from tidemark.operators.signals import effective_scores
+from tidemark.operators.signals import distinct_counts, effective_scores
 
 
 def _stamp(t: datetime):
@@ -21,8 +21,6 @@ def available_weeks(signals: DataFrame) -> DataFrame:
 
 
 def week_for(monday: date) -> Week:
-    from datetime import timedelta
-
     return Week.ending(monday + timedelta(days=4))
 
 
@@ -82,24 +80,61 @@ def weekly_history(signals: DataFrame, ticker: str) -> DataFrame:
 def week_mentions(posts: DataFrame, tickers: DataFrame, scores: DataFrame, week: Week, models: list[str]) -> DataFrame:
     """The week's posts with tickers and effective scores."""
     inside = posts.where((F.col("created_at") >= _stamp(week.start)) & (F.col("created_at") < _stamp(week.end))).withColumnRenamed("id", "post_id")
-    return inside.join(tickers.select("post_id", "ticker").distinct(), "post_id").join(effective_scores(scores, models), ["post_id", "ticker"], "left")
+    return inside.join(tickers.groupBy("post_id", "ticker").agg(F.min("match_type").alias("match_type")), "post_id").join(effective_scores(scores, models), ["post_id", "ticker"], "left")
 
 
 def top_posts(mentions: DataFrame, ticker: str, n: int) -> DataFrame:
     """Most engaged posts of a ticker, of reposts (same content hash) only the earliest."""
     own = mentions.where(F.col("ticker") == ticker)
-    first = own.groupBy(F.coalesce("content_hash", "post_id").alias("k")).agg(F.min(F.struct("created_at", "post_id", "source", "community", F.coalesce("title", "body").alias("title"), "url", "engagement", "label", "score")).alias("r"))
+    first = own.groupBy(F.coalesce("content_hash", "post_id").alias("k")).agg(F.min(F.struct("created_at", "post_id", "source", "community", F.coalesce("title", "body").alias("title"), "url", "engagement", "label", "score", "match_type")).alias("r"))
     return first.select("r.*").orderBy(F.col("engagement").desc_nulls_last(), F.col("created_at").desc(), "post_id").limit(n)
 
 
-def week_tape(signals: DataFrame, monday: date, n: int) -> DataFrame:
-    return signals.where(F.col("week_start") == F.lit(monday)).select("ticker", "mentions", "sentiment", "attention_z").orderBy(F.col("mentions").desc_nulls_last(), "ticker").limit(n)
+# What is said of news of a kind.
+KIND_LABELS = {"price_recap": "PRICE RECAP · EXCLUDED", "promo": "PROMO / OPINION · DOWN-WEIGHTED", "press_release": "PRESS RELEASE · DOWN-WEIGHTED"}
+
+
+def with_news_kind(top: DataFrame) -> DataFrame:
+    """Add ``kind_label`` to rows of :func:`top_posts`: what the ranking makes of a news item, judged by the title shown."""
+    from tidemark.operators.noise import headline_kind
+
+    label = F.try_element_at(F.create_map(*[F.lit(x) for kv in KIND_LABELS.items() for x in kv]), headline_kind(F.col("title"), F.col("community")))
+    return top.withColumn("kind_label", F.when(F.col("source") == "news", label))
+
+
+def red_flag_panel(bull: DataFrame, bear: DataFrame) -> DataFrame:
+    """Tickers of either list with a red flag, once, the bullish list first."""
+    both = bull.withColumn("_tm_side", F.lit(0)).unionByName(bear.withColumn("_tm_side", F.lit(1)), allowMissingColumns=True).where(F.coalesce("red_flag", F.lit(False)))
+    first = both.groupBy("ticker").agg(F.min(F.struct("_tm_side", "rank", "events")).alias("r"))
+    return first.orderBy("r._tm_side", "r.rank").select("ticker", F.col("r.events").alias("events"))
+
+
+def week_tape(signals: DataFrame, monday: date) -> DataFrame:
+    """Every ranked ticker of a week, most mentioned first."""
+    return signals.where(F.col("week_start") == F.lit(monday)).select("ticker", "sentiment", "momentum", "mentions").orderBy(F.col("mentions").desc_nulls_last(), "ticker")
 
 
 def week_summary(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mentions, distinct posts and authors, labels and mean score, in all or by columns."""
+    by = by or []
     label = lambda x: F.count_if(F.col("label") == x).alias(x)
-    return mentions.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("post_id").alias("posts"), F.countDistinct("author_id").alias("authors"), label("pos"), label("neg"), label("neu"), F.avg("score").alias("avg_score"))
+    tally = mentions.groupBy(*by).agg(F.count(F.lit(1)).alias("mentions"), label("pos"), label("neg"), label("neu"), F.avg("score").alias("avg_score"))
+    seen = distinct_counts(mentions, by, posts=F.col("post_id"), authors=F.col("author_id"))
+    if by:
+        return tally.join(seen, by, "left").na.fill(0, ["posts", "authors"])
+    # Two rows of one row each.
+    return tally.withColumn("_tm_one", F.lit(1)).join(seen.withColumn("_tm_one", F.lit(1)), "_tm_one").drop("_tm_one")
+
+
+#: Columns of the ranked week that a week's summary shows, and the name of its sentiment there.
+SUMMARY = ["momentum", "ret_5d", "ret_30d", "rel_volume", "updown_vol_ratio", "early_chatter_flag", "insider_buy_flag", "events", "red_flag"]
+
+
+def ticker_summary(mentions: DataFrame, signals: DataFrame, monday: date) -> DataFrame:
+    """:func:`week_summary` of every ticker of a week with what it was ranked by: ``ranked_sentiment`` and context, NULL for
+    tickers that weren't ranked that week."""
+    ranked = signals.where(F.col("week_start") == F.lit(monday)).select("ticker", F.col("sentiment").alias("ranked_sentiment"), *SUMMARY)
+    return week_summary(mentions, ["ticker"]).join(ranked, "ticker", "left")
 
 
 def community_breakdown(mentions: DataFrame) -> DataFrame:
@@ -112,8 +147,10 @@ def shares(df: DataFrame, count: str, by: list[str]) -> DataFrame:
     return df.withColumn("share_pct", F.round(100 * F.col(count) / F.sum(count).over(W.partitionBy(*by) if by else W.partitionBy(F.lit(0))), 1))
 
 
-def daily_prices(bars: DataFrame, ticker: str, since: date) -> DataFrame:
-    return bars.where((F.col("ticker") == ticker) & (F.col("date") >= F.lit(since))).select("date", "close", "volume").orderBy("date")
+def daily_prices(bars: DataFrame, ticker: str, end: date, days: int) -> DataFrame:
+    """Sessions of the ``days`` days before ``end``, which isn't included."""
+    inside = (F.col("date") >= F.lit(end - timedelta(days=days))) & (F.col("date") < F.lit(end))
+    return bars.where((F.col("ticker") == ticker) & inside).select("date", "close", "volume").orderBy("date")
 
 
 def week_filings(filings: DataFrame, week: Week, forms: list[str]) -> DataFrame:

@@ -14,6 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import scratch
+from tidemark.functions.text import context_text
+
+
+# Labels of a model's reply.
+REPLY_LABELS = {"bullish": "pos", "bearish": "neg", "neutral": "neu"}
 
 
 @dataclass(frozen=True)
@@ -58,11 +63,13 @@ def score_from_probabilities(positive: Column, negative: Column, neutral: Column
 
 
 def score_from_reply(reply: Column) -> Column:
-    """Struct (label, score) of a JSON reply, the score clamped to [-1, 1]; NULL when unreadable or of unknown label."""
-    parsed = F.from_json(reply, "label string, score double")
-    value = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.nanvl(parsed["score"], F.lit(None))))
-    good = parsed["label"].isin("pos", "neg", "neu") & value.isNotNull()
-    return F.when(good, F.struct(parsed["label"].alias("label"), value.alias("score")))
+    """Struct (label, score) of a JSON reply: bullish, bearish or neutral as pos, neg or neu, the score (a number, or a
+    string that reads as one) clamped to [-1, 1] and rounded to four digits; NULL when unreadable or of another label."""
+    parsed = F.from_json(reply, "label string, score string")
+    number = F.nanvl(parsed["score"].try_cast("double"), F.lit(None))
+    value = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), number)), 4)
+    label = F.try_element_at(F.create_map(*[F.lit(x) for kv in REPLY_LABELS.items() for x in kv]), parsed["label"])
+    return F.when(label.isNotNull() & number.isNotNull(), F.struct(label.alias("label"), value.alias("score")))
 
 
 def score_texts(pairs: DataFrame, text: str, scorer: Scorer, batch: int = 16) -> DataFrame:
@@ -91,7 +98,7 @@ def untagged_posts(posts: DataFrame, tickers: DataFrame) -> DataFrame:
 def pairs_to_score(posts: DataFrame, tickers: DataFrame, scores: DataFrame, model: str) -> DataFrame:
     """(post_id, ticker, title, body, created_at, n_tickers) of pairs the model hasn't scored.
 
-    n_tickers counts the post's pairs still to be scored, not all its tickers.
+    n_tickers counts the post's pairs still to be scored, not all its tickers. :func:`in_order` sorts them.
     """
     done = scores.where(F.col("model") == model).select("post_id", "ticker")
     todo = tickers.select("post_id", "ticker").distinct().join(done, ["post_id", "ticker"], "left_anti")
@@ -99,6 +106,11 @@ def pairs_to_score(posts: DataFrame, tickers: DataFrame, scores: DataFrame, mode
     return counted.join(posts.select(F.col("id").alias("post_id"), "title", "body", "created_at"), "post_id")
 
 
+def in_order(pairs: DataFrame) -> DataFrame:
+    """Pairs in the order in which they are scored."""
+    return pairs.orderBy("created_at", "post_id", "ticker")
+
+
 def second_pass(posts: DataFrame, tickers: DataFrame, scores: DataFrame, base_model: str, own_model: str, now: datetime, days: int = 14, doubt: float = 0.3, top_k: int = 5, limit: int = 2000, salts: int = 16) -> DataFrame:
     """Pairs for a second, costlier model: recent ones whose base score is doubtful, or of the ``top_k`` most engaged of their
     ticker and (Monday) week, not yet scored by it; the most engaged of the weeks first, at most ``limit``.
@@ -119,13 +131,36 @@ def second_pass(posts: DataFrame, tickers: DataFrame, scores: DataFrame, base_mo
     return picked.orderBy(F.col("top").desc(), F.col("engagement").desc_nulls_last(), "post_id", "ticker").limit(limit).select("post_id", "ticker", "score", "engagement", "top")
 
 
-def score_pending(posts: DataFrame, tickers: DataFrame, scores: DataFrame, scorer: Scorer, now: datetime, text: Column | None = None) -> DataFrame:
-    """New rows of the score table for every pair the scorer hasn't scored."""
-    text = text if text is not None else F.concat_ws("\n", "title", "body")
-    todo = pairs_to_score(posts, tickers, scores, scorer.name).withColumn("_tm_text", text)
+def entity_patterns(tickers: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(ticker, pattern): a regular expression for sentences that name the ticker, with or without $ in any case, or one of its
+    aliases (alias, ticker, exact) as whole words. An entity has few aliases, so they are gathered by ticker."""
+    quoted = lambda c: F.concat(F.lit(r"\Q"), F.regexp_replace(c, r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E"))
+    own = tickers.select("ticker").where(F.col("ticker").isNotNull()).distinct()
+    symbol = F.concat(F.lit(r"(?i)(?<![\w$])\$?"), quoted(F.col("ticker")), F.lit(r"(?!\w)"))
+    if aliases is None:
+        return own.select("ticker", F.concat(F.lit("(?U)"), symbol).alias("pattern"))
+    flag = F.when(F.coalesce("exact", F.lit(False)), "(?-i)").otherwise("(?i)")
+    each = aliases.where(F.trim("alias") != "").select("ticker", F.concat(flag, F.lit(r"(?<![\w&-])"), quoted(F.trim("alias")), F.lit(r"(?![\w&-])")).alias("a"))
+    named = each.groupBy("ticker").agg(F.array_join(F.array_sort(F.collect_set("a")), "|").alias("others"))
+    return own.join(named, "ticker", "left").select("ticker", F.concat(F.lit("(?U)"), symbol, F.coalesce(F.concat(F.lit("|"), "others"), F.lit(""))).alias("pattern"))
+
+
+def score_pending(posts: DataFrame, tickers: DataFrame, scores: DataFrame, scorer: Scorer, now: datetime, aliases: DataFrame | None = None, max_chars: int | None = None) -> DataFrame:
+    """New rows of the score table for every pair the scorer hasn't scored.
+
+    A post with several pairs to score is scored for each ticker by the sentences that name it (all its text when none does), cut
+    to ``max_chars`` characters if the model reads no more; each distinct text is scored once.
+    """
+    todo = pairs_to_score(posts, tickers, scores, scorer.name)
+    patterns = scratch.materialize(entity_patterns(todo, aliases), "patterns")
+    todo = scratch.join_checked(todo, patterns, ["ticker"], "left", "post_id")
+    todo = todo.withColumn("_tm_text", context_text(F.col("title"), F.col("body"), F.col("pattern"), F.col("n_tickers"), max_chars)).drop("pattern")
     scored = score_texts(todo, "_tm_text", scorer)
     return scored.select("post_id", "ticker", F.lit(scorer.name).alias("model"), "label", "score", F.lit(now).cast("timestamp_ntz").alias("scored_at"))
 
 
-def cached(df: DataFrame, name: str) -> DataFrame:
-    return scratch.materialize(df, name)
+def run_second_pass(posts: DataFrame, tickers: DataFrame, scores: DataFrame, base_model: str, scorer: Scorer, now: datetime, aliases: DataFrame | None = None, max_chars: int | None = None, **selection) -> DataFrame:
+    """New rows of the score table for the pairs that :func:`second_pass` picks, scored by ``scorer`` under its own name."""
+    picked = scratch.materialize(second_pass(posts, tickers, scores, base_model, scorer.name, now, **selection).select("post_id", "ticker"), "picked")
+    mine = tickers.join(picked, ["post_id", "ticker"], "left_semi")
+    return score_pending(posts, mine, scores, scorer, now, aliases, max_chars)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.calendar import Week, days_back
+from tidemark.functions.calendar import Week, days_back, days_before_week_end, friday_of
 
 
 def effective_scores(scores: DataFrame, models: list[str]) -> DataFrame:
@@ -36,18 +36,18 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.coalesce(F.try_divide(F.sum(value * weight), F.sum(F.when(known, weight))), F.avg(value))
 
 
-def attention(rows: DataFrame, week_days: int, baseline_days: int, std_floor: float, clip: float) -> DataFrame:
-    """(ticker, attention_z) of tickers with a row in the last ``week_days`` days: mean daily weight of these days less that
+def attention(rows: DataFrame, week_days: int, baseline_days: int, std_floor: float, clip: float, by: list[str] = []) -> DataFrame:
+    """(by, ticker, attention_z) of tickers with a row in the last ``week_days`` days: mean daily weight of these days less that
     of the baseline days before, over the baseline's population deviation (at least ``std_floor``), clipped. Silent days
     are 0. ``rows`` has ticker, day (0 is the last day) and weight."""
-    n = week_days + baseline_days
-    daily = rows.where((F.col("day") >= 0) & (F.col("day") < n)).groupBy("ticker", "day").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("c"))
-    live = daily.where(F.col("day") < week_days).groupBy("ticker").agg(F.sum("c").alias("c")).select("ticker")
-    grid = live.select("ticker", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("day"))
-    full = grid.join(daily, ["ticker", "day"], "left").select("ticker", "day", F.coalesce("w", F.lit(0.0)).alias("w"))
+    n, key = week_days + baseline_days, [*by, "ticker"]
+    daily = rows.where((F.col("day") >= 0) & (F.col("day") < n)).groupBy(*key, "day").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("c"))
+    live = daily.where(F.col("day") < week_days).groupBy(*key).agg(F.sum("c").alias("c")).select(*key)
+    grid = live.select(*key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("day"))
+    full = grid.join(daily, [*key, "day"], "left").select(*key, "day", F.coalesce("w", F.lit(0.0)).alias("w"))
     now, base = F.when(F.col("day") < week_days, F.col("w")), F.when(F.col("day") >= week_days, F.col("w"))
     z = (F.avg(now) - F.avg(base)) / F.greatest(F.stddev_pop(base), F.lit(float(std_floor)))
-    return full.groupBy("ticker").agg(F.greatest(F.lit(-float(clip)), F.least(F.lit(float(clip)), z)).alias("attention_z"))
+    return full.groupBy(*key).agg(F.greatest(F.lit(-float(clip)), F.least(F.lit(float(clip)), z)).alias("attention_z"))
 
 
 def with_days(mentions: DataFrame, week: Week, parity: bool = False) -> DataFrame:
@@ -56,25 +56,44 @@ def with_days(mentions: DataFrame, week: Week, parity: bool = False) -> DataFram
     return mentions.withColumn("day", day).withColumn("block", F.floor(F.col("day") / 7).cast("int"))
 
 
-def weekly_components(rows: DataFrame, baseline_days: int = 30, std_floor: float = 1.0, clip: float = 10.0) -> DataFrame:
-    """Per ticker with rows in block 0: mentions, n_authors, attention_z, sentiment, sentiment_prev, momentum, breadth.
+def spread_over_weeks(mentions: DataFrame, baseline_days: int = 30) -> DataFrame:
+    """Each mention once for every week whose window it lies in, the week itself and ``baseline_days`` before: adds
+    ``week_start`` (the Monday), ``day`` and ``block``. A row lies in at most ``ceil((7 + baseline_days) / 7)`` windows, so all
+    weeks are ranked in one job over so many times the rows."""
+    reach = -(-(7 + baseline_days) // 7)
+    own = mentions.withColumn("_tm_f", friday_of(F.col("created_at")))
+    rows = own.withColumn("_tm_f", F.explode(F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda j: F.date_add("_tm_f", j * 7))))
+    rows = rows.withColumn("day", days_before_week_end(F.col("created_at"), F.col("_tm_f"))).where(F.col("day").between(0, 6 + baseline_days))
+    return rows.withColumn("block", F.floor(F.col("day") / 7).cast("int")).withColumn("week_start", F.date_sub("_tm_f", 4)).drop("_tm_f")
+
+
+def distinct_counts(rows: DataFrame, by: list[str], **columns: Column) -> DataFrame:
+    """(by, a count for each name) of the distinct known values of each column: made distinct first, then counted, so both
+    steps are pre-aggregated and no set of values is held."""
+    values = F.explode(F.array(*[F.struct(F.lit(n).alias("of"), c.cast("string").alias("v")) for n, c in columns.items()]))
+    seen = rows.select(*by, values.alias("d")).where(F.col("d.v").isNotNull()).select(*by, "d.of", "d.v").distinct()
+    return seen.groupBy(*by).agg(*[F.count_if(F.col("of") == n).alias(n) for n in columns])
+
+
+def weekly_components(rows: DataFrame, baseline_days: int = 30, std_floor: float = 1.0, clip: float = 10.0, by: list[str] = []) -> DataFrame:
+    """Per ticker (and ``by``) with rows in block 0: mentions, n_authors, attention_z, sentiment, sentiment_prev, momentum, breadth.
 
     ``rows`` are weighted mention rows with day and block. Block 0 and block 1 are aggregated in one pass; distinct
     counts leave out NULLs.
     """
+    key = [*by, "ticker"]
     now, prev = F.col("block") == 0, F.col("block") == 1
     only = lambda c, when: F.when(when, F.col(c))
-    agg = rows.where(F.col("block") <= 1).groupBy("ticker").agg(
+    agg = rows.where(F.col("block") <= 1).groupBy(*key).agg(
         F.count_if(now).alias("mentions"),
-        F.countDistinct(only("author_id", now)).alias("n_authors"),
-        F.countDistinct(only("community", now)).alias("n_communities"),
-        F.countDistinct(only("source", now)).alias("n_sources"),
         weighted_mean(only("score", now), only("weight", now)).alias("sentiment"),
         weighted_mean(only("score", prev), only("weight", prev)).alias("sentiment_prev"),
     )
+    counts = distinct_counts(rows.where(now), key, n_authors=F.col("author_id"), n_communities=F.col("community"), n_sources=F.col("source"))
+    joined = agg.where(F.col("mentions") > 0).join(counts, key, "left").na.fill(0, ["n_authors", "n_communities", "n_sources"])
     breadth = F.log1p(F.col("n_authors")) + F.log1p(F.col("n_communities")) + F.log1p(F.col("n_sources"))
-    joined = agg.where(F.col("mentions") > 0).join(attention(rows, 7, baseline_days, std_floor, clip), "ticker")
-    return joined.select("ticker", "mentions", "n_authors", "attention_z", "sentiment", "sentiment_prev", (F.col("sentiment") - F.col("sentiment_prev")).alias("momentum"), breadth.alias("breadth"))
+    joined = joined.join(attention(rows, 7, baseline_days, std_floor, clip, by), key)
+    return joined.select(*key, "mentions", "n_authors", "attention_z", "sentiment", "sentiment_prev", (F.col("sentiment") - F.col("sentiment_prev")).alias("momentum"), breadth.alias("breadth"))
 
 
 def zscore(value: Column, by: list[str], fill: bool = True) -> Column:

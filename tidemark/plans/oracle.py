@@ -5,7 +5,7 @@ from __future__ import annotations
 from tidemark.functions.extract import CONFIDENCE, CONTEXT_WORDS, NAME, WORD
 from tidemark.functions.text import COMPANY_WORDS, ITEM_GROUPS, ITEM_NAMES, SECURITY_WORDS
 from tidemark.operators.noise import FORECAST, PRESS_RELEASE, PRICE_RECAP, PROMO, RELEASE_OUTLETS, SPAM
-from tidemark.plans.queries import AUTHOR_RULES
+from tidemark.plans.queries import AUTHOR_CAP, AUTHOR_RULES, BOTS, NEWS
 
 TICKER = "replace(regexp_replace(upper(trim(ticker, ' \t\n\r')), '^\\$', ''), '-', '.')"
 NOW = "posts_now AS (SELECT * FROM posts QUALIFY row_number() OVER (PARTITION BY id ORDER BY collected_at DESC, engagement DESC) = 1)"
@@ -22,19 +22,49 @@ _clean = ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c i
 _order = ", ".join(f"{c} DESC NULLS LAST" for c in ["mentions", "composite_bull", "composite_bear", *[c for c in NUMBERS if not c.startswith("composite")]])
 SIGNALS = f"""signals_now AS (SELECT * FROM (SELECT CAST(date_trunc('week', week_start) AS DATE) AS week_start, {TICKER} AS ticker, mentions, {_clean} FROM weekly_signals)
   QUALIFY row_number() OVER (PARTITION BY week_start, ticker ORDER BY {_order}) = 1)"""
-MENTIONS = f"""{NOW}, {TICKERS}, {SCORES}, {EFFECTIVE}, mentions AS (SELECT p.id AS post_id, t.ticker, p.source, p.community, p.author_id, p.created_at, e.label, e.score, ln(1 + CAST(greatest(coalesce(p.engagement, 0), 0) AS DOUBLE)) AS weight,
-    CAST(floor((epoch_us(TIMESTAMP '2025-05-17') - epoch_us(p.created_at) - 1) / 86400000000.0) AS INTEGER) AS day
-  FROM posts_now p JOIN tickers_now t ON t.post_id = p.id LEFT JOIN effective e ON e.post_id = p.id AND e.ticker = t.ticker
-  WHERE t.confidence >= 0.5 AND p.created_at >= TIMESTAMP '2025-04-10' AND p.created_at < TIMESTAMP '2025-05-17')"""
-ATTENTION = f"""{MENTIONS}, live AS (SELECT DISTINCT ticker FROM mentions WHERE day < 7), daily AS (SELECT ticker, day, sum(weight) AS w FROM mentions GROUP BY ALL),
-grid AS (SELECT live.ticker, d.day, coalesce(w, 0) AS w FROM live CROSS JOIN (SELECT unnest(range(37)) AS day) d LEFT JOIN daily ON daily.ticker = live.ticker AND daily.day = d.day),
-att AS (SELECT ticker, greatest(-10, least(10, (avg(w) FILTER (WHERE day < 7) - avg(w) FILTER (WHERE day >= 7)) / greatest(stddev_pop(w) FILTER (WHERE day >= 7), 1.0))) AS attention_z FROM grid GROUP BY ticker)"""
-_mean = lambda b: f"coalesce(sum(score * weight) FILTER (WHERE b = {b}) / nullif(sum(weight) FILTER (WHERE b = {b} AND score IS NOT NULL), 0), avg(score) FILTER (WHERE b = {b}))"
-COMPONENTS = f"""{ATTENTION}, blocked AS (SELECT *, day // 7 AS b FROM mentions),
-comp AS (SELECT ticker, count(*) FILTER (WHERE b = 0) AS mentions, count(DISTINCT author_id) FILTER (WHERE b = 0) AS n_authors, {_mean(0)} AS sentiment, {_mean(1)} AS sentiment_prev,
-  ln(1 + count(DISTINCT author_id) FILTER (WHERE b = 0)) + ln(1 + count(DISTINCT community) FILTER (WHERE b = 0)) + ln(1 + count(DISTINCT source) FILTER (WHERE b = 0)) AS breadth FROM blocked GROUP BY ticker),
-components AS (SELECT comp.*, attention_z, sentiment - sentiment_prev AS momentum FROM comp JOIN att USING (ticker) WHERE mentions > 0)"""
-_z = lambda c: f"coalesce(CASE WHEN count({c}) OVER () < 2 OR stddev_pop({c}) OVER () < 1e-12 THEN 0 ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () END, 0)"
+FRIDAY = "CAST(created_at AS DATE) + CAST((12 - isodow(created_at)) % 7 AS INTEGER)"
+MENTIONS = f"""{NOW}, {TICKERS}, {SCORES}, {EFFECTIVE}, every_mention AS (SELECT p.id AS post_id, t.ticker, p.source, p.community, p.author_id, p.author_age_days, p.author_karma, p.created_at, p.engagement, p.content_hash, p.title, p.body, e.label, e.score
+  FROM posts_now p JOIN tickers_now t ON t.post_id = p.id LEFT JOIN effective e ON e.post_id = p.id AND e.ticker = t.ticker WHERE t.confidence >= 0.5),
+dated AS (SELECT *, CAST(floor((epoch_us(CAST(f + 1 AS TIMESTAMP)) - epoch_us(created_at) - 1) / 86400000000.0) AS INTEGER) AS day FROM (SELECT *, {FRIDAY} + 7 * j AS f FROM every_mention, (SELECT CAST(unnest(range(7)) AS INTEGER) AS j))),
+mentions AS (SELECT *, f - 4 AS week, day // 7 AS block, ln(1 + CAST(greatest(coalesce(engagement, 0), 0) AS DOUBLE)) AS weight FROM dated WHERE day BETWEEN 0 AND 36)"""
+_mean = lambda b: f"coalesce(sum(score * weight) FILTER (WHERE block = {b}) / nullif(sum(weight) FILTER (WHERE block = {b} AND score IS NOT NULL), 0), avg(score) FILTER (WHERE block = {b}))"
+_z = lambda c: f"coalesce(CASE WHEN count({c}) OVER w < 2 OR stddev_pop({c}) OVER w < 1e-12 THEN 0 ELSE ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w END, 0)"
+
+
+def _attention(rows: str) -> str:
+    return f"""live AS (SELECT DISTINCT week, ticker FROM {rows} WHERE day < 7), daily AS (SELECT week, ticker, day, sum(weight) AS w FROM {rows} GROUP BY ALL),
+grid AS (SELECT live.week, live.ticker, d.day, coalesce(w, 0) AS w FROM live CROSS JOIN (SELECT unnest(range(37)) AS day) d LEFT JOIN daily ON daily.week = live.week AND daily.ticker = live.ticker AND daily.day = d.day),
+att AS (SELECT week, ticker, greatest(-10, least(10, (avg(w) FILTER (WHERE day < 7) - avg(w) FILTER (WHERE day >= 7)) / greatest(stddev_pop(w) FILTER (WHERE day >= 7), 1.0))) AS attention_z FROM grid GROUP BY week, ticker)"""
+
+
+def _components(rows: str) -> str:
+    return f"""{_attention(rows)},
+comp AS (SELECT week, ticker, count(*) FILTER (WHERE block = 0) AS mentions, count(DISTINCT author_id) FILTER (WHERE block = 0) AS n_authors, {_mean(0)} AS sentiment, {_mean(1)} AS sentiment_prev,
+  ln(1 + count(DISTINCT author_id) FILTER (WHERE block = 0)) + ln(1 + count(DISTINCT community) FILTER (WHERE block = 0)) + ln(1 + count(DISTINCT source) FILTER (WHERE block = 0)) AS breadth FROM {rows} GROUP BY week, ticker),
+components AS (SELECT comp.*, attention_z, sentiment - sentiment_prev AS momentum FROM comp JOIN att USING (week, ticker) WHERE mentions > 0),
+zs AS (SELECT *, {_z("attention_z")} AS a, {_z("sentiment")} AS s, {_z("momentum")} AS m, {_z("breadth")} AS b FROM components WINDOW w AS (PARTITION BY week)),
+composed AS (SELECT *, 0.35 * a + 0.35 * s + 0.15 * m + 0.15 * b AS composite_bull, 0.35 * a - 0.35 * s - 0.15 * m + 0.15 * b AS composite_bear FROM zs)"""
+
+
+_rounded = lambda *names: ", ".join(f"round({c}, 9) AS {c}" for c in names)
+_week = "strftime(week, '%Y-%m-%d') AS week"
+SHOWN_COMPONENTS = f"SELECT {_week}, ticker, mentions, n_authors, {_rounded('attention_z', 'sentiment', 'sentiment_prev', 'momentum', 'breadth')} FROM components"
+SIMHASH = """hashes AS (SELECT id, [CAST('0x' || substr(md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), 1, 16) AS UBIGINT) FOR i IN range(1, len(w) - 1)] AS h
+  FROM (SELECT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[a-z0-9$'']+') AS w FROM posts_now) WHERE len(w) >= 12),
+sim AS (SELECT id, bit_or(CASE WHEN len([x FOR x IN h IF (x >> b) & 1 = 1]) * 2 > len(h) THEN CAST(1 AS UBIGINT) << b ELSE CAST(0 AS UBIGINT) END) AS s FROM hashes, (SELECT CAST(unnest(range(64)) AS UBIGINT) AS b) GROUP BY id),
+forms AS (SELECT DISTINCT s FROM sim), alike AS (SELECT x.s AS x, y.s AS y FROM forms x JOIN forms y ON x.s < y.s AND bit_count(xor(x.s, y.s)) <= 3)"""
+
+
+def _near_copies(rows: str) -> str:
+    """copies (week, id) among rows (week, id, created_at): later posts of a hash, and near ones of kept posts in order."""
+    none = "{'a': '', 'b': '', 'd': CAST([] AS VARCHAR[])}"
+    return f"""hashed AS (SELECT DISTINCT week, r.id, r.created_at, s FROM {rows} r JOIN sim ON sim.id = r.id),
+firsts AS (SELECT week, s, min({{'c': created_at, 'i': id}}) AS f FROM hashed GROUP BY ALL),
+edges AS (SELECT p.week, least(p.f, q.f) AS a, greatest(p.f, q.f) AS b FROM alike JOIN firsts p ON p.s = x JOIN firsts q ON q.s = y AND q.week = p.week),
+folded AS (SELECT week, list_reduce(list({{'a': a.i, 'b': b.i, 'd': CAST([] AS VARCHAR[])}} ORDER BY b, a), lambda acc, x: CASE WHEN list_contains(acc.d, x.a) THEN acc ELSE {{'a': '', 'b': '', 'd': acc.d || [x.b]}} END, {none}) AS r FROM edges GROUP BY week),
+copies AS (SELECT week, id FROM hashed JOIN firsts USING (week, s) WHERE id <> f.i UNION SELECT week, unnest(r.d) FROM folded)"""
+
+
 PANEL = f"""{BARS}, {SIGNALS}, asof_close AS (SELECT ticker, f AS friday, close FROM (SELECT ticker, date, close, date + CAST((12 - isodow(date)) % 7 AS INTEGER) AS f FROM bars)
   QUALIFY row_number() OVER (PARTITION BY ticker, f ORDER BY date DESC) = 1),
 panel AS (SELECT s.*, b.close / a.close - 1 AS ret_prior, c.close / b.close - 1 AS ret_same, d.close / c.close - 1 AS ret_next FROM signals_now s
@@ -50,7 +80,6 @@ grid AS (SELECT ticker, a, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAS
 filled AS (SELECT grid.ticker, a, grid.d, coalesce(v, 0) AS v, coalesce(n, 0) AS n FROM grid LEFT JOIN daily ON daily.ticker = grid.ticker AND daily.d = grid.d),
 totals AS (SELECT ticker, a, d, CAST(sum(v) OVER w7 AS BIGINT) AS sum_7, CAST(sum(n) OVER w7 AS BIGINT) AS count_7, CAST(sum(v) OVER w30 AS BIGINT) AS sum_30, CAST(sum(n) OVER w30 AS BIGINT) AS count_30 FROM filled
   WINDOW w7 AS (PARTITION BY ticker ORDER BY d ROWS 6 PRECEDING), w30 AS (PARTITION BY ticker ORDER BY d ROWS 29 PRECEDING))"""
-FRIDAY = "CAST(created_at AS DATE) + CAST((12 - isodow(created_at)) % 7 AS INTEGER)"
 PM = f"{NOW}, {TICKERS}, pm AS (SELECT p.*, t.ticker, (DATE '2025-05-16' - ({FRIDAY})) / 7 AS block FROM posts_now p JOIN tickers_now t ON t.post_id = p.id)"
 WEEKM = f"{NOW}, {TICKERS}, {SCORES}, {EFFECTIVE}, wm AS (SELECT p.*, t.ticker, e.label, e.score FROM posts_now p JOIN tickers_now t ON t.post_id = p.id LEFT JOIN effective e ON e.post_id = p.id AND e.ticker = t.ticker WHERE created_at >= TIMESTAMP '2025-05-10' AND created_at < TIMESTAMP '2025-05-17')"
 TOP = "(SELECT ticker FROM tickers_now GROUP BY ticker ORDER BY count(*) DESC, ticker LIMIT 1)"
@@ -89,20 +118,85 @@ bare AS (SELECT DISTINCT id, ticker, gate FROM (SELECT id, gate, unnest(found) A
 every AS (SELECT id, ticker, 'cashtag' AS kind, {CONFIDENCE["cashtag"]} AS confidence FROM cash UNION ALL SELECT id, ticker, 'alias', {CONFIDENCE["alias"]} FROM alias
   UNION ALL SELECT id, ticker, 'bare', {CONFIDENCE["bare"]} FROM bare WHERE gate OR id IN (SELECT id FROM cash) OR id IN (SELECT id FROM alias))"""
 
+EVENTS = f"""codes AS (SELECT ticker, CAST(coalesce(accepted_at, CAST(filing_date AS TIMESTAMP)) AS DATE) AS d, trim(unnest(string_split(items, ','))) AS code FROM filings_now WHERE form IN ('8-K', '8-K/A')),
+coded AS (SELECT DISTINCT ticker, d + CAST((12 - isodow(d)) % 7 AS INTEGER) - 4 AS week, code, {_group} AS g, {_name}[code] AS name FROM codes WHERE code <> ''),
+reds AS (SELECT ticker, week, string_agg(name, ', ' ORDER BY name) FILTER (WHERE g = 4) AS reds FROM coded GROUP BY ALL), shown AS (SELECT DISTINCT ticker, week, g FROM coded WHERE g IS NOT NULL),
+events AS (SELECT r.ticker, r.week, string_agg(CASE WHEN g = 4 THEN 'Red flag: ' || reds ELSE {_label}[g + 1] END, '; ' ORDER BY g) AS events, any_value(reds) IS NOT NULL AS red_flag FROM reds r LEFT JOIN shown l ON l.ticker = r.ticker AND l.week = r.week GROUP BY ALL)"""
+CONTEXT = """lagged AS (SELECT ticker, date, close, CAST(volume AS DOUBLE) AS volume, lag(close) OVER w AS p, lag(date) OVER w AS p_at, lag(close, 5) OVER w AS s, lag(date, 5) OVER w AS s_at, lag(close, 21) OVER w AS l, lag(date, 21) OVER w AS l_at FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+served AS (SELECT *, f - 6 AS start, close - CASE WHEN f - p_at <= 60 THEN p END AS change FROM (SELECT *, date + CAST((12 - isodow(date)) % 7 AS INTEGER) + 7 * j AS f FROM lagged, (SELECT CAST(unnest(range(10)) AS INTEGER) AS j)) WHERE f - date <= 60),
+sums AS (SELECT ticker, f - 4 AS week, max({'d': date, 'c': close, 's': CASE WHEN f - s_at <= 60 THEN s END, 'l': CASE WHEN f - l_at <= 60 THEN l END}) AS t, avg(volume) FILTER (WHERE date >= start) AS v, avg(volume) FILTER (WHERE date < start AND date >= start - 30) AS b,
+  sum(volume) FILTER (WHERE date >= start AND change > 0) AS up, sum(volume) FILTER (WHERE date >= start AND change < 0) AS down FROM served GROUP BY ticker, f),
+context AS (SELECT ticker, week, t.c / t.s - 1 AS ret_5d, t.c / t.l - 1 AS ret_30d, CASE WHEN b > 0 THEN v / b END AS rel_volume, CASE WHEN down > 0 THEN coalesce(up, 0) / down END AS updown_vol_ratio FROM sums)"""
+_key = f"lower(trim(regexp_replace(regexp_replace(regexp_replace(company_name, {_words}, ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s&''-]', ' ', 'g'), '\\s+', ' ', 'g')))"
+_names = lambda text, form: f"regexp_matches({text}, '(?:^|[^{WORD}])\\$?' || regexp_escape({form}) || '(?:$|[^{WORD}])')"
+_kind = f"CASE WHEN {_release} THEN 'press_release' WHEN {_any(PROMO, 't')} THEN 'promo' WHEN {_any(PRICE_RECAP, 't')} AND NOT {_any(FORECAST, 't')} THEN 'price_recap' ELSE 'news' END"
+_social = "source IN ('reddit', 'stocktwits')"
+FILTERED = f"""{MENTIONS}, {SIMHASH}, once AS (SELECT * FROM mentions QUALIFY content_hash IS NULL OR post_id = first_value(post_id) OVER (PARTITION BY week, content_hash ORDER BY created_at, post_id)),
+once_posts AS (SELECT DISTINCT week, post_id AS id, created_at FROM once), {_near_copies("once_posts")},
+clean AS (SELECT *, coalesce(title, '') || ' ' || coalesce(body, '') AS whole, coalesce(title, '') AS t, CASE WHEN source = 'news' THEN nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '') END AS headline
+  FROM once ANTI JOIN copies ON copies.week = once.week AND copies.id = once.post_id WHERE NOT {_any(SPAM, "coalesce(title, '') || ' ' || coalesce(body, '')")}),
+single AS (SELECT * FROM clean QUALIFY headline IS NULL OR post_id = first_value(post_id) OVER (PARTITION BY week, headline ORDER BY created_at, post_id)),
+known_forms AS (SELECT DISTINCT ticker, unnest([k, split_part(k, ' ', 1)]) AS form, k FROM (SELECT {TICKER} AS ticker, {_key} AS k FROM ticker_universe)),
+forms_of AS (SELECT ticker, list(form) AS keys FROM known_forms WHERE form <> '' AND (form = k OR length(form) >= 4) GROUP BY ticker),
+judged AS (SELECT single.*, CASE WHEN source = 'news' THEN map {{{", ".join(f"{_q(k)}: {w}" for k, w in NEWS["kind_weights"].items())}}}[{_kind}] * CASE WHEN {_names("whole", "single.ticker")} OR len([k FOR k IN keys IF {_names("lower(whole)", "k")}]) > 0 THEN 1 ELSE {NEWS["off_topic_weight"]} END ELSE 1 END AS quality
+  FROM single LEFT JOIN forms_of ON forms_of.ticker = single.ticker),
+busy AS (SELECT week, block, author_id FROM judged WHERE {_social} AND author_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT post_id) > {BOTS["max_posts"]}),
+weighed AS (SELECT j.* REPLACE (ln(1 + greatest(greatest(coalesce(CAST(engagement AS DOUBLE), 0), 0), CASE WHEN source = 'news' THEN 10.0 ELSE 0 END)) * author_weight * quality AS weight)
+  FROM (SELECT judged.*, CAST(({_weight}) * CASE WHEN {_social} AND busy.author_id IS NOT NULL THEN {BOTS["weight"]} ELSE 1 END AS DOUBLE) AS author_weight FROM judged LEFT JOIN busy ON busy.week = judged.week AND busy.block = judged.block AND busy.author_id = judged.author_id) j WHERE author_weight * quality > 0),
+filtered AS (SELECT * FROM weighed QUALIFY author_id IS NULL OR NOT {_social} OR row_number() OVER (PARTITION BY week, block, ticker, author_id, {_social} ORDER BY weight DESC, post_id) <= {AUTHOR_CAP})"""
+
+LEADLAG = f"""long AS (SELECT week_start, s.signal, h.horizon, CASE s.signal WHEN 'sentiment' THEN sentiment WHEN 'momentum' THEN momentum WHEN 'attention_z' THEN attention_z WHEN 'composite_bull' THEN composite_bull ELSE composite_bear END AS x, CASE h.horizon WHEN 'ret_prior' THEN ret_prior WHEN 'ret_same' THEN ret_same ELSE ret_next END AS y
+  FROM panel, (SELECT unnest(['sentiment', 'momentum', 'attention_z', 'composite_bull', 'composite_bear']) AS signal) s, (SELECT unnest(['ret_prior', 'ret_same', 'ret_next']) AS horizon) h), {SPEAR.format(by="week_start, signal, horizon")},
+lead_lag AS (SELECT signal, horizon, count(*) AS weeks, avg(ic) AS mean_ic, CASE WHEN stddev_samp(ic) > 1e-12 THEN avg(ic) / (stddev_samp(ic) / sqrt(count(*))) END AS t_stat, avg(CAST(ic > 1e-12 AS INTEGER)) AS share_positive FROM ics WHERE ic IS NOT NULL GROUP BY ALL)"""
+SPREAD = """k AS (SELECT week_start, ret_next AS y, count(*) OVER (PARTITION BY week_start) AS n, row_number() OVER (PARTITION BY week_start ORDER BY composite_bull, ticker) AS r FROM panel WHERE composite_bull IS NOT NULL AND ret_next IS NOT NULL),
+b AS (SELECT week_start, y, greatest(((r - 1) * 5 + n - 2) // greatest(n - 1, 1), 1) - 1 AS b FROM k WHERE n >= 5), s AS (SELECT week_start, avg(y) FILTER (WHERE b = 4) - avg(y) FILTER (WHERE b = 0) AS spread FROM b GROUP BY week_start)"""
+ADDED = f"""k AS (SELECT week_start, composite_bull AS a, rel_volume AS e, ret_next AS y FROM panel WHERE composite_bull IS NOT NULL AND rel_volume IS NOT NULL AND ret_next IS NOT NULL),
+z AS (SELECT *, a + 0.15 * CASE WHEN count(*) OVER w < 2 OR stddev_pop(e) OVER w < 1e-12 THEN 0 ELSE (e - avg(e) OVER w) / stddev_pop(e) OVER w END AS b FROM k WINDOW w AS (PARTITION BY week_start)),
+long AS (SELECT week_start, 'a' AS kind, a AS x, y FROM z UNION ALL SELECT week_start, 'b', b, y FROM z), {SPEAR.format(by="week_start, kind")}"""
+
+
+def _hits(pick: str, n: int, side: str, require: str) -> str:
+    beats = "ret_next > m" if side == "bull" else "ret_next < m"
+    return f"""r AS (SELECT * FROM panel WHERE ret_next IS NOT NULL), m AS (SELECT week_start, median(ret_next) AS m FROM r GROUP BY week_start),
+c AS (SELECT * FROM r WHERE {require} AND {pick} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY week_start ORDER BY {pick} DESC, ticker) <= {n}),
+hits AS (SELECT count(*) AS picks, count(*) FILTER (WHERE {beats}) AS hits, count(DISTINCT week_start) AS weeks, count(*) FILTER (WHERE {beats}) / nullif(count(*), 0) AS hit_rate FROM c JOIN m USING (week_start))"""
+
+
+def _figures(part: str, ctes: str, source: str, **measures: str) -> str:
+    inner = " UNION ALL ".join(f"SELECT '{k}' AS measure, CAST(({v}) AS DOUBLE) AS value FROM {source}" for k, v in measures.items())
+    return f"SELECT '{part}' AS part, measure, round(value, 9) AS value FROM (WITH {ctes} {inner})"
+
+
+BACKTEST = " UNION ALL ".join([
+    _figures("panel", "w AS (SELECT count(DISTINCT week_start) AS n FROM panel WHERE ret_next IS NOT NULL)", "w", weeks_with_returns="n", enough_data="n >= 12"),
+    *[_figures(f"ic_{side}", f"long AS (SELECT week_start, composite_{side} AS x, ret_next AS y FROM panel), {SPEAR.format(by='week_start')}, known AS (SELECT count(*) AS n, avg(ic) AS m, stddev_samp(ic) AS sd, avg(CAST(ic > 1e-12 AS INTEGER)) AS p FROM ics WHERE ic IS NOT NULL)", "known", mean_ic="m", t_stat="CASE WHEN sd > 1e-12 THEN m / (sd / sqrt(n)) END", weeks="n", share_positive="p") for side in ("bull", "bear")],
+    _figures("quintile_spread", f"{SPREAD}, q AS (SELECT avg(spread) AS m, count(*) AS n FROM s)", "q", mean="m", weeks="n"),
+    *[_figures(f"{side}_{name}", _hits(pick.format(side), 20, side, need), "hits", picks="picks", hits="hits", hit_rate="hit_rate", weeks="weeks") for side, sign in (("bull", ">"), ("bear", "<")) for name, pick, need in (("list", "composite_{}", f"attention_z > 0 AND sentiment {sign} 0"), ("baseline_mentions", "mentions", "true"))],
+    _figures("rel_volume", f"{ADDED}, q AS (SELECT avg(ic) FILTER (WHERE kind = 'a') AS a, avg(ic) FILTER (WHERE kind = 'b') AS b FROM ics)", "q", mean_ic_base="a", mean_ic_with="b", improves="b > a"),
+])
+
 ORACLE = {
     "post_cashtags": f"WITH {TEXTS} SELECT id, array_to_string([x FOR x IN symbols IF x IS NOT NULL], ',') AS symbols FROM dollar WHERE len([x FOR x IN symbols IF x IS NOT NULL]) > 0",
     "extracted_tickers": f"WITH {EXTRACTED} SELECT id AS post_id, ticker, kind AS match_type, CAST(confidence AS DOUBLE) AS confidence FROM every QUALIFY row_number() OVER (PARTITION BY id, ticker ORDER BY confidence DESC, kind DESC) = 1",
     "p2_found": f"WITH {ROLLING} SELECT ticker, strftime(d, '%Y-%m-%d') AS on_day FROM totals WHERE d >= a + 29 AND count_30 >= 12 AND sum_7 * 30 > sum_30 * 21",
     "p2_totals": f"WITH {ROLLING} SELECT ticker, strftime(d, '%Y-%m-%d') AS on_day, sum_7, round(sum_7 / 7.0, 9) AS avg_7, count_7, sum_30, round(sum_30 / 30.0, 9) AS avg_30, count_30 FROM totals",
-    "mentions_effective_scores": f"WITH {NOW}, {TICKERS}, {SCORES}, {EFFECTIVE} SELECT t.post_id, t.ticker, label, round(score, 9) AS score FROM posts_now p JOIN tickers_now t ON t.post_id = p.id LEFT JOIN effective e ON e.post_id = t.post_id AND e.ticker = t.ticker WHERE t.confidence >= 0.5 AND created_at >= TIMESTAMP '2025-01-01' AND created_at < TIMESTAMP '2026-01-01'",
-    "attention_z": f"WITH {ATTENTION} SELECT ticker, round(attention_z, 9) AS attention_z FROM att",
-    "weekly_components": f"WITH {COMPONENTS} SELECT ticker, mentions, n_authors, round(attention_z, 9) AS attention_z, round(sentiment, 9) AS sentiment, round(sentiment_prev, 9) AS sentiment_prev, round(momentum, 9) AS momentum, round(breadth, 9) AS breadth FROM components",
-    "composite_scores": f"""WITH {COMPONENTS}, zs AS (SELECT ticker, {_z("attention_z")} AS a, {_z("sentiment")} AS s, {_z("momentum")} AS m, {_z("breadth")} AS b FROM components)
-        SELECT ticker, round(0.35 * a + 0.35 * s + 0.15 * m + 0.15 * b, 9) AS composite_bull, round(0.35 * a - 0.35 * s - 0.15 * m + 0.15 * b, 9) AS composite_bear FROM zs""",
+    "mentions_effective_scores": f"WITH {NOW}, {TICKERS}, {SCORES}, {EFFECTIVE} SELECT t.post_id, t.ticker, label, round(score, 9) AS score FROM posts_now p JOIN tickers_now t ON t.post_id = p.id LEFT JOIN effective e ON e.post_id = t.post_id AND e.ticker = t.ticker WHERE t.confidence >= 0.5",
+    "attention_z": f"WITH {MENTIONS}, {_attention('mentions')} SELECT {_week}, ticker, round(attention_z, 9) AS attention_z FROM att",
+    "weekly_components": f"WITH {MENTIONS}, {_components('mentions')} {SHOWN_COMPONENTS}",
+    "composite_scores": f"WITH {MENTIONS}, {_components('mentions')} SELECT {_week}, ticker, {_rounded('composite_bull', 'composite_bear')} FROM composed",
+    "filtered_mentions": f"WITH {FILTERED} SELECT {_week}, post_id, ticker, round(weight, 9) AS weight FROM filtered",
+    "filtered_components": f"WITH {FILTERED}, {_components('filtered')} {SHOWN_COMPONENTS}",
+    "weekly_ranking": f"""WITH {FILTERED}, {_components('filtered')}, {BARS}, {CONTEXT}, {FILINGS}, {EVENTS},
+        placed AS (SELECT *, greatest(1, ceil(count(*) OVER (PARTITION BY week) * (1 - CAST(0.9 AS DOUBLE)))) AS n, row_number() OVER (PARTITION BY week ORDER BY composite_bull DESC NULLS LAST, ticker) AS up_place, row_number() OVER (PARTITION BY week ORDER BY composite_bear DESC NULLS LAST, ticker) AS down_place FROM composed)
+        SELECT strftime(p.week, '%Y-%m-%d') AS week, p.ticker, mentions, {_rounded('attention_z', 'sentiment', 'momentum', 'breadth', 'composite_bull', 'composite_bear', 'ret_5d', 'ret_30d', 'rel_volume', 'updown_vol_ratio')}, CAST(NULL AS BOOLEAN) AS insider_buy_flag,
+          coalesce((up_place <= n OR down_place <= n) AND abs(ret_5d) < 0.03 AND rel_volume > 1.2, false) AS early_chatter_flag, events, coalesce(red_flag, false) AS red_flag
+        FROM placed p LEFT JOIN context x ON x.week = p.week AND x.ticker = p.ticker LEFT JOIN events v ON v.week = p.week AND v.ticker = p.ticker""",
+    "near_duplicate_posts": f"WITH {NOW}, {SIMHASH}, own AS (SELECT 0 AS week, id, created_at FROM posts_now), {_near_copies('own')} SELECT id AS post_id FROM copies",
+    "session_context": f"WITH {BARS}, {CONTEXT} SELECT {_week}, ticker, {_rounded('ret_5d', 'ret_30d', 'rel_volume', 'updown_vol_ratio')} FROM context",
     "heating_up": f"""WITH {SIGNALS}, sides AS (SELECT week_start, ticker, 'bull' AS side, composite_bull AS v FROM signals_now WHERE attention_z > 0 AND sentiment > 0 UNION ALL SELECT week_start, ticker, 'bear', composite_bear FROM signals_now WHERE attention_z > 0 AND sentiment < 0)
         SELECT strftime(week_start, '%Y-%m-%d') AS week, side, CAST(row_number() OVER (PARTITION BY week_start, side ORDER BY v DESC NULLS LAST, ticker) AS INTEGER) AS rank, ticker FROM sides QUALIFY rank <= 20""",
     "drop_reposts": f"WITH {PM} SELECT id AS post_id, ticker FROM pm QUALIFY content_hash IS NULL OR id = first_value(id) OVER (PARTITION BY content_hash ORDER BY created_at, id)",
-    "drop_syndicated": f"""WITH {PM}, k AS (SELECT *, CASE WHEN source = 'news' THEN nullif(trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), '') END AS h FROM pm)
+    "drop_syndicated": f"""WITH {PM}, k AS (SELECT *, CASE WHEN source = 'news' THEN nullif(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '') END AS h FROM pm)
         SELECT id AS post_id, ticker FROM k QUALIFY h IS NULL OR id = first_value(id) OVER (PARTITION BY h ORDER BY created_at, id)""",
     "drop_spam": f"WITH {NOW}, t AS (SELECT id, coalesce(title, '') || ' ' || coalesce(body, '') AS t FROM posts_now) SELECT id FROM t WHERE NOT {_any(SPAM, 't')}",
     "headline_kinds": f"WITH {NOW}, h AS (SELECT id, community, title AS t FROM posts_now WHERE title IS NOT NULL) SELECT id, CASE WHEN {_release} THEN 'press_release' WHEN {_any(PROMO, 't')} THEN 'promo' WHEN {_any(PRICE_RECAP, 't')} AND NOT {_any(FORECAST, 't')} THEN 'price_recap' ELSE 'news' END AS kind FROM h",
@@ -118,32 +212,18 @@ ORACLE = {
         SELECT ticker, trim(regexp_replace(split_part(company_name, ' - ', 1), {_suffix}, '')) AS name, CASE WHEN length(okey) >= 4 THEN okey END AS org,
           coalesce(list_aggregate([x FOR x IN CASE WHEN length(split_part(lower(bare), ' ', 1)) >= 4 AND split_part(lower(bare), ' ', 1) <> lower(bare) THEN [lower(bare), split_part(lower(bare), ' ', 1)] ELSE [lower(bare)] END IF x <> ''], 'string_agg', '|'), '') AS keys FROM b""",
     "filing_items": f"WITH {FILINGS}, c AS (SELECT accession, [trim(x) FOR x IN string_split(coalesce(items, ''), ',') IF trim(x) <> '' AND trim(x) <> '9.01'] AS codes FROM filings_now) SELECT accession, coalesce(list_aggregate([coalesce({_name}[x], 'Item ' || x) FOR x IN codes], 'string_agg', '; '), '') AS described FROM c",
-    "filing_events": f"""WITH {FILINGS}, c AS (SELECT ticker, CAST(coalesce(accepted_at, CAST(filing_date AS TIMESTAMP)) AS DATE) AS d, trim(unnest(string_split(items, ','))) AS code FROM filings_now),
-        e AS (SELECT DISTINCT ticker, d + CAST((12 - isodow(d)) % 7 AS INTEGER) - 4 AS week, code, {_group} AS g, {_name}[code] AS name FROM c WHERE code <> ''),
-        r AS (SELECT ticker, week, string_agg(name, ', ' ORDER BY name) FILTER (WHERE g = 4) AS reds FROM e GROUP BY ALL), l AS (SELECT DISTINCT ticker, week, g FROM e WHERE g IS NOT NULL)
-        SELECT r.ticker, strftime(r.week, '%Y-%m-%d') AS week, string_agg(CASE WHEN g = 4 THEN 'Red flag: ' || reds ELSE {_label}[g + 1] END, '; ' ORDER BY g) AS events, any_value(reds) IS NOT NULL AS red_flag
-        FROM r LEFT JOIN l ON l.ticker = r.ticker AND l.week = r.week GROUP BY ALL""",
-    "session_context": f"""WITH {BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back, close - lag(close) OVER (PARTITION BY ticker ORDER BY date) AS change FROM bars WHERE date <= DATE '2025-05-16'),
-        a AS (SELECT ticker, max(close) FILTER (WHERE back = 1) AS c0, max(close) FILTER (WHERE back = 6) AS cs, max(close) FILTER (WHERE back = 22) AS cl, avg(volume) FILTER (WHERE date >= DATE '2025-05-10') AS v, avg(volume) FILTER (WHERE date < DATE '2025-05-10' AND date >= DATE '2025-04-10') AS b,
-          sum(volume) FILTER (WHERE date >= DATE '2025-05-10' AND change > 0) AS up, sum(volume) FILTER (WHERE date >= DATE '2025-05-10' AND change < 0) AS down FROM k GROUP BY ticker)
-        SELECT ticker, round(c0 / cs - 1, 9) AS ret_5d, round(c0 / cl - 1, 9) AS ret_30d, round(CASE WHEN b > 0 THEN v / b END, 9) AS rel_volume, round(CASE WHEN down > 0 THEN coalesce(up, 0) / CAST(down AS DOUBLE) END, 9) AS updown_vol_ratio FROM a""",
+    "filing_events": f"WITH {FILINGS}, {EVENTS.replace('WHERE form IN', 'WHERE true OR form IN')} SELECT ticker, {_week}, events, red_flag FROM events",
     "dollar_volume": f"WITH {BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM bars) SELECT ticker, round(avg(close * volume), 2) AS avg_dollar_volume FROM k WHERE back <= 30 GROUP BY ticker HAVING avg(close * volume) > 0",
     "early_chatter": f"""WITH {SIGNALS}, k AS (SELECT *, greatest(1, ceil(count(*) OVER (PARTITION BY week_start) * (1 - CAST(0.9 AS DOUBLE)))) AS n, row_number() OVER (PARTITION BY week_start ORDER BY composite_bull DESC NULLS LAST, ticker) AS b, row_number() OVER (PARTITION BY week_start ORDER BY composite_bear DESC NULLS LAST, ticker) AS s FROM signals_now)
         SELECT strftime(week_start, '%Y-%m-%d') AS week, ticker, coalesce((b <= n OR s <= n) AND abs(ret_5d) < 0.03 AND rel_volume > 1.2, false) AS early_chatter_flag, coalesce(rel_volume > 1.2 AND ret_5d < -0.02 AND sentiment > 0, false) AS divergence FROM k""",
     "return_panel": f"WITH {PANEL} SELECT strftime(week_start, '%Y-%m-%d') AS week, ticker, round(ret_prior, 9) AS ret_prior, round(ret_same, 9) AS ret_same, round(ret_next, 9) AS ret_next FROM panel",
-    "lead_lag": f"""WITH {PANEL}, long AS (SELECT week_start, s.signal, h.horizon, CASE s.signal WHEN 'sentiment' THEN sentiment WHEN 'momentum' THEN momentum WHEN 'attention_z' THEN attention_z WHEN 'composite_bull' THEN composite_bull ELSE composite_bear END AS x, CASE h.horizon WHEN 'ret_prior' THEN ret_prior WHEN 'ret_same' THEN ret_same ELSE ret_next END AS y
-          FROM panel, (SELECT unnest(['sentiment', 'momentum', 'attention_z', 'composite_bull', 'composite_bear']) AS signal) s, (SELECT unnest(['ret_prior', 'ret_same', 'ret_next']) AS horizon) h), {SPEAR.format(by="week_start, signal, horizon")}
-        SELECT signal, horizon, count(*) AS weeks, round(avg(ic), 9) AS mean_ic, round(CASE WHEN stddev_samp(ic) > 1e-12 THEN avg(ic) / (stddev_samp(ic) / sqrt(count(*))) END, 9) AS t_stat, round(avg(CAST(ic > 1e-12 AS INTEGER)), 9) AS share_positive FROM ics WHERE ic IS NOT NULL GROUP BY ALL""",
-    "quintile_spread": f"""WITH {PANEL}, k AS (SELECT week_start, ret_next AS y, count(*) OVER (PARTITION BY week_start) AS n, row_number() OVER (PARTITION BY week_start ORDER BY composite_bull, ticker) AS r FROM panel WHERE composite_bull IS NOT NULL AND ret_next IS NOT NULL),
-        b AS (SELECT week_start, y, greatest(((r - 1) * 5 + n - 2) // greatest(n - 1, 1), 1) - 1 AS b FROM k WHERE n >= 5), s AS (SELECT week_start, avg(y) FILTER (WHERE b = 4) - avg(y) FILTER (WHERE b = 0) AS spread FROM b GROUP BY week_start)
-        SELECT strftime(week_start, '%Y-%m-%d') AS week, round(spread, 9) AS spread, round(product(1 + spread) OVER (ORDER BY week_start ROWS UNBOUNDED PRECEDING) - 1, 9) AS cumulative FROM s""",
-    "hit_rate": f"""WITH {PANEL}, r AS (SELECT * FROM panel WHERE ret_next IS NOT NULL), m AS (SELECT week_start, median(ret_next) AS m FROM r GROUP BY week_start),
-        c AS (SELECT * FROM r WHERE sentiment > 0 AND composite_bull IS NOT NULL QUALIFY row_number() OVER (PARTITION BY week_start ORDER BY composite_bull DESC, ticker) <= 10)
-        SELECT count(*) AS picks, count(*) FILTER (WHERE ret_next > m) AS hits, count(DISTINCT week_start) AS weeks, round(count(*) FILTER (WHERE ret_next > m) / nullif(count(*), 0), 9) AS hit_rate FROM c JOIN m USING (week_start)""",
-    "added_signal": f"""WITH {PANEL}, k AS (SELECT week_start, composite_bull AS a, rel_volume AS e, ret_next AS y FROM panel WHERE composite_bull IS NOT NULL AND rel_volume IS NOT NULL AND ret_next IS NOT NULL),
-        z AS (SELECT *, a + 0.15 * CASE WHEN count(*) OVER w < 2 OR stddev_pop(e) OVER w < 1e-12 THEN 0 ELSE (e - avg(e) OVER w) / stddev_pop(e) OVER w END AS b FROM k WINDOW w AS (PARTITION BY week_start)),
-        long AS (SELECT week_start, 'a' AS kind, a AS x, y FROM z UNION ALL SELECT week_start, 'b', b, y FROM z), {SPEAR.format(by="week_start, kind")}
-        SELECT round(avg(ic) FILTER (WHERE kind = 'a'), 9) AS mean_ic_base, round(avg(ic) FILTER (WHERE kind = 'b'), 9) AS mean_ic_with, avg(ic) FILTER (WHERE kind = 'b') > avg(ic) FILTER (WHERE kind = 'a') AS improves FROM ics""",
+    "lead_lag": f"WITH {PANEL}, {LEADLAG} SELECT signal, horizon, weeks, {_rounded('mean_ic', 't_stat', 'share_positive')} FROM lead_lag",
+    "quintile_spread": f"WITH {PANEL}, {SPREAD} SELECT strftime(week_start, '%Y-%m-%d') AS week, round(spread, 9) AS spread, round(product(1 + spread) OVER (ORDER BY week_start ROWS UNBOUNDED PRECEDING) - 1, 9) AS cumulative FROM s",
+    "hit_rate": f"WITH {PANEL}, {_hits('composite_bull', 10, 'bull', 'sentiment > 0')} SELECT picks, hits, weeks, round(hit_rate, 9) AS hit_rate FROM hits",
+    "added_signal": f"WITH {PANEL}, {ADDED} SELECT round(avg(ic) FILTER (WHERE kind = 'a'), 9) AS mean_ic_base, round(avg(ic) FILTER (WHERE kind = 'b'), 9) AS mean_ic_with, avg(ic) FILTER (WHERE kind = 'b') > avg(ic) FILTER (WHERE kind = 'a') AS improves FROM ics",
+    "backtest": f"WITH {PANEL} {BACKTEST}",
+    "verdicts": f"""WITH {PANEL}, {LEADLAG} SELECT signal, CASE WHEN n IS NULL OR p IS NULL THEN 'unknown' WHEN abs(nt) >= 2 AND n > 0 AND abs(n) >= abs(p) THEN 'leads' WHEN abs(nt) >= 2 AND n < 0 THEN 'reverse' WHEN abs(pt) >= 2 AND abs(p) > abs(n) THEN 'follows' ELSE 'none' END AS verdict
+        FROM (SELECT signal, max(mean_ic) FILTER (WHERE horizon = 'ret_prior') AS p, max(t_stat) FILTER (WHERE horizon = 'ret_prior') AS pt, max(mean_ic) FILTER (WHERE horizon = 'ret_next') AS n, max(t_stat) FILTER (WHERE horizon = 'ret_next') AS nt FROM lead_lag GROUP BY signal)""",
     "scorer_agreement": f"""WITH {SCORES}, l AS (SELECT * FROM scores_now WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY post_id, ticker, model ORDER BY scored_at DESC, score DESC) = 1),
         b AS (SELECT t.score AS t, m.score AS m FROM l t JOIN l m ON m.post_id = t.post_id AND m.ticker = t.ticker WHERE t.model = 'stocktwits_tag' AND m.model = 'lextone'),
         c AS (SELECT count(*) AS pairs, count(*) FILTER (WHERE abs(m) > 0.1 AND sign(m) = sign(t)) AS agree, count(*) FILTER (WHERE abs(m) <= 0.1) AS neutral, count(*) FILTER (WHERE abs(m) > 0.1 AND sign(m) <> sign(t)) AS opposite FROM b)

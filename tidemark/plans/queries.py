@@ -12,11 +12,13 @@ from tidemark.functions.calendar import Week, friday_of, quarter_hours, week_sta
 from tidemark.functions.extract import cashtags, extract_tickers
 from tidemark.functions.keys import canonical_ticker, current_rows, table
 from tidemark.functions.text import author_hash, clean_name, content_hash, describe_items, headline_key, name_keys, org_key, simple_sentences
-from tidemark.operators import evaluate, market, noise, read_api, scoring, signals, sinks
+from tidemark.operators import evaluate, market, noise, ranking, read_api, scoring, signals, sinks
 from tidemark.operators.rolling import rolling_totals, spikes
 
 # Parameters of the registered queries: fixed values.
 WEEK = Week.ending(date(2025, 5, 16))
+ALWAYS = datetime(1, 1, 1), datetime(9999, 1, 1)
+FORMS = ["8-K", "8-K/A"]
 MODELS = ["secondpass", "lextone"]
 WEIGHTS = {"attention": 0.35, "sentiment": 0.35, "momentum": 0.15, "breadth": 0.15}
 POSTS = ["source", "community", "author_id", "author_age_days", "author_karma", "created_at", "collected_at", "title", "body", "url", "engagement", "content_hash"]
@@ -72,17 +74,22 @@ def filings_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions of the week and the 30 days before with scores, day, block and the plain weight log(1 + engagement)."""
-    rows = signals.load_mentions(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), MODELS, signals.baseline_start(WEEK, 30), WEEK.end, 0.5)
+    """All mentions with scores, each in every week whose window it lies in, with the plain weight log(1 + engagement)."""
+    rows = signals.load_mentions(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), MODELS, *ALWAYS, 0.5)
     weight = F.log1p(F.greatest(F.coalesce(F.col("engagement"), F.lit(0)), F.lit(0)).cast("double"))
-    return signals.with_days(rows, WEEK).withColumn("weight", weight)
+    return signals.spread_over_weeks(rows, 30).withColumn("weight", weight)
 
 
-def filtered_mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same mentions after all noise filters, with post weights and the author cap."""
+def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, keys): the forms of the companies' names."""
     names = table(spark, sf_dir, "ticker_universe").select(canonical_ticker("ticker").alias("ticker"), name_keys(F.col("company_name"), F.array().cast("array<string>")).alias("k"))
-    keys = names.groupBy("ticker").agg(F.array_distinct(F.flatten(F.collect_list("k"))).alias("keys"))
-    return noise.filtered_mentions(mention_rows(spark, sf_dir).drop("weight"), keys, AUTHOR_RULES, BOTS, NEWS, FLOORS, SOURCE_WEIGHTS, AUTHOR_CAP, SOCIAL)
+    return names.groupBy("ticker").agg(F.array_distinct(F.flatten(F.collect_list("k"))).alias("keys"))
+
+
+def filtered_mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mentions after all noise filters, with post weights and the author cap. SimHash by md5, which SQL has too."""
+    rows = mention_rows(spark, sf_dir).drop("weight")
+    return noise.filtered_mentions(rows, name_forms(spark, sf_dir), AUTHOR_RULES, BOTS, NEWS, FLOORS, SOURCE_WEIGHTS, AUTHOR_CAP, SOCIAL, algorithm="md5", by=["week_start"])
 
 
 def _r(*names: str):
@@ -113,24 +120,20 @@ def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions_effective_scores(spark, sf_dir):
-    rows = signals.load_mentions(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), MODELS, datetime(2025, 1, 1), datetime(2026, 1, 1), 0.5)
+    rows = signals.load_mentions(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), MODELS, *ALWAYS, 0.5)
     return rows.select("post_id", "ticker", "label", *_r("score"))
 
 
-def _attention(rows):
-    return signals.attention(rows, 7, 30, 1.0, 10.0).select("ticker", *_r("attention_z"))
+def _week_of():
+    return F.date_format("week_start", "yyyy-MM-dd").alias("week")
 
 
 def _components(rows):
-    return signals.weekly_components(rows).select("ticker", "mentions", "n_authors", *_r("attention_z", "sentiment", "sentiment_prev", "momentum", "breadth"))
-
-
-def _composites(rows):
-    return signals.composites(signals.weekly_components(rows), [], WEIGHTS).select("ticker", *_r("composite_bull", "composite_bear"))
+    return signals.weekly_components(rows, by=["week_start"]).select(_week_of(), "ticker", "mentions", "n_authors", *_r("attention_z", "sentiment", "sentiment_prev", "momentum", "breadth"))
 
 
 def attention_z(spark, sf_dir):
-    return _attention(mention_rows(spark, sf_dir))
+    return signals.attention(mention_rows(spark, sf_dir), 7, 30, 1.0, 10.0, ["week_start"]).select(_week_of(), "ticker", *_r("attention_z"))
 
 
 def weekly_components(spark, sf_dir):
@@ -138,19 +141,25 @@ def weekly_components(spark, sf_dir):
 
 
 def composite_scores(spark, sf_dir):
-    return _composites(mention_rows(spark, sf_dir))
+    found = signals.weekly_components(mention_rows(spark, sf_dir), by=["week_start"])
+    return signals.composites(found, ["week_start"], WEIGHTS).select(_week_of(), "ticker", *_r("composite_bull", "composite_bear"))
 
 
-def filtered_attention_z(spark, sf_dir):
-    return _attention(scratch.materialize(filtered_mention_rows(spark, sf_dir), "filtered"))
+def filtered_mentions(spark, sf_dir):
+    """What is left of each week's mentions after all noise filters, and its weight."""
+    return filtered_mention_rows(spark, sf_dir).select(_week_of(), "post_id", "ticker", *_r("weight"))
 
 
 def filtered_components(spark, sf_dir):
     return _components(scratch.materialize(filtered_mention_rows(spark, sf_dir), "filtered"))
 
 
-def filtered_composites(spark, sf_dir):
-    return _composites(scratch.materialize(filtered_mention_rows(spark, sf_dir), "filtered"))
+def weekly_ranking(spark, sf_dir):
+    """All weeks ranked: filters, components, composites, context, flags and events, as they are stored."""
+    rows = scratch.materialize(filtered_mention_rows(spark, sf_dir), "filtered")
+    out = ranking.rank_weeks(rows, WEIGHTS, bars_now(spark, sf_dir), None, filings_now(spark, sf_dir), FORMS)
+    numbers = _r("attention_z", "sentiment", "momentum", "breadth", "composite_bull", "composite_bear", "ret_5d", "ret_30d", "rel_volume", "updown_vol_ratio")
+    return out.select(_week_of(), "ticker", "mentions", *numbers, "insider_buy_flag", "early_chatter_flag", "events", "red_flag")
 
 
 def heating_up(spark, sf_dir):
@@ -200,7 +209,7 @@ def post_weights(spark, sf_dir):
 
 def near_duplicate_posts(spark, sf_dir):
     posts = posts_now(spark, sf_dir).select(F.col("id").alias("post_id"), "created_at", "title", "body")
-    return noise.near_duplicate_posts(posts)
+    return noise.near_duplicate_posts(posts, algorithm="md5")
 
 
 # -- text ----------------------------------------------------------------------------------------------------------
@@ -249,7 +258,8 @@ def filing_events(spark, sf_dir):
 
 
 def session_context(spark, sf_dir):
-    return market.session_context(bars_now(spark, sf_dir), WEEK.friday).select("ticker", *_r("ret_5d", "ret_30d", "rel_volume", "updown_vol_ratio"))
+    """Of every week that bars reach."""
+    return market.weekly_context(bars_now(spark, sf_dir)).select(_week_of(), "ticker", *_r("ret_5d", "ret_30d", "rel_volume", "updown_vol_ratio"))
 
 
 def dollar_volume(spark, sf_dir):
@@ -290,6 +300,14 @@ def added_signal(spark, sf_dir):
     return evaluate.added_signal(_panel(spark, sf_dir)).select(*_r("mean_ic_base", "mean_ic_with"), "improves")
 
 
+def verdicts(spark, sf_dir):
+    return evaluate.verdict(evaluate.lead_lag(_panel(spark, sf_dir)))
+
+
+def backtest(spark, sf_dir):
+    return ranking.analyse(scratch.materialize(_panel(spark, sf_dir), "panel")).select("part", "measure", *_r("value"))
+
+
 def scorer_agreement(spark, sf_dir):
     return evaluate.agreement(scores_now(spark, sf_dir), "lextone", "stocktwits_tag").select("pairs", "agree", "neutral", "opposite", *_r("accuracy", "accuracy_when_decisive"))
 
@@ -350,7 +368,7 @@ def ticker_picker(spark, sf_dir):
 
 
 def week_filings(spark, sf_dir):
-    return read_api.week_filings(filings_now(spark, sf_dir), WEEK, ["8-K", "8-K/A"]).select("accession", "ticker", "items")
+    return read_api.week_filings(filings_now(spark, sf_dir), WEEK, FORMS).select("accession", "ticker", "items")
 
 
 # -- writes, as the state they leave -------------------------------------------------------------------------------
@@ -381,8 +399,8 @@ def week_calendar(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_totals, mentions_effective_scores, attention_z, weekly_components, composite_scores, filtered_attention_z, filtered_components, filtered_composites, heating_up, drop_reposts, drop_syndicated, drop_spam, headline_kinds, author_weights, cap_per_author, post_weights, near_duplicate_posts,
-        content_hashes, headline_keys, company_names, post_sentences, post_cashtags, extracted_tickers, filing_items, filing_events, session_context, dollar_volume, early_chatter, return_panel, lead_lag, quintile_spread, hit_rate, added_signal,
+        p2_found, p2_totals, mentions_effective_scores, attention_z, weekly_components, composite_scores, filtered_mentions, filtered_components, weekly_ranking, heating_up, drop_reposts, drop_syndicated, drop_spam, headline_kinds, author_weights, cap_per_author, post_weights, near_duplicate_posts,
+        content_hashes, headline_keys, company_names, post_sentences, post_cashtags, extracted_tickers, filing_items, filing_events, session_context, dollar_volume, early_chatter, return_panel, lead_lag, verdicts, backtest, quintile_spread, hit_rate, added_signal,
         scorer_agreement, untagged_posts, pending_pairs, second_pass_picks, lexicon_scores, week_summary, community_breakdown, top_posts, daily_trend, tracked_tickers, ticker_picker, week_filings, upsert_posts_state, insert_absent_state, stamps_grid, week_calendar,
     )
 }

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import scratch
 from tidemark.functions.calendar import age_in_dates, age_in_days, from_epoch_seconds, from_iso, from_stamp, quarter_hours
 from tidemark.functions.text import author_hash, content_hash, mentions_name, org_key, unescape_html
 
@@ -38,10 +39,11 @@ def expected_stamps(spark: SparkSession, start: datetime, end: datetime) -> Data
 def pending_stamps(spark: SparkSession, ledger: DataFrame, since: datetime, now: datetime, give_up: timedelta = timedelta(hours=48), per_hour: int = 4) -> DataFrame:
     """Stamps still to be read: those of the window that the ledger doesn't have as done; a share of each hour if asked.
 
-    With an empty ledger the window begins at ``since``, else also ``give_up`` before now, if that is earlier.
+    With an empty ledger the window begins at ``since``, else also ``give_up`` before now, if that is earlier. It ends a
+    quarter of an hour before now, since the newest file isn't there yet.
     """
     start = since if ledger.isEmpty() else min(since, now - give_up)
-    stamps = expected_stamps(spark, start, now).where((F.substring("stamp", 11, 2).cast("int") / 15).cast("int") < per_hour)
+    stamps = expected_stamps(spark, start, now - timedelta(minutes=15)).where((F.substring("stamp", 11, 2).cast("int") / 15).cast("int") < per_hour)
     return stamps.join(ledger.where(F.col("status") == "done").select("stamp"), "stamp", "left_anti")
 
 
@@ -60,24 +62,36 @@ def read_bulk_news(spark: SparkSession, path: str, zipped: bool = False) -> Data
     return lines.where(F.size(f) > 26).select(f[1].alias("stamp"), f[3].alias("domain"), f[4].alias("url"), f[13].alias("orgs"), F.regexp_replace(f[26], "\r$", "").alias("extras"))
 
 
-def org_tickers(names: DataFrame, least: int = 4) -> DataFrame:
-    """(org, ticker): every form of a company's names that belongs to one ticker only. ``names``: ticker, name."""
-    keyed = names.select("ticker", org_key(F.col("name"), least).alias("org")).where(F.col("org").isNotNull()).distinct()
-    return keyed.groupBy("org").agg(F.count(F.lit(1)).alias("n"), F.min("ticker").alias("ticker")).where(F.col("n") == 1).select("org", "ticker")
+def org_tickers(universe: DataFrame, aliases: DataFrame | None = None, least: int = 4) -> DataFrame:
+    """(org, ticker): the names by which organisations are known, in lower case, each of one ticker.
+
+    ``universe``: ticker, company_name, liquidity; of listings that share a name the most liquid one has it (then the least
+    ticker). Names of fewer than ``least`` characters don't count. An alias (alias, ticker) of a ticker of the universe comes before names; of
+    several tickers the least has it.
+    """
+    listed = universe.where(F.col("ticker").isNotNull())
+    order = lambda part, liquidity: F.struct(F.lit(part).alias("part"), (-F.coalesce(liquidity, F.lit(float("-inf")))).alias("less"), "ticker")
+    rows = listed.select(org_key(F.col("company_name"), least).alias("org"), order(1, F.nanvl(F.col("liquidity").cast("double"), F.lit(None))).alias("o"))
+    if aliases is not None:
+        known = aliases.join(listed.select("ticker").distinct(), "ticker", "left_semi")
+        rows = rows.unionByName(known.select(F.lower(F.trim("alias")).alias("org"), order(0, F.lit(0.0)).alias("o")))
+    return rows.where(F.col("org") != "").groupBy("org").agg(F.min("o").alias("o")).select("org", "o.ticker")
 
 
-def bulk_news_posts(rows: DataFrame, orgs: DataFrame, keys: DataFrame, now: datetime, min_title: int = 10) -> DataFrame:
+def bulk_news_posts(rows: DataFrame, orgs: DataFrame, keys: DataFrame, now: datetime, min_title: int = 20, excluded: list[str] | None = None) -> DataFrame:
     """Posts of bulk news rows whose organisations match a ticker that the headline names.
 
-    ``orgs``: (org, ticker); ``keys``: (ticker, keys) as arrays of names. The headline and the precise time are read from
-    the extras; without the latter the file's time counts. One post per url, with all its tickers.
+    ``orgs``: (org, ticker), materialised; ``keys``: (ticker, keys) as arrays of names, materialised; organisations in ``excluded`` (any case) don't count. The headline and the
+    precise time are read from the extras; without the latter the file's time counts. One post per url, with all its tickers.
     """
     url_id = F.concat(F.lit("news:bulk:"), F.substring(F.sha1("url"), 1, 20))
     tag = lambda name: F.nullif(F.regexp_extract("extras", f"<{name}>(.*?)</{name}>", 1), F.lit(""))
     base = rows.select("url", "domain", "orgs", "stamp", url_id.alias("id"), tag("PAGE_TITLE").alias("raw"), tag("PAGE_PRECISEPUBTIMESTAMP").alias("exact"))
     base = base.withColumn("title", F.trim(unescape_html("raw"))).where(F.length("title") >= min_title)
     base = base.withColumn("created_at", F.coalesce(from_stamp(F.col("exact")), from_stamp(F.col("stamp")))).where(F.col("created_at").isNotNull())
-    named = base.withColumn("org", F.explode(F.split("orgs", ";"))).withColumn("org", org_key(F.col("org"))).join(orgs, "org").join(keys, "ticker", "left")
+    named = base.withColumn("org", F.explode(F.array_distinct(F.transform(F.split("orgs", ";"), lambda o: F.trim(o)))))
+    named = named.where((F.col("org") != "") & ~F.col("org").isin([x.lower() for x in excluded or []])) if excluded else named.where(F.col("org") != "")
+    named = scratch.join_checked(scratch.join_checked(named, orgs, ["org"], "inner", "id"), keys, ["ticker"], "left", "id")
     sure = named.where(mentions_name(F.col("ticker"), F.col("title"), F.lit(None).cast("string"), F.col("keys")))
     per = sure.groupBy("id").agg(F.array_sort(F.collect_set("ticker")).alias("tickers"), F.min(F.struct("created_at", "title", "domain", "url")).alias("r"))
     return _post(per, now, id=F.col("id"), source=F.lit("news"), community=F.col("r.domain"), author_id=author_hash(F.concat(F.lit("news:"), F.col("r.domain"))), created_at=F.col("r.created_at"), title=F.col("r.title"), url=F.col("r.url"), source_tickers=F.col("tickers"))
