@@ -17,10 +17,11 @@ EFFECTIVE = """effective AS (SELECT post_id, ticker, label, score FROM scores_no
 BARS = f"""bars AS (SELECT ticker, date, close, volume FROM (SELECT {TICKER} AS ticker, date, close, volume FROM prices_daily WHERE close IS NOT NULL AND NOT isnan(close) AND close > 0)
   QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY close DESC, coalesce(volume, -1) DESC) = 1)"""
 FILINGS = f"filings_now AS (SELECT * REPLACE ({TICKER} AS ticker) FROM sec_filings QUALIFY row_number() OVER (PARTITION BY accession ORDER BY fetched_at DESC, accepted_at DESC NULLS LAST) = 1)"
-NUMBERS = ["attention_z", "sentiment", "momentum", "breadth", "composite_bull", "composite_bear", "rel_volume", "ret_5d", "ret_30d"]
+NUMBERS = ["attention_z", "sentiment", "momentum", "breadth", "composite_bull", "composite_bear", "rel_volume", "ret_5d", "ret_30d", "updown_vol_ratio"]
+MARKS = ["early_chatter_flag", "insider_buy_flag", "events", "red_flag"]
 _clean = ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in NUMBERS)
-_order = ", ".join(f"{c} DESC NULLS LAST" for c in ["mentions", "composite_bull", "composite_bear", *[c for c in NUMBERS if not c.startswith("composite")]])
-SIGNALS = f"""signals_now AS (SELECT * FROM (SELECT CAST(date_trunc('week', week_start) AS DATE) AS week_start, {TICKER} AS ticker, mentions, {_clean} FROM weekly_signals)
+_order = ", ".join(f"{c} DESC NULLS LAST" for c in ["mentions", "composite_bull", "composite_bear", *[c for c in NUMBERS if not c.startswith("composite")], *MARKS])
+SIGNALS = f"""signals_now AS (SELECT * FROM (SELECT CAST(date_trunc('week', week_start) AS DATE) AS week_start, {TICKER} AS ticker, mentions, {_clean}, {", ".join(MARKS)} FROM weekly_signals)
   QUALIFY row_number() OVER (PARTITION BY week_start, ticker ORDER BY {_order}) = 1)"""
 FRIDAY = "CAST(created_at AS DATE) + CAST((12 - isodow(created_at)) % 7 AS INTEGER)"
 MENTIONS = f"""{NOW}, {TICKERS}, {SCORES}, {EFFECTIVE}, every_mention AS (SELECT p.id AS post_id, t.ticker, p.source, p.community, p.author_id, p.author_age_days, p.author_karma, p.created_at, p.engagement, p.content_hash, p.title, p.body, e.label, e.score
@@ -245,9 +246,6 @@ ORACLE = {
         SELECT ticker, CAST(row_number() OVER (ORDER BY part, key, ticker) AS INTEGER) AS place FROM b QUALIFY place <= 100""",
     "week_filings": f"""WITH {FILINGS}, c AS (SELECT accession, ticker, [trim(x) FOR x IN string_split(coalesce(items, ''), ',') IF trim(x) <> '' AND trim(x) <> '9.01'] AS codes FROM filings_now WHERE form IN ('8-K', '8-K/A') AND coalesce(accepted_at, CAST(filing_date AS TIMESTAMP)) >= TIMESTAMP '2025-05-10' AND coalesce(accepted_at, CAST(filing_date AS TIMESTAMP)) < TIMESTAMP '2025-05-17')
         SELECT accession, ticker, coalesce(list_aggregate([coalesce({_name}[x], 'Item ' || x) FOR x IN codes], 'string_agg', ', '), '') AS items FROM c""",
-    "upsert_posts_state": """WITH k AS (SELECT *, collected_at < TIMESTAMP '2025-06-01' AS early FROM posts), l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY id, early ORDER BY collected_at DESC, engagement DESC NULLS LAST) = 1)
-        SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.engagement ELSE o.engagement END AS engagement, epoch_us(CASE WHEN o.id IS NOT NULL THEN o.collected_at ELSE n.collected_at END) AS collected_us FROM (SELECT * FROM l WHERE early) o FULL JOIN (SELECT * FROM l WHERE NOT early) n ON n.id = o.id""",
-    "insert_absent_state": f"WITH {SCORES} SELECT DISTINCT post_id, ticker FROM scores_now s WHERE NOT EXISTS (SELECT 1 FROM scores_now o WHERE o.model = 'lextone' AND o.post_id = s.post_id AND o.ticker = s.ticker)",
     "stamps_grid": "SELECT strftime(unnest(generate_series(TIMESTAMP '2025-05-09 23:15:00', TIMESTAMP '2025-05-12 01:00:00', INTERVAL 15 MINUTE)), '%Y%m%d%H%M%S') AS stamp",
     "week_calendar": f"WITH {NOW} SELECT id, strftime({FRIDAY}, '%Y-%m-%d') AS friday, strftime({FRIDAY} - 4, '%Y-%m-%d') AS week_start FROM posts_now",
 }

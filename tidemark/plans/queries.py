@@ -12,7 +12,7 @@ from tidemark.functions.calendar import Week, friday_of, quarter_hours, week_sta
 from tidemark.functions.extract import cashtags, extract_tickers
 from tidemark.functions.keys import canonical_ticker, current_rows, table
 from tidemark.functions.text import author_hash, clean_name, content_hash, describe_items, headline_key, name_keys, org_key, simple_sentences
-from tidemark.operators import evaluate, market, noise, ranking, read_api, scoring, signals, sinks
+from tidemark.operators import evaluate, market, noise, ranking, read_api, scoring, signals
 from tidemark.operators.rolling import rolling_totals, spikes
 
 # Parameters of the registered queries: fixed values.
@@ -61,9 +61,10 @@ def bars_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signals_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per Monday and canonical ticker: of several the one with most mentions, then the highest composites."""
     rows = table(spark, sf_dir, "weekly_signals").withColumn("week_start", F.date_sub(F.next_day("week_start", "MON"), 7)).withColumn("ticker", canonical_ticker("ticker"))
-    numbers = ["attention_z", "sentiment", "momentum", "breadth", "composite_bull", "composite_bear", "rel_volume", "ret_5d", "ret_30d"]
-    rows = rows.select("week_start", "ticker", "mentions", *[F.nanvl(c, F.lit(None)).alias(c) for c in numbers])
-    best = rows.groupBy("week_start", "ticker").agg(F.max(F.struct("mentions", "composite_bull", "composite_bear", *[c for c in numbers if not c.startswith("composite")])).alias("r"))
+    numbers = ["attention_z", "sentiment", "momentum", "breadth", "composite_bull", "composite_bear", "rel_volume", "ret_5d", "ret_30d", "updown_vol_ratio"]
+    marks = ["early_chatter_flag", "insider_buy_flag", "events", "red_flag"]
+    rows = rows.select("week_start", "ticker", "mentions", *[F.nanvl(c, F.lit(None)).alias(c) for c in numbers], *marks)
+    best = rows.groupBy("week_start", "ticker").agg(F.max(F.struct("mentions", "composite_bull", "composite_bear", *[c for c in numbers if not c.startswith("composite")], *marks)).alias("r"))
     return best.select("week_start", "ticker", "r.*")
 
 
@@ -267,7 +268,7 @@ def dollar_volume(spark, sf_dir):
 
 
 def early_chatter(spark, sf_dir):
-    rows = market.early_chatter(signals_now(spark, sf_dir), ["week_start"])
+    rows = market.early_chatter(signals_now(spark, sf_dir).drop("early_chatter_flag"), ["week_start"])
     flag = market.divergence(F.col("rel_volume"), F.col("ret_5d"), F.col("sentiment"))
     return rows.select(F.date_format("week_start", "yyyy-MM-dd").alias("week"), "ticker", "early_chatter_flag", flag.alias("divergence"))
 
@@ -371,21 +372,7 @@ def week_filings(spark, sf_dir):
     return read_api.week_filings(filings_now(spark, sf_dir), WEEK, FORMS).select("accession", "ticker", "items")
 
 
-# -- writes, as the state they leave -------------------------------------------------------------------------------
-
-
-def upsert_posts_state(spark, sf_dir):
-    """The posts table after its rows collected before June were stored and the later ones upserted."""
-    rows = table(spark, sf_dir, "posts")
-    early = F.col("collected_at") < F.lit(datetime(2025, 6, 1)).cast("timestamp_ntz")
-    pick = lambda part: sinks.last_per_key(part, ["id"], F.col("collected_at"))
-    return sinks.merge_posts(pick(rows.where(early)), pick(rows.where(~early))).select("id", "engagement", F.unix_micros(F.col("collected_at").cast("timestamp")).alias("collected_us"))
-
-
-def insert_absent_state(spark, sf_dir):
-    rows = scores_now(spark, sf_dir)
-    old = rows.where(F.col("model") == "lextone").select("post_id", "ticker").distinct()
-    return sinks.absent_rows(old, rows.select("post_id", "ticker").distinct(), ["post_id", "ticker"])
+# -- calendar -----------------------------------------------------------------------------------------------------
 
 
 def stamps_grid(spark, sf_dir):
@@ -401,6 +388,6 @@ QUERIES = {
     for f in (
         p2_found, p2_totals, mentions_effective_scores, attention_z, weekly_components, composite_scores, filtered_mentions, filtered_components, weekly_ranking, heating_up, drop_reposts, drop_syndicated, drop_spam, headline_kinds, author_weights, cap_per_author, post_weights, near_duplicate_posts,
         content_hashes, headline_keys, company_names, post_sentences, post_cashtags, extracted_tickers, filing_items, filing_events, session_context, dollar_volume, early_chatter, return_panel, lead_lag, verdicts, backtest, quintile_spread, hit_rate, added_signal,
-        scorer_agreement, untagged_posts, pending_pairs, second_pass_picks, lexicon_scores, week_summary, community_breakdown, top_posts, daily_trend, tracked_tickers, ticker_picker, week_filings, upsert_posts_state, insert_absent_state, stamps_grid, week_calendar,
+        scorer_agreement, untagged_posts, pending_pairs, second_pass_picks, lexicon_scores, week_summary, community_breakdown, top_posts, daily_trend, tracked_tickers, ticker_picker, week_filings, stamps_grid, week_calendar,
     )
 }
