@@ -204,3 +204,18 @@ def test_all_weeks_at_once_are_what_each_week_is(spark):
     assert [tuple(r) for r in read_api.red_flag_panel(*lists).collect()] == [("A", "e"), ("C", "f"), ("E", "g")]
     top = spark.createDataFrame([("news", "Why Acme stock plunged today", None), ("reddit", "Why Acme stock plunged today", None), ("news", "Plain", "PR Newswire"), ("news", None, None)], "source string, title string, community string")
     assert [(r.kind_label or "")[:5] for r in read_api.with_news_kind(top).collect()] == ["PRICE", "", "PRESS", ""]
+
+
+def test_word_model_on_held_out_texts(spark):
+    rng = random.Random(6)
+    own = {"pos": ["rise", "beat", "strong"], "neg": ["fall", "miss", "weak"], "neu": ["flat", "same", "wait"]}
+    made = [(n, label := rng.choice(list(own)), " ".join(rng.choice(own[label]) if rng.random() < 0.4 else f"Word{rng.randrange(40)}" for _ in range(12))) for n in range(900)]
+    frame = spark.createDataFrame(made, "id int, label string, text string")
+    model = scoring.WordModel.train(frame.where("id < 600").unionByName(spark.createDataFrame([(1, None, "rise"), (2, "odd", "x"), (3, "neu", None)], frame.schema)), "text", "label")
+    got = {r.id: (r.label, r.score) for r in model.apply(frame.where("id >= 600"), "id", "text").collect()}
+    right = sum(got[n][0] == label for n, label, _ in made[600:])
+    assert len(got) == 300 and right > 0.9 * 300 and all(-1 <= s <= 1 for _, s in got.values())
+    odd = {r.id: r.label for r in model.apply(spark.createDataFrame([(1, ""), (2, None), (3, "unseen"), (4, "rise " * 5000)], "id int, text string"), "id", "text").collect()}
+    assert len(odd) == 4 and odd[4] == "pos"
+    empty = scoring.WordModel.train(frame.limit(0), "text", "label")
+    assert empty.apply(frame.limit(2), "id", "text").count() == 2 and empty.apply(frame.limit(0), "id", "text").count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -62,6 +63,45 @@ def score_from_probabilities(positive: Column, negative: Column, neutral: Column
     return F.struct(label.alias("label"), F.round(positive - negative, 6).alias("score"))
 
 
+LABELS = ["pos", "neg", "neu"]
+
+
+def _word_rows(df: DataFrame, keep: list[str], text: Column) -> DataFrame:
+    """(keep, word, n): how often each word stands in a text."""
+    found = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word")
+    return df.select(*keep, found).groupBy(*keep, "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+class WordModel:
+    """A multinomial naive Bayes model of labels, trained and applied as relations: a table of the log probability of
+    each word under each label, of as many rows as there are words, and the labels' own frequencies."""
+
+    def __init__(self, words: DataFrame, priors: dict[str, float]):
+        self.words, self.priors = words, priors
+
+    @classmethod
+    def train(cls, labelled: DataFrame, text: str, label: str) -> WordModel:
+        """From every row with a label of ``LABELS``; words are counted once more than they occur. NULL texts are empty."""
+        rows = labelled.where(F.col(label).isin(LABELS)).select(F.col(label).alias("label"), F.coalesce(text, F.lit("")).alias("text"))
+        known = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # three rows at most
+        each = scratch.materialize(_word_rows(rows, ["label"], F.col("text")), "label-words")
+        mass = {r.label: r.n for r in each.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+        size = each.select("word").distinct().count()
+        log = [F.log((F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)) + 1) / F.lit(float(max(1, mass.get(k, 0) + size)))).alias(k) for k in LABELS]
+        words = scratch.materialize(each.groupBy("word").agg(*log), "word-model")
+        every = sum(known.values())
+        return cls(words, {k: math.log((known.get(k, 0) + 1) / (every + len(LABELS))) for k in LABELS})
+
+    def apply(self, texts: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, label, score) of texts with unique keys: the likeliest label, and the probability of pos less that of neg. Words that
+        the model doesn't know say nothing."""
+        found = scratch.join_checked(_word_rows(texts, [key], F.coalesce(text, F.lit(""))), self.words, ["word"], "inner", key)
+        sums = found.groupBy(key).agg(*[F.sum(F.col("n") * F.col(k)).alias(k) for k in LABELS])
+        every = texts.select(key).join(sums, key, "left").select(key, *[(F.coalesce(k, F.lit(0.0)) + F.lit(self.priors[k])).alias(k) for k in LABELS])
+        share = [F.lit(1.0) / sum(F.exp(F.least(F.col(j) - F.col(k), F.lit(700.0))) for j in LABELS) for k in LABELS]
+        return every.select(key, score_from_probabilities(*share).alias("s")).select(key, "s.label", "s.score")
+
+
 def score_from_reply(reply: Column) -> Column:
     """Struct (label, score) of a JSON reply: bullish, bearish or neutral as pos, neg or neu, the score (a number, or a
     string that reads as one) clamped to [-1, 1] and rounded to four digits; NULL when unreadable or of another label."""

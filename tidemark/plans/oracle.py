@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.functions.extract import CONFIDENCE, CONTEXT_WORDS, NAME, WORD
 from tidemark.functions.text import COMPANY_WORDS, ITEM_GROUPS, ITEM_NAMES, SECURITY_WORDS
 from tidemark.operators.noise import FORECAST, PRESS_RELEASE, PRICE_RECAP, PROMO, RELEASE_OUTLETS, SPAM
+from tidemark.operators.scoring import LexiconScorer
 from tidemark.plans.queries import AUTHOR_CAP, AUTHOR_RULES, BOTS, NEWS
 
 TICKER = "replace(regexp_replace(upper(trim(ticker, ' \t\n\r')), '^\\$', ''), '-', '.')"
@@ -176,6 +177,8 @@ BACKTEST = " UNION ALL ".join([
     _figures("rel_volume", f"{ADDED}, q AS (SELECT avg(ic) FILTER (WHERE kind = 'a') AS a, avg(ic) FILTER (WHERE kind = 'b') AS b FROM ics)", "q", mean_ic_base="a", mean_ic_with="b", improves="b > a"),
 ])
 
+_sentences = lambda text: f"[trim(x) FOR x IN string_split(regexp_replace(regexp_replace({text}, '([.!?])[\\s\\x0b\\x{{85}}\\p{{Z}}]+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)) IF trim(x) <> '']"
+
 ORACLE = {
     "post_cashtags": f"WITH {TEXTS} SELECT id, array_to_string([x FOR x IN symbols IF x IS NOT NULL], ',') AS symbols FROM dollar WHERE len([x FOR x IN symbols IF x IS NOT NULL]) > 0",
     "extracted_tickers": f"WITH {EXTRACTED} SELECT id AS post_id, ticker, kind AS match_type, CAST(confidence AS DOUBLE) AS confidence FROM every QUALIFY row_number() OVER (PARTITION BY id, ticker ORDER BY confidence DESC, kind DESC) = 1",
@@ -231,6 +234,23 @@ ORACLE = {
         SELECT pairs, agree, neutral, opposite, round(agree / nullif(pairs, 0), 9) AS accuracy, round(agree / nullif(agree + opposite, 0), 9) AS accuracy_when_decisive FROM c""",
     "untagged_posts": f"WITH {NOW}, {TYPED} SELECT id FROM posts_now p WHERE NOT EXISTS (SELECT 1 FROM typed t WHERE t.post_id = p.id AND t.match_type <> 'source')",
     "pending_pairs": f"WITH {NOW}, {TICKERS}, {SCORES}, todo AS (SELECT post_id, ticker FROM tickers_now t WHERE NOT EXISTS (SELECT 1 FROM scores_now s WHERE s.model = 'secondpass' AND s.post_id = t.post_id AND s.ticker = t.ticker)) SELECT post_id, ticker, count(*) OVER (PARTITION BY post_id) AS n_tickers FROM todo WHERE post_id IN (SELECT id FROM posts_now)",
+    "post_sentences": f"WITH {NOW}, p AS (SELECT id, {_sentences('body')} AS s FROM posts_now WHERE body IS NOT NULL) SELECT id, CAST(len(s) AS INTEGER) AS n FROM p",
+    "lexicon_scores": f"""WITH {NOW}, {TICKERS}, pairs AS (SELECT p.id, t.ticker, concat_ws(chr(10), nullif(title, ''), nullif(body, '')) AS whole, count(*) OVER (PARTITION BY p.id) AS n FROM tickers_now t JOIN posts_now p ON p.id = t.post_id),
+        named AS (SELECT *, [x FOR x IN {_sentences('whole')} IF regexp_matches(x, '(?i)(?:^|[^{WORD}$])\\$?' || regexp_escape(ticker) || '(?:$|[^{WORD}])')] AS own FROM pairs),
+        words AS (SELECT id, ticker, regexp_extract_all(lower(CASE WHEN n > 1 AND len(own) > 0 THEN array_to_string(own, ' ') ELSE whole END), '\\p{{L}}+') AS w FROM named),
+        counts AS (SELECT *, len([x FOR x IN w IF x IN ({", ".join(map(_q, sorted(LexiconScorer().positive)))})]) AS p, len([x FOR x IN w IF x IN ({", ".join(map(_q, sorted(LexiconScorer().negative)))})]) AS m FROM words),
+        s AS (SELECT *, CASE WHEN p + m > 0 THEN (p - m) / (p + m) ELSE 0 END AS score FROM counts)
+        SELECT id AS post_id, ticker, CASE WHEN score > 0.1 THEN 'pos' WHEN score < -0.1 THEN 'neg' ELSE 'neu' END AS label, CAST(score AS DOUBLE) AS score FROM s""",
+    "trained_scores": f"""WITH {NOW}, {SCORES}, texts AS (SELECT id, regexp_extract_all(lower(concat_ws(chr(10), title, body)), '\\p{{L}}+') AS w FROM posts_now),
+        labelled AS (SELECT label, w FROM scores_now JOIN texts ON id = post_id WHERE model = 'secondpass' AND label IN ('pos', 'neg', 'neu')), each AS (SELECT label, word, count(*) AS n FROM (SELECT label, unnest(w) AS word FROM labelled) GROUP BY ALL),
+        l AS (SELECT unnest(['pos', 'neg', 'neu']) AS label), size AS (SELECT count(DISTINCT word) AS v FROM each), mass AS (SELECT l.label, coalesce(sum(n), 0) AS n FROM l LEFT JOIN each ON each.label = l.label GROUP BY l.label),
+        prior AS (SELECT l.label, ln((count(labelled.label) + 1) / CAST((SELECT count(*) FROM labelled) + 3 AS DOUBLE)) AS lp FROM l LEFT JOIN labelled ON labelled.label = l.label GROUP BY l.label),
+        model AS (SELECT word, mass.label, ln((coalesce(max(each.n) FILTER (WHERE each.label = mass.label), 0) + 1) / CAST(mass.n + v AS DOUBLE)) AS lp FROM each, mass, size GROUP BY word, mass.label, mass.n, v),
+        sums AS (SELECT id, label, sum(lp) AS lp FROM (SELECT id, unnest(w) AS word FROM texts) JOIN model USING (word) GROUP BY ALL),
+        logs AS (SELECT texts.id, prior.label, coalesce(sums.lp, 0) + prior.lp AS lp FROM texts CROSS JOIN prior LEFT JOIN sums ON sums.id = texts.id AND sums.label = prior.label),
+        wide AS (SELECT id, max(lp) FILTER (WHERE label = 'pos') AS a, max(lp) FILTER (WHERE label = 'neg') AS b, max(lp) FILTER (WHERE label = 'neu') AS c FROM logs GROUP BY id),
+        shares AS (SELECT id, 1 / (1 + exp(least(b - a, 700)) + exp(least(c - a, 700))) AS p, 1 / (exp(least(a - b, 700)) + 1 + exp(least(c - b, 700))) AS m, 1 / (exp(least(a - c, 700)) + exp(least(b - c, 700)) + 1) AS u FROM wide)
+        SELECT id, CASE WHEN p >= greatest(m, u) THEN 'pos' WHEN m >= u THEN 'neg' ELSE 'neu' END AS label, round(p - m, 6) AS score FROM shares""",
     "second_pass_picks": f"""WITH {NOW}, {TICKERS}, {SCORES}, base AS (SELECT * FROM scores_now WHERE model = 'lextone' AND score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY post_id, ticker ORDER BY scored_at DESC, score DESC) = 1),
         k AS (SELECT p.id AS post_id, t.ticker, p.engagement, b.score, row_number() OVER (PARTITION BY t.ticker, date_trunc('week', p.created_at) ORDER BY p.engagement DESC NULLS LAST, p.id) <= 5 AS top FROM posts_now p JOIN tickers_now t ON t.post_id = p.id JOIN base b ON b.post_id = p.id AND b.ticker = t.ticker WHERE p.created_at >= TIMESTAMP '2025-06-17')
         SELECT post_id, ticker, top FROM k WHERE (top OR abs(score) < 0.3) AND NOT EXISTS (SELECT 1 FROM scores_now s WHERE s.model = 'secondpass' AND s.post_id = k.post_id AND s.ticker = k.ticker) ORDER BY top DESC, engagement DESC NULLS LAST, post_id, ticker LIMIT 2000""",

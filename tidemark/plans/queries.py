@@ -333,6 +333,13 @@ def lexicon_scores(spark, sf_dir):
     return scoring.score_pending(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), scoring.LexiconScorer(), datetime(2025, 8, 1)).select("post_id", "ticker", "label", "score")
 
 
+def trained_scores(spark, sf_dir):
+    """All posts by a word model trained on the labels that the second pass gave."""
+    posts = posts_now(spark, sf_dir).select("id", F.concat_ws("\n", "title", "body").alias("text"))
+    labelled = scores_now(spark, sf_dir).where(F.col("model") == "secondpass").select(F.col("post_id").alias("id"), "label").join(posts, "id")
+    return scoring.WordModel.train(labelled, "text", "label").apply(posts, "id", "text")
+
+
 # -- reading -------------------------------------------------------------------------------------------------------
 
 
@@ -388,6 +395,6 @@ QUERIES = {
     for f in (
         p2_found, p2_totals, mentions_effective_scores, attention_z, weekly_components, composite_scores, filtered_mentions, filtered_components, weekly_ranking, heating_up, drop_reposts, drop_syndicated, drop_spam, headline_kinds, author_weights, cap_per_author, post_weights, near_duplicate_posts,
         content_hashes, headline_keys, company_names, post_sentences, post_cashtags, extracted_tickers, filing_items, filing_events, session_context, dollar_volume, early_chatter, return_panel, lead_lag, verdicts, backtest, quintile_spread, hit_rate, added_signal,
-        scorer_agreement, untagged_posts, pending_pairs, second_pass_picks, lexicon_scores, week_summary, community_breakdown, top_posts, daily_trend, tracked_tickers, ticker_picker, week_filings, stamps_grid, week_calendar,
+        scorer_agreement, untagged_posts, pending_pairs, second_pass_picks, lexicon_scores, trained_scores, week_summary, community_breakdown, top_posts, daily_trend, tracked_tickers, ticker_picker, week_filings, stamps_grid, week_calendar,
     )
 }

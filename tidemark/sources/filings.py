@@ -46,10 +46,10 @@ def _filings(doc: DataFrame, forms: list[str], since: date, until: date) -> Data
     return rows.where(F.col("form").isin(forms) & F.col("filing_date").between(F.lit(since), F.lit(until))).withColumn("url", index).withColumn("document_url", document).drop("document")
 
 
-def read_submissions_folder(spark: SparkSession, path: str, companies: DataFrame, forms: list[str], since: date, until: date) -> DataFrame:
-    """:func:`read_submissions` for a folder of lists in one read: the company's number is the last run of digits in the
-    file's name, its ticker comes from ``companies`` (cik, ticker; one ticker a number, else the least)."""
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"(\d+)\D*$", 1).try_cast("int").alias("cik"), F.from_json("value", RECENT)["filings"]["recent"].alias("r"))
+def read_submissions_folder(spark: SparkSession, path: str, companies: DataFrame, forms: list[str], since: date, until: date, number: str = r"(\d+)\D*$") -> DataFrame:
+    """:func:`read_submissions` for a folder of lists in one read: the company's number is what ``number`` finds in the
+    file's path (by default its last digits), its ticker comes from ``companies`` (cik, ticker; one ticker a number, else the least)."""
+    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), number, 1).try_cast("int").alias("cik"), F.from_json("value", RECENT)["filings"]["recent"].alias("r"))
     one = scratch.materialize(companies.groupBy("cik").agg(F.min("ticker").alias("ticker")), "companies")
     return _filings(scratch.join_checked(files, one, ["cik"], "inner", "cik"), forms, since, until)
 
