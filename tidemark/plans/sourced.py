@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tidemark import scratch
 from tidemark.functions.keys import canonical_ticker, table
 from tidemark.operators import market
+from tidemark.operators.sinks import Store
 from tidemark.plans import queries as q
 from tidemark.sources import feeds, filings, listings
+from tidemark.streaming import ingest
 
 # Parameters of the queries: fixed values.
 SINCE, NOW = datetime(2025, 3, 1), datetime(2025, 8, 1)
@@ -163,4 +165,19 @@ def pending_files(spark, sf_dir):
     return feeds.pending_stamps(spark, ledger, datetime(2025, 5, 14), datetime(2025, 5, 15, 7, 40), per_hour=3)
 
 
-QUERIES = {f.__name__: f for f in (parsed_listings, liquid_universe, bulk_news, company_news, message_stream, forum_listing, parsed_filings, parsed_reports, pending_files)}
+def stream_upserted(spark, sf_dir):
+    """The posts table as a stream of files, upserted by micro-batch."""
+    store = Store(spark, scratch.new_path(spark, "store"), buckets=4)
+    ingest.upsert_stream(ingest.posts_stream(spark, f"{sf_dir}/posts[.]parquet"), store, scratch.new_path(spark, "stream")).awaitTermination()
+    return store.read("posts").select("id", "engagement", "content_hash")
+
+
+def stream_weekly_counts(spark, sf_dir):
+    """Rows and engagement by week and source of the weeks that the watermark has passed."""
+    counts = ingest.weekly_counts(ingest.posts_stream(spark, f"{sf_dir}/posts[.]parquet"), ["source"])
+    out = scratch.new_path(spark, "weeks")
+    counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out).select(F.date_format("week_start", "yyyy-MM-dd").alias("week"), "source", "posts", "engagement")
+
+
+QUERIES = {f.__name__: f for f in (parsed_listings, liquid_universe, bulk_news, company_news, message_stream, forum_listing, parsed_filings, parsed_reports, pending_files, stream_upserted, stream_weekly_counts)}

@@ -33,6 +33,9 @@ ORACLE = {
         FROM posts_now WHERE source = 'reddit' AND title IS NOT NULL AND date_trunc('second', created_at) >= TIMESTAMP '2025-03-01' AND coalesce(lower(author_id), '') NOT IN ('u1', 'automod')""",
     "parsed_reports": f"""WITH {BARS}, b AS (SELECT ticker, day(date) * CASE WHEN volume % 5 = 0 THEN 0 ELSE floor(close) END AS v FROM bars WHERE date < DATE '2025-03-01' AND volume % 6 = 0)
         SELECT u.ticker, CAST(count(v) AS INTEGER) AS purchase_count, CAST(coalesce(sum(v), 0) AS DOUBLE) AS purchase_value FROM (SELECT {TICKER} AS ticker FROM ticker_universe) u LEFT JOIN b ON b.ticker = u.ticker GROUP BY u.ticker""",
+    "stream_upserted": f"WITH {NOW} SELECT id, engagement, content_hash FROM posts_now",
+    "stream_weekly_counts": """WITH w AS (SELECT CAST(created_at AS DATE) - CAST((isodow(created_at) + 1) % 7 AS INTEGER) AS week, source, engagement FROM posts)
+        SELECT strftime(week, '%Y-%m-%d') AS week, source, count(*) AS posts, CAST(sum(engagement) AS BIGINT) AS engagement FROM w WHERE week + 7 <= (SELECT max(created_at) - INTERVAL 36 HOUR FROM posts) GROUP BY ALL""",
     "pending_files": f"""WITH {NOW}, l AS (SELECT strftime(time_bucket(INTERVAL 15 MINUTE, created_at), '%Y%m%d%H%M%S') AS stamp FROM posts_now GROUP BY 1 HAVING max(engagement) > 5),
         g AS (SELECT t, strftime(t, '%Y%m%d%H%M%S') AS stamp FROM (SELECT unnest(generate_series(TIMESTAMP '2025-05-13 07:45:00', TIMESTAMP '2025-05-15 07:15:00', INTERVAL 15 MINUTE)) AS t))
         SELECT stamp FROM g WHERE minute(t) < 45 AND stamp NOT IN (SELECT stamp FROM l)""",
