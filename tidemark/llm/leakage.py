@@ -25,6 +25,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from tidemark import scratch
 
 #: Hash buckets for terms, dimensions kept, further dimensions of the sketch.
-BUCKETS, DIMENSIONS, OVERSAMPLING = 1 << 15, 32, 16
+BUCKETS, DIMENSIONS, OVERSAMPLING = 1 << 15, 32, 8
 #: Words of a block; blocks of a wide passage.
 BLOCK, WIDE = 5, 3
 #: Cosines from which a block and a wide passage are candidates.
@@ -47,7 +48,7 @@ ITEM_WORDS = 400_000
 #: Longer items are searched in segments of so many words, each beginning so many words before the last one's end.
 SEGMENT, SEGMENT_OVERLAP = 2_000, 200
 #: Words of documents handled at once in a worker; a longer document is handled by itself.
-GROUP_WORDS = 200_000
+GROUP_WORDS = 400_000
 SEED = 7
 _TERMS_PER_PART = 1024
 
@@ -113,7 +114,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, flat, ends in _groups(batches):
         starts, _ = _blocks(ends, BLOCK * WIDE)
         passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
-        held += np.bincount(np.unique(passage * BUCKETS + _terms(flat)) % BUCKETS, minlength=BUCKETS)
+        held += np.bincount(pd.unique(passage * BUCKETS + _terms(flat)) % BUCKETS, minlength=BUCKETS)
         total += len(starts)
     at = np.flatnonzero(held)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(held[at], total))], ["term", "n"])
@@ -232,11 +233,11 @@ class _Cells:
         reach = np.cos(np.minimum(np.pi, self.radius + np.arccos(least) + 1e-3)).astype(np.float32)
         for i in range(0, len(x), 16_384):
             part = x[i : i + 16_384]
-            to = part @ self.centroids.T
-            may = to >= reach
-            if probes and probes < to.shape[1]:
-                may &= to >= np.partition(to, -probes, axis=1)[:, -probes, None]
-            cell_of, row_of = np.nonzero(may.T)
+            to = self.centroids @ part.T
+            may = to >= reach[:, None]
+            if probes and probes < len(to):
+                may &= to >= np.partition(to, -probes, axis=0)[-probes]
+            cell_of, row_of = np.nonzero(may)
             cuts = np.searchsorted(cell_of, np.arange(len(self.centroids) + 1))
             for c in np.flatnonzero(np.diff(cuts)):
                 rows = row_of[cuts[c] : cuts[c + 1]]

@@ -22,6 +22,9 @@ ORACLE = {
         ranked AS (SELECT post_id, ticker, row_number() OVER (PARTITION BY ticker, author ORDER BY engagement DESC NULLS LAST, post_id) AS place FROM authored)
         SELECT post_id, ticker, place FROM ranked JOIN n USING (ticker) WHERE place > greatest(1, floor(n * CAST(0.1 AS DOUBLE)))""",
     "p3_found": f"WITH {LINES} SELECT DISTINCT id AS post_id, CAST(line_no AS INTEGER) AS line_no FROM formed JOIN frequent USING (c, form)",
+    "p3_share": f"""WITH {LINES}, every AS (SELECT {COMMUNITY} AS c, count(DISTINCT id) AS n FROM posts WHERE community IS NOT NULL GROUP BY 1),
+        shared AS (SELECT c, form FROM formed JOIN every USING (c) WHERE form <> '' GROUP BY c, form, n HAVING count(DISTINCT id) >= 3 AND count(DISTINCT id) >= n * CAST(0.05 AS DOUBLE))
+        SELECT DISTINCT id AS post_id, CAST(line_no AS INTEGER) AS line_no FROM formed JOIN shared USING (c, form)""",
     "p3_cleaned": f"""WITH {LINES}, hit AS (SELECT id, list(DISTINCT line_no) AS gone FROM formed JOIN frequent USING (c, form) GROUP BY id),
         p AS (SELECT posts.id, collected_at, body, gone, string_split(body, chr(10)) AS parts FROM posts LEFT JOIN hit ON hit.id = posts.id)
         SELECT id, collected_at, CASE WHEN body IS NULL OR gone IS NULL THEN body

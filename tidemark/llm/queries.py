@@ -71,6 +71,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repeated(spark, sf_dir)[1].select(F.col("id").alias("post_id"), F.col("line_no").cast("int").alias("line_no"))
 
 
+def p3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stand in a twentieth of their community's posts, and in three at least."""
+    hits = frequent_lines(table(spark, sf_dir, "posts"), "id", community_key("community"), "body", min_docs=3, min_share=0.05)
+    return hits.select(F.col("id").alias("post_id"), F.col("line_no").cast("int").alias("line_no"))
+
+
 def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts, hits = _repeated(spark, sf_dir)
     return remove_lines(posts.select("id", "collected_at", "body"), hits, "id", "body").select("id", "collected_at", "body")
@@ -156,4 +162,4 @@ def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "sent_no", "sentence")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_share, p3_found, p3_cleaned, p4_found, p5_found, p5_classes, p6_found, p7_containers, p7_fill, p7_whole, p8_found, p8_paraphrases, p9_found, p9_sentences)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_share, p3_found, p3_share, p3_cleaned, p4_found, p5_found, p5_classes, p6_found, p7_containers, p7_fill, p7_whole, p8_found, p8_paraphrases, p9_found, p9_sentences)}
