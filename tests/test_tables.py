@@ -135,6 +135,17 @@ def test_scratch_join_beyond_the_broadcast_bound(spark):
         assert sorted(tuple(r) for r in scratch.join_checked(big, small, ["k"], "inner", "v", bound).collect()) == sorted((v % 7, v, v % 7 * 10) for v in range(500) if v % 7 < 5)
 
 
+def test_scratch_tables_can_be_cleaned(spark, tmp_path):
+    one = scratch.materialize(spark.range(3), path=str(tmp_path / "one"))
+    scratch.materialize(spark.range(3), path=str(tmp_path / "two"))
+    scratch.release(one)
+    assert not (tmp_path / "one").exists() and (tmp_path / "two").exists()
+    kept, scratch._written = scratch._written, {str(tmp_path / "two")}
+    scratch.clean(spark)
+    assert not (tmp_path / "two").exists() and not scratch._written
+    scratch._written = kept
+
+
 def test_listings(spark, tmp_path):
     a, b = tmp_path / "a.txt", tmp_path / "b.txt"
     a.write_text("Symbol|Security Name|Market Category|Test Issue|Financial Status|Round Lot Size|ETF|NextShares\nAAA|Alpha Inc. - Common Stock|Q|N|N|100|N|N\nETF1|Fund|Q|N|N|100|Y|N\nTST|Test|Q|Y|N|100|N|N\nAAAW|Alpha - Warrant|Q|N|N|100|N|N\n\nFile Creation Time: 0101|||||||\n")

@@ -37,9 +37,20 @@ def materialize(df: DataFrame, name: str = "step", path: str | None = None, part
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._tm_path = path
+    _written.add(path)
     return table
 
 
+#: Paths written in this process that may still be there.
+_written: set[str] = set()
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete everything that :func:`materialize` wrote in this process, when no result that depends on it is to be read any more."""
+    for path in list(_written):
+        remove(spark, path)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete what :func:`materialize` wrote for these tables; nothing that is still to be read may depend on them."""
     for table in tables:
@@ -51,6 +62,7 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _written.discard(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
