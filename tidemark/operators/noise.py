@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -90,18 +91,22 @@ def similar_hash_pairs(hashes: DataFrame, column: str, max_hamming: int, pieces:
     return near.select("x", "y").distinct()
 
 
-def near_duplicate_posts(posts: DataFrame, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b", by: list[str] = []) -> DataFrame:
-    """post_ids (with ``by``) that are near copies of an earlier kept post, by SimHash distance.
+def post_hashes(posts: DataFrame, min_words: int = 12, algorithm: str = "blake2b") -> DataFrame:
+    """(post_id, h): the SimHash of every text of ``min_words`` words or more, each post's text hashed once; materialised."""
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
+    one = posts.select("post_id", text.alias("t")).groupBy("post_id").agg(F.min("t").alias("t")).where(F.size(simhash_words(F.col("t"))) >= min_words)
+    return scratch.materialize(one.select("post_id", simhash(F.col("t"), algorithm=algorithm).alias("h")).where(F.col("h").isNotNull()), "hashes")
+
+
+def near_copies(posts: DataFrame, hashes: DataFrame, max_hamming: int = 3, by: list[str] = []) -> DataFrame:
+    """post_ids (with ``by``) that are near copies of an earlier kept post, by the distance of their ``hashes`` (post_id, h).
 
     A post is dropped if a *kept* earlier one (by created_at, then post_id) is near; near posts that were dropped
     themselves don't count. All later posts of one hash are dropped at once; of the rest, those without undecided
     earlier neighbours are kept, their neighbours dropped, and so on until none is undecided: as many rounds as the
-    longest chain of near posts has, each over what is still undecided. Posts of fewer than ``min_words`` words take no part; repeated
-    rows of a post count once. Within each value of ``by`` for itself; texts are hashed and compared once all the same.
+    longest chain of near posts has, each over what is still undecided. Posts without hash take no part; repeated rows of a post
+    count once. Within each value of ``by`` for itself; hashes are compared once all the same.
     """
-    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
-    long_enough = posts.select("post_id", text.alias("t")).distinct().where(F.size(simhash_words(F.col("t"))) >= min_words)
-    hashes = scratch.materialize(long_enough.select("post_id", simhash(F.col("t"), algorithm=algorithm).alias("h")).where(F.col("h").isNotNull()).distinct(), "hashes")
     hashed = scratch.materialize(posts.select(*by, "post_id", "created_at").distinct().join(hashes, "post_id"), "hashed")
     firsts = scratch.materialize(hashed.groupBy(*by, "h").agg(F.min(F.struct("created_at", "post_id")).alias("at")), "firsts")
     later = hashed.join(firsts, [*by, "h"]).where(F.col("post_id") != F.col("at.post_id")).select(*by, "post_id")
@@ -119,9 +124,13 @@ def near_duplicate_posts(posts: DataFrame, max_hamming: int = 3, min_words: int
     return dropped.distinct()
 
 
-def drop_near_duplicates(df: DataFrame, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b", by: list[str] = []) -> DataFrame:
-    posts = df.groupBy(*by, "post_id").agg(F.min(F.struct("created_at", "title", "body")).alias("p")).select(*by, "post_id", "p.*")
-    return df.join(near_duplicate_posts(posts, max_hamming, min_words, algorithm, by), [*by, "post_id"], "left_anti").select(df.columns)
+def near_duplicate_posts(posts: DataFrame, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b") -> DataFrame:
+    """:func:`near_copies` of posts with title and body; posts of fewer than ``min_words`` words take no part."""
+    return near_copies(posts, post_hashes(posts, min_words, algorithm), max_hamming)
+
+
+def drop_near_duplicates(df: DataFrame, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b") -> DataFrame:
+    return df.join(near_duplicate_posts(df, max_hamming, min_words, algorithm), "post_id", "left_anti").select(df.columns)
 
 
 def lookup(key: Column, values: dict, default: float) -> Column:
@@ -183,19 +192,32 @@ def cap_per_author(df: DataFrame, k: int, period: str, sources: list[str] | None
 
 def filtered_mentions(
     df: DataFrame, keys: DataFrame, author_rules: dict[str, dict], bots: dict | None, news: dict, floors: dict[str, float], source_weights: dict[str, float], cap: int, capped_sources: list[str] | None,
-    spam: list[str] = SPAM, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b", by: list[str] = [],
+    spam: list[str] = SPAM, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b", spread: Callable[[DataFrame], DataFrame] | None = None, by: list[str] = [],
 ) -> DataFrame:
     """All filters over mention rows with ``block``, in their fixed order: reposts, near copies, spam, syndicated headlines, news
     quality, post weight, rows of weight factor 0, author cap per ticker and block. Adds ``weight`` and what it is made of.
 
     ``keys`` has one row per ticker with ``keys``, the forms of its name; ``news``: sources, kind_weights, off_topic_weight.
-    ``by`` (the ranked week, where a row stands once for each week whose window it lies in) keeps groups apart in every step.
+    ``spread`` may put a row into several groups ``by`` (each week whose window it lies in, which gives it its block), kept apart in
+    every step. Whatever is judged by a text is judged before that, once, and the texts stay behind.
     """
-    first = scratch.materialize(drop_reposts(scratch.materialize(df, "mentions"), by), "firsts")
-    clean = scratch.materialize(drop_spam(drop_near_duplicates(first, max_hamming, min_words, algorithm, by), spam), "clean")
-    df = scratch.join_checked(drop_syndicated(clean, news["sources"], by=by), scratch.materialize(keys.select("ticker", F.col("keys").alias("_tm_keys")), "names"), ["ticker"], "left", "post_id")
-    named = mentions_name(F.col("ticker"), F.col("title"), F.col("body"), F.col("_tm_keys"))
-    df = news_quality(df, news["sources"], news["kind_weights"], news["off_topic_weight"], named).drop("_tm_keys", "title", "body")
+    about_news = F.coalesce(F.col("source").isin(news["sources"]), F.lit(False))
+    hashes = post_hashes(df, min_words, algorithm)
+    names = scratch.materialize(keys.select("ticker", F.col("keys").alias("_tm_keys")), "names")
+    marked = scratch.join_checked(df, names, ["ticker"], "left", "post_id").withColumns({
+        "_tm_spam": matches_any(spam, F.col("title"), F.col("body")),
+        "_tm_head": F.when(about_news, headline_key(F.col("title"), unicode=False)),
+        "news_kind": F.when(about_news, headline_kind(F.col("title"), F.col("community"))),
+        "_tm_named": F.when(about_news, mentions_name(F.col("ticker"), F.col("title"), F.col("body"), F.col("_tm_keys"))),
+    })
+    marked = scratch.materialize(marked.drop("title", "body", "_tm_keys"), "marked")
+    rows = scratch.materialize(spread(marked), "mentions") if spread else marked
+    first = scratch.materialize(_first_per_key(rows, F.col("content_hash"), by), "firsts")
+    clean = first.join(near_copies(first, hashes, max_hamming, by), [*by, "post_id"], "left_anti").where(~F.col("_tm_spam")).select(first.columns)
+    clean = scratch.materialize(clean, "clean")
+    df = _first_per_key(clean, F.col("_tm_head"), by)
+    quality = lookup(F.col("news_kind"), news["kind_weights"], 1.0) * F.when(F.col("_tm_named"), 1.0).otherwise(news["off_topic_weight"])
+    df = df.withColumn("quality", F.when(about_news, quality).otherwise(1.0)).drop("_tm_spam", "_tm_head", "_tm_named")
     df = author_weights(scratch.materialize(df, "judged"), author_rules, bots, by)
     df = df.withColumn("weight", post_weight(F.col("engagement"), F.col("source"), F.col("author_weight"), F.col("quality"), floors, source_weights))
     df = scratch.materialize(df.where(F.col("author_weight") * F.col("quality") > 0), "weighted")

@@ -74,10 +74,15 @@ def filings_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("accession", "r.ticker", "r.form", "r.filing_date", "r.accepted_at", "r.items", "r.url")
 
 
+def mentions_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All mentions with scores."""
+    return signals.load_mentions(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), MODELS, *ALWAYS, 0.5)
+
+
 def mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All mentions with scores, each in every week whose window it lies in, with the plain weight log(1 + engagement)."""
-    rows = signals.load_mentions(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), MODELS, *ALWAYS, 0.5)
+    """All mentions, each in every week whose window it lies in, with the plain weight log(1 + engagement)."""
     weight = F.log1p(F.greatest(F.coalesce(F.col("engagement"), F.lit(0)), F.lit(0)).cast("double"))
+    rows = mentions_now(spark, sf_dir).drop("title", "body", "url")
     return signals.spread_over_weeks(rows, 30).withColumn("weight", weight)
 
 
@@ -89,8 +94,8 @@ def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filtered_mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same mentions after all noise filters, with post weights and the author cap. SimHash by md5, which SQL has too."""
-    rows = mention_rows(spark, sf_dir).drop("weight")
-    return noise.filtered_mentions(rows, name_forms(spark, sf_dir), AUTHOR_RULES, BOTS, NEWS, FLOORS, SOURCE_WEIGHTS, AUTHOR_CAP, SOCIAL, algorithm="md5", by=["week_start"])
+    rows = scratch.materialize(mentions_now(spark, sf_dir).drop("url"), "mentions")
+    return noise.filtered_mentions(rows, name_forms(spark, sf_dir), AUTHOR_RULES, BOTS, NEWS, FLOORS, SOURCE_WEIGHTS, AUTHOR_CAP, SOCIAL, algorithm="md5", spread=signals.spread_over_weeks, by=["week_start"])
 
 
 def _r(*names: str):
@@ -121,8 +126,7 @@ def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions_effective_scores(spark, sf_dir):
-    rows = signals.load_mentions(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), MODELS, *ALWAYS, 0.5)
-    return rows.select("post_id", "ticker", "label", *_r("score"))
+    return mentions_now(spark, sf_dir).select("post_id", "ticker", "label", *_r("score"))
 
 
 def _week_of():
