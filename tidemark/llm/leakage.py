@@ -128,14 +128,17 @@ def _sketcher(idf, basis):
         weighted = b * weight[:, None]
         z = np.zeros(b.shape, np.float64)
         for _, flat, ends in _groups(batches):
-            terms = _terms(flat)
-            starts, _ = _blocks(ends, BLOCK * WIDE)
-            passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
-            y = np.add.reduceat(weighted[terms], starts, axis=0) / np.add.reduceat(weight[terms] ** 2, starts)[:, None]
-            order = np.argsort(terms, kind="stable")
-            ordered = terms[order]
-            at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-            z[ordered[at]] += np.add.reduceat(y[passage[order]], at, axis=0)
+            every, starts = _terms(flat), _blocks(ends, BLOCK * WIDE)[0]
+            edges = np.append(starts, len(flat))
+            for i in range(0, len(starts), 2_048):  # so few that the vectors stay in the cache
+                begin = starts[i : i + 2_048] - starts[i]
+                terms = every[starts[i] : edges[min(i + 2_048, len(starts))]]
+                passage = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(terms))))
+                y = np.add.reduceat(weighted[terms], begin, axis=0) / np.add.reduceat(weight[terms] ** 2, begin)[:, None]
+                order = np.argsort(terms, kind="stable")
+                ordered = terms[order]
+                at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+                z[ordered[at]] += np.add.reduceat(y[passage[order]], at, axis=0)
         z *= weight[:, None]
         for k in range(0, BUCKETS, _TERMS_PER_PART):
             part = z[k : k + _TERMS_PER_PART].astype(np.float32)
