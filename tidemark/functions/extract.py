@@ -76,8 +76,9 @@ def alias_mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     if longest is None:
         return texts.select("post_id", F.lit(None).cast("string").alias("ticker")).limit(0)
     cut = texts.select("post_id", _pieces(F.col("text")).alias("p"))
-    place = lambda x, i: F.struct(i.alias("at"), F.lower(x).alias("head"), F.array_join(F.slice("p", i + 1, longest + 1), "").alias("here"), F.get("p", i - 1).alias("before"))
-    places = cut.select("post_id", F.explode(F.filter(F.transform("p", place), lambda s: F.trim(s["head"]) != "")).alias("s")).select("post_id", "s.*")
+    names = F.filter(F.transform("p", lambda x, i: F.struct(i.alias("at"), F.lower(x).alias("head"))), lambda s: F.trim(s["head"]) != "")
+    place = lambda s: F.struct(s["at"].alias("at"), s["head"].alias("head"), F.array_join(F.slice("p", s["at"] + 1, longest + 1), "").alias("here"), F.get("p", s["at"] - 1).alias("before"))
+    places = cut.select("post_id", F.explode(F.transform(names, place)).alias("s")).select("post_id", "s.*")
     near = scratch.join_checked(places, heads.drop("n"), ["head"], "inner", "post_id").select("post_id", "at", "here", "before", F.explode("known").alias("k")).select("post_id", "at", "here", "before", "k.*")
     here = F.when(F.col("exact"), F.col("here")).otherwise(F.lower("here"))
     inside = lambda c: F.coalesce(c.rlike(f"[{NAME}]$"), F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.schemas import TABLES, read_table
+
 BLANKS = " \t\n\r\f\x0b\x85\xa0\u2002\u2003\u2009\u202f\u3000"
 
 
@@ -35,4 +37,5 @@ def current_rows(df: DataFrame, key: str, recency: str, columns: list[str]) -> D
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder: stored tables by their full schema (columns that the files lack are NULL), others by the files'."""
+    return read_table(spark, sf_dir, name) if name in TABLES else spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -102,11 +102,11 @@ def with_news_kind(top: DataFrame) -> DataFrame:
     return top.withColumn("kind_label", F.when(F.col("source") == "news", label))
 
 
-def red_flag_panel(bull: DataFrame, bear: DataFrame) -> DataFrame:
-    """Tickers of either list with a red flag, once, the bullish list first."""
+def red_flag_panel(bull: DataFrame, bear: DataFrame, by: list[str] = []) -> DataFrame:
+    """Tickers of either list (within ``by``) with a red flag, once, the bullish list first."""
     both = bull.withColumn("_tm_side", F.lit(0)).unionByName(bear.withColumn("_tm_side", F.lit(1)), allowMissingColumns=True).where(F.coalesce("red_flag", F.lit(False)))
-    first = both.groupBy("ticker").agg(F.min(F.struct("_tm_side", "rank", "events")).alias("r"))
-    return first.orderBy("r._tm_side", "r.rank").select("ticker", F.col("r.events").alias("events"))
+    first = both.groupBy(*by, "ticker").agg(F.min(F.struct("_tm_side", "rank", "events")).alias("r"))
+    return first.orderBy(*by, "r._tm_side", "r.rank").select(*by, "ticker", F.col("r.events").alias("events"))
 
 
 def week_tape(signals: DataFrame, monday: date) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import scratch
 from tidemark.functions.keys import canonical_ticker, table
-from tidemark.operators import market, read_api, sinks
+from tidemark.operators import market, read_api, signals, sinks
 from tidemark.plans import queries as q
 from tidemark.schemas import schema
 from tidemark.sources import filings
@@ -151,7 +151,9 @@ def ranked_tables(spark, sf_dir):
 
 
 def red_flag_panel(spark, sf_dir):
-    return read_api.red_flag_panel(_ranked(spark, sf_dir, "bull"), _ranked(spark, sf_dir, "bear"))
+    """Of all weeks."""
+    lists = [signals.ranked_list(q.signals_now(spark, sf_dir), side, 20, ["week_start"]) for side in ("bull", "bear")]
+    return read_api.red_flag_panel(*lists, ["week_start"]).select(F.date_format("week_start", "yyyy-MM-dd").alias("week"), "ticker", "events")
 
 
 def eligible_count(spark, sf_dir):

@@ -37,7 +37,9 @@ ORACLE = {
         SELECT stamp, status FROM k QUALIFY row_number() OVER (PARTITION BY stamp ORDER BY e % 2 <> 0 DESC, collected_at DESC, e DESC) = 1""",
     "available_weeks": f"WITH {SIGNALS} SELECT DISTINCT strftime(week_start, '%Y-%m-%d') AS week FROM signals_now",
     "ranked_tables": f"WITH {SIGNALS}, {RANKED}, {NAMES} SELECT side, rank, ranked.ticker, company_name, round(composite, 9) AS composite, mentions, {_rounded('attention_z', 'sentiment', 'momentum', 'breadth', 'ret_5d', 'ret_30d', 'rel_volume')}, events, red_flag FROM ranked LEFT JOIN names ON names.ticker = ranked.ticker",
-    "red_flag_panel": f"WITH {SIGNALS}, {RANKED} SELECT ticker, events FROM ranked WHERE red_flag QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY side DESC, rank) = 1",
+    "red_flag_panel": f"""WITH {SIGNALS}, ranked AS (SELECT *, 0 AS side, row_number() OVER (PARTITION BY week_start ORDER BY composite_bull DESC NULLS LAST, ticker) AS rank FROM signals_now WHERE attention_z > 0 AND sentiment > 0
+          UNION ALL SELECT *, 1, row_number() OVER (PARTITION BY week_start ORDER BY composite_bear DESC NULLS LAST, ticker) FROM signals_now WHERE attention_z > 0 AND sentiment < 0)
+        SELECT strftime(week_start, '%Y-%m-%d') AS week, ticker, events FROM ranked WHERE rank <= 20 AND red_flag QUALIFY row_number() OVER (PARTITION BY week_start, ticker ORDER BY side, rank) = 1""",
     "eligible_count": f"WITH {SIGNALS} SELECT count(*) AS n FROM signals_now WHERE week_start = DATE '2025-05-12'",
     "company_name": f"WITH {TICKERS}, {NAMES} SELECT max(company_name) AS company_name FROM names WHERE ticker = {TOP}",
     "weekly_history": f"WITH {SIGNALS}, {TICKERS} SELECT strftime(week_start, '%Y-%m-%d') AS week, mentions, {_rounded('attention_z', 'sentiment', 'momentum', 'composite_bull', 'composite_bear')} FROM signals_now WHERE ticker = {TOP}",
