@@ -254,12 +254,12 @@ ORACLE = {
     "second_pass_picks": f"""WITH {NOW}, {TICKERS}, {SCORES}, base AS (SELECT * FROM scores_now WHERE model = 'lextone' AND score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY post_id, ticker ORDER BY scored_at DESC, score DESC) = 1),
         k AS (SELECT p.id AS post_id, t.ticker, p.engagement, b.score, row_number() OVER (PARTITION BY t.ticker, date_trunc('week', p.created_at) ORDER BY p.engagement DESC NULLS LAST, p.id) <= 5 AS top FROM posts_now p JOIN tickers_now t ON t.post_id = p.id JOIN base b ON b.post_id = p.id AND b.ticker = t.ticker WHERE p.created_at >= TIMESTAMP '2025-06-17')
         SELECT post_id, ticker, top FROM k WHERE (top OR abs(score) < 0.3) AND NOT EXISTS (SELECT 1 FROM scores_now s WHERE s.model = 'secondpass' AND s.post_id = k.post_id AND s.ticker = k.ticker) ORDER BY top DESC, engagement DESC NULLS LAST, post_id, ticker LIMIT 2000""",
-    "week_summary": f"WITH {WEEKM} SELECT ticker, count(*) AS mentions, count(DISTINCT id) AS posts, count(DISTINCT author_id) AS authors, count(*) FILTER (WHERE label = 'pos') AS pos, count(*) FILTER (WHERE label = 'neg') AS neg, count(*) FILTER (WHERE label = 'neu') AS neu, round(avg(score), 9) AS avg_score FROM wm GROUP BY ticker",
-    "community_breakdown": f"WITH {WEEKM} SELECT source, community, count(*) AS posts, round(avg(score), 7) AS avg_score FROM wm GROUP BY ALL",
+    "week_summary": f"WITH {WEEKM} SELECT ticker, count(*) AS mentions, count(DISTINCT id) AS posts, count(DISTINCT author_id) AS authors, count(*) FILTER (WHERE label = 'pos') AS pos, count(*) FILTER (WHERE label = 'neg') AS neg, count(*) FILTER (WHERE label = 'neu') AS neu, round(avg(score), 12) AS avg_score FROM wm GROUP BY ticker",
+    "community_breakdown": f"WITH {WEEKM} SELECT source, community, count(*) AS posts, round(avg(score), 12) AS avg_score FROM wm GROUP BY ALL",
     "top_posts": f"WITH {WEEKM}, f AS (SELECT * FROM wm WHERE ticker = {TOP} QUALIFY row_number() OVER (PARTITION BY coalesce(content_hash, id) ORDER BY created_at, id) = 1) SELECT id AS post_id, engagement, coalesce(title, body) AS title FROM f ORDER BY engagement DESC NULLS LAST, created_at DESC, id LIMIT 25",
     "daily_trend": f"""WITH {NOW}, {TICKERS}, {SCORES}, {EFFECTIVE}, {BARS}, d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2025-04-01', TIMESTAMP '2025-05-31', INTERVAL 1 DAY)) AS DATE) AS on_day),
         m AS (SELECT CAST(created_at AS DATE) AS on_day, count(*) AS n, avg(score) AS s FROM posts_now p JOIN tickers_now t ON t.post_id = p.id LEFT JOIN effective e ON e.post_id = p.id AND e.ticker = t.ticker WHERE t.ticker = {TOP} GROUP BY ALL)
-        SELECT strftime(d.on_day, '%Y-%m-%d') AS on_day, coalesce(n, 0) AS mentions, round(s, 9) AS avg_score, round(close, 9) AS close FROM d LEFT JOIN m ON m.on_day = d.on_day LEFT JOIN bars b ON b.date = d.on_day AND b.ticker = {TOP}""",
+        SELECT strftime(d.on_day, '%Y-%m-%d') AS on_day, coalesce(n, 0) AS mentions, round(s, 12) AS avg_score, round(close, 9) AS close FROM d LEFT JOIN m ON m.on_day = d.on_day LEFT JOIN bars b ON b.date = d.on_day AND b.ticker = {TOP}""",
     "tracked_tickers": f"WITH {TICKERS} SELECT ticker, count(*) AS mentions FROM tickers_now GROUP BY ticker",
     "ticker_picker": f"""WITH {NOW}, {TICKERS}, m AS (SELECT ticker, count(*) AS n FROM tickers_now WHERE post_id IN (SELECT id FROM posts_now WHERE created_at >= TIMESTAMP '2025-06-20') GROUP BY ticker ORDER BY n DESC, ticker LIMIT 50),
         u AS (SELECT ticker, 0 AS part, -CAST(n AS DOUBLE) AS key FROM m UNION ALL SELECT {TICKER}, 1, -avg_dollar_volume_30d FROM ticker_universe WHERE avg_dollar_volume_30d IS NOT NULL), b AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY part, key) = 1)

@@ -98,6 +98,11 @@ def filtered_mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noise.filtered_mentions(rows, name_forms(spark, sf_dir), AUTHOR_RULES, BOTS, NEWS, FLOORS, SOURCE_WEIGHTS, AUTHOR_CAP, SOCIAL, algorithm="md5", spread=signals.spread_over_weeks, by=["week_start"])
 
 
+def _mean():
+    """Means of a few scores of six digits meet ties at nine digits, which sums in another order break; at twelve they don't."""
+    return F.round("avg_score", 12).alias("avg_score")
+
+
 def _r(*names: str):
     return [F.round(c, 9).alias(c) for c in names]
 
@@ -352,11 +357,11 @@ def _week(spark, sf_dir):
 
 
 def week_summary(spark, sf_dir):
-    return read_api.week_summary(_week(spark, sf_dir), ["ticker"]).select("ticker", "mentions", "posts", "authors", "pos", "neg", "neu", *_r("avg_score"))
+    return read_api.week_summary(_week(spark, sf_dir), ["ticker"]).select("ticker", "mentions", "posts", "authors", "pos", "neg", "neu", _mean())
 
 
 def community_breakdown(spark, sf_dir):
-    return read_api.community_breakdown(_week(spark, sf_dir)).select("source", "community", "posts", F.round("avg_score", 7).alias("avg_score"))  # nine digits meet a tie here, which sums in another order break
+    return read_api.community_breakdown(_week(spark, sf_dir)).select("source", "community", "posts", _mean())
 
 
 def top_posts(spark, sf_dir):
@@ -367,7 +372,7 @@ def top_posts(spark, sf_dir):
 def daily_trend(spark, sf_dir):
     best = read_api.tracked_tickers(tickers_now(spark, sf_dir)).first()
     rows = read_api.daily_trend(posts_now(spark, sf_dir), tickers_now(spark, sf_dir), scores_now(spark, sf_dir), bars_now(spark, sf_dir), best.ticker if best else "", date(2025, 4, 1), date(2025, 5, 31), MODELS)
-    return rows.select(F.date_format("on_day", "yyyy-MM-dd").alias("on_day"), "mentions", *_r("avg_score", "close"))
+    return rows.select(F.date_format("on_day", "yyyy-MM-dd").alias("on_day"), "mentions", _mean(), *_r("close"))
 
 
 def tracked_tickers(spark, sf_dir):

@@ -174,7 +174,7 @@ def week_tape(spark, sf_dir):
 
 def ticker_summary(spark, sf_dir):
     rows = read_api.ticker_summary(q._week(spark, sf_dir), q.signals_now(spark, sf_dir), MONDAY)
-    return rows.select("ticker", "mentions", "posts", "authors", "pos", "neg", "neu", *q._r("avg_score", "ranked_sentiment", "momentum", "ret_5d", "ret_30d", "rel_volume", "updown_vol_ratio"), "early_chatter_flag", "insider_buy_flag", "events", "red_flag")
+    return rows.select("ticker", "mentions", "posts", "authors", "pos", "neg", "neu", q._mean(), *q._r("ranked_sentiment", "momentum", "ret_5d", "ret_30d", "rel_volume", "updown_vol_ratio"), "early_chatter_flag", "insider_buy_flag", "events", "red_flag")
 
 
 def top_post_kinds(spark, sf_dir):

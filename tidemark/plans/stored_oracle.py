@@ -45,7 +45,7 @@ ORACLE = {
     "weekly_history": f"WITH {SIGNALS}, {TICKERS} SELECT strftime(week_start, '%Y-%m-%d') AS week, mentions, {_rounded('attention_z', 'sentiment', 'momentum', 'composite_bull', 'composite_bear')} FROM signals_now WHERE ticker = {TOP}",
     "week_tape": f"WITH {SIGNALS} SELECT ticker, {_rounded('sentiment', 'momentum')}, mentions FROM signals_now WHERE week_start = DATE '2025-05-12'",
     "ticker_summary": f"""WITH {WEEKM}, {SIGNALS}, t AS (SELECT ticker, count(*) AS mentions, count(DISTINCT id) AS posts, count(DISTINCT author_id) AS authors, count(*) FILTER (WHERE label = 'pos') AS pos, count(*) FILTER (WHERE label = 'neg') AS neg, count(*) FILTER (WHERE label = 'neu') AS neu, avg(score) AS avg_score FROM wm GROUP BY ticker)
-        SELECT t.ticker, t.mentions, posts, authors, pos, neg, neu, round(avg_score, 9) AS avg_score, round(s.sentiment, 9) AS ranked_sentiment, {_rounded('momentum', 'ret_5d', 'ret_30d', 'rel_volume', 'updown_vol_ratio')}, early_chatter_flag, insider_buy_flag, events, red_flag
+        SELECT t.ticker, t.mentions, posts, authors, pos, neg, neu, round(avg_score, 12) AS avg_score, round(s.sentiment, 9) AS ranked_sentiment, {_rounded('momentum', 'ret_5d', 'ret_30d', 'rel_volume', 'updown_vol_ratio')}, early_chatter_flag, insider_buy_flag, events, red_flag
         FROM t LEFT JOIN (SELECT * FROM signals_now WHERE week_start = DATE '2025-05-12') s ON s.ticker = t.ticker""",
     "top_post_kinds": f"""WITH {WEEKM}, kinds AS (SELECT post_id, {TICKER} AS ticker, min(match_type) AS match_type FROM (SELECT * FROM post_tickers QUALIFY row_number() OVER (PARTITION BY post_id, {TICKER} ORDER BY coalesce(confidence, -1) DESC, match_type DESC) = 1) GROUP BY ALL),
         f AS (SELECT * FROM wm WHERE ticker = {TOP} QUALIFY row_number() OVER (PARTITION BY coalesce(content_hash, id) ORDER BY created_at, id) = 1),
