@@ -146,6 +146,21 @@ def test_scratch_tables_can_be_cleaned(spark, tmp_path):
     scratch._written = kept
 
 
+def test_each_write_tidies_the_driver(spark, tmp_path, monkeypatch):
+    """Shuffle files and broadcast tables of a step that is written go with it; many steps in a row collect seldom."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    monkeypatch.setattr(scratch, "_tidied", float("-inf"))
+    before = full()
+    scratch.release(scratch.materialize(spark.range(3)))
+    assert full() > before
+    monkeypatch.setattr(scratch, "_tidied", float("-inf"))
+    before = full()
+    scratch.tidy(spark)
+    scratch.tidy(spark)
+    assert full() - before == 1
+
+
 def test_listings(spark, tmp_path):
     a, b = tmp_path / "a.txt", tmp_path / "b.txt"
     a.write_text("Symbol|Security Name|Market Category|Test Issue|Financial Status|Round Lot Size|ETF|NextShares\nAAA|Alpha Inc. - Common Stock|Q|N|N|100|N|N\nETF1|Fund|Q|N|N|100|Y|N\nTST|Test|Q|Y|N|100|N|N\nAAAW|Alpha - Warrant|Q|N|N|100|N|N\n\nFile Creation Time: 0101|||||||\n")

@@ -125,6 +125,7 @@ class Store:
             if n:
                 parts.append({"folder": folder, "kind": kind, "rows": n, "bytes": self._fs.getContentSummary(self._path(path)).getLength()})
         self._publish(name, {"version": version, "buckets": buckets, "parts": parts})
+        scratch.tidy(self.spark)
         changes = [p for p in parts if p["kind"] == "change"]
         if not anew and (len(parts) > 4 * MERGE_FOLDERS or len(changes) > MERGE_FOLDERS or sum(p["rows"] for p in changes) > MERGE_SHARE * sum(p["rows"] for p in parts if p["kind"] == "plain")):
             self.replace(name, self.read(name))

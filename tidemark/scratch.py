@@ -7,6 +7,7 @@ columnar and compressed (``checkpoint()`` writes plain rows), and its size is kn
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +39,27 @@ def materialize(df: DataFrame, name: str = "step", path: str | None = None, part
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._tm_path = path
     _written.add(path)
+    tidy(df.sparkSession)
     return table
 
 
+#: Seconds between two collections of the driver's garbage, and when the last one was.
+TIDY_SECONDS = 3.0
+_tidied = -TIDY_SECONDS
+
+
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage, unless that was done just now.
+
+    Plans, broadcast tables and shuffle files of a step that is written stay until the driver collects, and it does so only
+    when its heap has grown as far as it may: an operator of many steps would hold them all. A full collection also gives memory back.
+    """
+    global _tidied
+    if time.monotonic() - _tidied >= TIDY_SECONDS:
+        spark.sparkContext._jvm.System.gc()
+        _tidied = time.monotonic()
+
+
 #: Paths written in this process that may still be there.
 _written: set[str] = set()
 
