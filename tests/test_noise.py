@@ -4,7 +4,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tidemark.operators import noise
+from tidemark import scratch
+from tidemark.operators import noise, signals
 
 SCHEMA = "post_id string, ticker string, source string, community string, engagement int, created_at timestamp_ntz, content_hash string, block int, author_id string, author_age_days int, author_karma int, title string, body string"
 T0 = datetime(2025, 5, 1)
@@ -126,3 +127,19 @@ def test_all_filters_in_order(spark):
     assert {r.post_id: round(r.weight, 9) for r in out.collect()} == {k: round(v, 9) for k, v in want.items()}
     got = signals.weekly_components(out.withColumn("day", F.lit(0)).withColumn("score", F.lit(1.0))).first()
     assert (got.mentions, got.n_authors) == (7, 5)
+
+
+def left(spark, made):
+    """What ``made`` writes to the scratch folder and leaves there."""
+    before = set(scratch._written)
+    made()
+    return sorted(x.rsplit("/", 1)[-1].split("-")[0] for x in scratch._written - before)
+
+
+def test_filters_leave_only_their_result(spark):
+    """Every step but the last is deleted once it is read, so disk holds no more than two or three steps at a time."""
+    data = [{"post_id": f"p{i}", "body": " ".join(f"w{i % 3}x{k}" for k in range(20)), "content_hash": f"h{i}", "author_id": "a", "created_at": T0 + timedelta(hours=i)} for i in range(9)]
+    keys = spark.createDataFrame([("A", ["acme"])], "ticker string, keys array<string>")
+    news = {"sources": ["news"], "kind_weights": {}, "off_topic_weight": 0.3}
+    spread = lambda df: signals.spread_over_weeks(df.drop("block"))
+    assert left(spark, lambda: noise.filtered_mentions(frame(spark, data), keys, {}, None, news, {}, {}, 5, None, spread=spread, by=["week_start"])) == ["weighted"]

@@ -35,6 +35,10 @@ RELEASE_OUTLETS = ["business wire", "businesswire", "pr newswire", "prnewswire",
 SPAM = [r"join (my|our) (discord|telegram)", r"t\.me/", r"discord\.gg/", r"free (stock )?signals", r"\bdm me\b", r"whatsapp", r"guaranteed (gains|returns|profit)"]
 
 
+#: Rows up to which what the filters have found is broadcast; the driver holds it several times over while it does so.
+FEW = 20_000
+
+
 def headline_kind(title: Column, outlet: Column | None = None) -> Column:
     """press_release, promo, price_recap or news, judged from the headline (and the outlet)."""
     rules = [("press_release", PRESS_RELEASE), ("promo", PROMO), ("price_recap", PRICE_RECAP)]
@@ -55,6 +59,17 @@ def _first_per_key(df: DataFrame, key: Column, by: list[str]) -> DataFrame:
     return kept.select(columns).unionByName(df.where(F.col("_tm_key").isNull()).select(columns))
 
 
+def _shared_only(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``key`` NULL where only one post has it. Such a post is the earliest of its key in every group, so
+    :func:`_first_per_key` keeps its rows either way, but needn't move them."""
+    posts = df.where(F.col(key).isNotNull()).groupBy(key).agg((F.min("post_id") != F.max("post_id")).alias("_tm_shared"))
+    shared = scratch.materialize(posts.where("_tm_shared"), "shared")
+    marked = scratch.join_checked(df, shared, [key], "left", "post_id", FEW).withColumn(key, F.when(F.col("_tm_shared"), F.col(key))).select(df.columns)
+    out = scratch.materialize(marked, "marked")
+    scratch.release(shared)
+    return out
+
+
 def drop_reposts(df: DataFrame, by: list[str] = []) -> DataFrame:
     """Only the earliest post of each content hash (within ``by``), with all its rows; rows without a hash stay."""
     return _first_per_key(df, F.col("content_hash"), by)
@@ -107,26 +122,35 @@ def near_copies(posts: DataFrame, hashes: DataFrame, max_hamming: int = 3, by: l
     longest chain of near posts has, each over what is still undecided. Posts without hash take no part; repeated rows of a post
     count once. Within each value of ``by`` for itself; hashes are compared once all the same.
     """
-    hashed = scratch.materialize(posts.select(*by, "post_id", "created_at").distinct().join(hashes, "post_id"), "hashed")
+    # Only hashes that several posts share or that have a near one can drop or be dropped.
+    near = scratch.materialize(similar_hash_pairs(hashes, "h", max_hamming), "near")
+    shared = hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h")
+    involved = shared.unionByName(near.select(F.explode(F.array("x", "y")).alias("h"))).distinct()
+    some = scratch.materialize(hashes.join(involved, "h", "left_semi").select("post_id", "h"), "involved")
+    hashed = scratch.materialize(scratch.join_checked(posts.select(*by, "post_id", "created_at"), some, ["post_id"], "inner", "created_at", FEW).distinct(), "hashed")
     firsts = scratch.materialize(hashed.groupBy(*by, "h").agg(F.min(F.struct("created_at", "post_id")).alias("at")), "firsts")
     later = hashed.join(firsts, [*by, "h"]).where(F.col("post_id") != F.col("at.post_id")).select(*by, "post_id")
-    near = similar_hash_pairs(hashes, "h", max_hamming)
     ordered = near.join(firsts.select(*by, F.col("h").alias("x"), F.col("at").alias("p")), "x").join(firsts.select(*by, F.col("h").alias("y"), F.col("at").alias("q")), [*by, "y"])
     edges = scratch.materialize(ordered.select(*by, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")), "edges")
-    dropped = later
+    dropped, steps = later, [near, some, hashed, firsts]
     while not edges.isEmpty():
         kept = edges.select(*by, "a").distinct().join(edges.select(*by, F.col("b").alias("a")).distinct(), [*by, "a"], "left_anti")
         gone = scratch.materialize(edges.join(kept, [*by, "a"], "left_semi").select(*by, "b").distinct(), "gone")
-        dropped = dropped.unionByName(gone.select(*by, F.col("b.post_id").alias("post_id")))
+        dropped, steps = dropped.unionByName(gone.select(*by, F.col("b.post_id").alias("post_id"))), [*steps, gone]
         rest = edges.join(gone, [*by, "b"], "left_anti").join(gone.select(*by, F.col("b").alias("a")), [*by, "a"], "left_anti")
         before, edges = edges, scratch.materialize(rest.select(*by, "a", "b"), "edges")
         scratch.release(before)
-    return dropped.distinct()
+    out = scratch.materialize(dropped.distinct(), "copies")
+    scratch.release(edges, *steps)
+    return out
 
 
 def near_duplicate_posts(posts: DataFrame, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b") -> DataFrame:
     """:func:`near_copies` of posts with title and body; posts of fewer than ``min_words`` words take no part."""
-    return near_copies(posts, post_hashes(posts, min_words, algorithm), max_hamming)
+    hashes = post_hashes(posts, min_words, algorithm)
+    out = near_copies(posts, hashes, max_hamming)
+    scratch.release(hashes)
+    return out
 
 
 def drop_near_duplicates(df: DataFrame, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b") -> DataFrame:
@@ -192,14 +216,15 @@ def cap_per_author(df: DataFrame, k: int, period: str, sources: list[str] | None
 
 def filtered_mentions(
     df: DataFrame, keys: DataFrame, author_rules: dict[str, dict], bots: dict | None, news: dict, floors: dict[str, float], source_weights: dict[str, float], cap: int, capped_sources: list[str] | None,
-    spam: list[str] = SPAM, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b", spread: Callable[[DataFrame], DataFrame] | None = None, by: list[str] = [],
+    spam: list[str] = SPAM, max_hamming: int = 3, min_words: int = 12, algorithm: str = "blake2b", spread: Callable[[DataFrame], DataFrame] | None = None, by: list[str] = [], consume: bool = False,
 ) -> DataFrame:
     """All filters over mention rows with ``block``, in their fixed order: reposts, near copies, spam, syndicated headlines, news
     quality, post weight, rows of weight factor 0, author cap per ticker and block. Adds ``weight`` and what it is made of.
 
     ``keys`` has one row per ticker with ``keys``, the forms of its name; ``news``: sources, kind_weights, off_topic_weight.
     ``spread`` may put a row into several groups ``by`` (each week whose window it lies in, which gives it its block), kept apart in
-    every step. Whatever is judged by a text is judged before that, once, and the texts stay behind.
+    every step. Whatever is judged by a text is judged before that, once, and the texts stay behind, and then the content hashes
+    as well. ``consume`` deletes ``df``, a scratch table, as soon as its texts are judged.
     """
     about_news = F.coalesce(F.col("source").isin(news["sources"]), F.lit(False))
     hashes = post_hashes(df, min_words, algorithm)
@@ -210,16 +235,26 @@ def filtered_mentions(
         "news_kind": F.when(about_news, headline_kind(F.col("title"), F.col("community"))),
         "_tm_named": F.when(about_news, mentions_name(F.col("ticker"), F.col("title"), F.col("body"), F.col("_tm_keys"))),
     })
-    marked = scratch.materialize(marked.drop("title", "body", "_tm_keys"), "marked")
-    rows = scratch.materialize(spread(marked), "mentions") if spread else marked
-    first = scratch.materialize(_first_per_key(rows, F.col("content_hash"), by), "firsts")
-    clean = first.join(near_copies(first, hashes, max_hamming, by), [*by, "post_id"], "left_anti").where(~F.col("_tm_spam")).select(first.columns)
+    judged = scratch.materialize(marked.withColumn("_tm_same", F.col("content_hash")).drop("title", "body", "_tm_keys", *["content_hash"] * bool(spread)), "judged")
+    scratch.release(names, *[df] * consume)
+    same = _shared_only(judged, "_tm_same")
+    scratch.release(judged)
+    marked = _shared_only(same, "_tm_head")
+    scratch.release(same)
+    rows = spread(marked) if spread else marked
+    first = scratch.materialize(_first_per_key(rows, F.col("_tm_same"), by).drop("_tm_same"), "firsts")
+    scratch.release(marked)
+    copies = near_copies(first, hashes, max_hamming, by)
+    clean = scratch.join_checked(first, copies, [*by, "post_id"], "left_anti", "ticker", FEW).where(~F.col("_tm_spam")).select(first.columns)
     clean = scratch.materialize(clean, "clean")
+    scratch.release(first, copies, hashes)
     df = _first_per_key(clean, F.col("_tm_head"), by)
     quality = lookup(F.col("news_kind"), news["kind_weights"], 1.0) * F.when(F.col("_tm_named"), 1.0).otherwise(news["off_topic_weight"])
     df = df.withColumn("quality", F.when(about_news, quality).otherwise(1.0)).drop("_tm_spam", "_tm_head", "_tm_named")
-    df = author_weights(scratch.materialize(df, "judged"), author_rules, bots, by)
+    judged = scratch.materialize(df, "judged")
+    scratch.release(clean)
+    df = author_weights(judged, author_rules, bots, by)
     df = df.withColumn("weight", post_weight(F.col("engagement"), F.col("source"), F.col("author_weight"), F.col("quality"), floors, source_weights))
     df = scratch.materialize(df.where(F.col("author_weight") * F.col("quality") > 0), "weighted")
-    scratch.release(first, clean)
+    scratch.release(judged)
     return cap_per_author(df, cap, "block", capped_sources, by=by)

@@ -94,8 +94,8 @@ def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filtered_mention_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same mentions after all noise filters, with post weights and the author cap. SimHash by md5, which SQL has too."""
-    rows = scratch.materialize(mentions_now(spark, sf_dir).drop("url"), "mentions")
-    return noise.filtered_mentions(rows, name_forms(spark, sf_dir), AUTHOR_RULES, BOTS, NEWS, FLOORS, SOURCE_WEIGHTS, AUTHOR_CAP, SOCIAL, algorithm="md5", spread=signals.spread_over_weeks, by=["week_start"])
+    rows = scratch.materialize(mentions_now(spark, sf_dir).drop("url", "collected_at", "label"), "mentions")
+    return noise.filtered_mentions(rows, name_forms(spark, sf_dir), AUTHOR_RULES, BOTS, NEWS, FLOORS, SOURCE_WEIGHTS, AUTHOR_CAP, SOCIAL, algorithm="md5", spread=signals.spread_over_weeks, by=["week_start"], consume=True)
 
 
 def _mean():
