@@ -143,3 +143,10 @@ def test_filters_leave_only_their_result(spark):
     news = {"sources": ["news"], "kind_weights": {}, "off_topic_weight": 0.3}
     spread = lambda df: signals.spread_over_weeks(df.drop("block"))
     assert left(spark, lambda: noise.filtered_mentions(frame(spark, data), keys, {}, None, news, {}, {}, 5, None, spread=spread, by=["week_start"])) == ["weighted"]
+
+
+def test_near_duplicates_leave_only_their_result(spark):
+    data = [{"post_id": f"p{i}", "body": " ".join(f"w{i % 3}x{k}" for k in range(20)), "created_at": T0 + timedelta(hours=i)} for i in range(9)]
+    found = []
+    assert left(spark, lambda: found.append(noise.near_duplicate_posts(frame(spark, data)))) == ["copies"]
+    assert {r.post_id for r in found[0].collect()} == {f"p{i}" for i in range(3, 9)}
