@@ -219,6 +219,19 @@ def test_json_feeds(spark, tmp_path):
     assert got == {"reddit:x": (3, False, None, 5), "reddit:z": (None, True, None, 5), "reddit:w": (None, True, None, 5)}
 
 
+def test_forum_documents_have_a_bounded_size(spark, tmp_path, monkeypatch):
+    """As many documents as the posts fill, however many communities there are."""
+    from tidemark.plans import sourced
+
+    rows = posts(spark, *[(f"p{i}", T0, "t", 1, None, None) for i in range(60)]).withColumn("community", F.concat(F.lit("c"), F.substring("id", -1, 1)))
+    rows.write.parquet(str(tmp_path / "posts.parquet"))
+    monkeypatch.setattr(sourced, "PAGE_POSTS", 20)
+    read, seen = sourced.feeds.forum_posts, []
+    monkeypatch.setattr(sourced.feeds, "forum_posts", lambda spark, path, *rest: seen.append(spark.read.option("wholetext", True).text(path).count()) or read(spark, path, *rest))
+    got = sourced.forum_listing(spark, str(tmp_path))
+    assert got.count() == 60 and seen == [3]
+
+
 def test_filings(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"0": dict(cik_str=5, ticker="BR-B", title="Bravo")}))
     assert rows(filings.read_symbols(spark, str(tmp_path / "m.json"))) == [("BR.B", 5, "Bravo")]
