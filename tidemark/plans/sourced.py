@@ -136,13 +136,15 @@ def forum_listing(spark, sf_dir):
     sub = F.struct("id", "title", F.col("body").alias("selftext"), F.col("author_id").alias("author"), seconds.cast("double").alias("created_utc"), F.col("e").alias("score"), F.lit(1).alias("num_comments"), F.concat(F.lit("/"), F.col("id")).alias("permalink"))
     person = F.struct(F.lit(1.7e9).alias("created_utc"), F.length("author_id").alias("link_karma"), F.lit(5).alias("comment_karma"), (F.length("author_id") % 4 == 0).alias("suspended"))
     # A document is a page of posts of any communities: neither do documents grow with the table, nor is there one for each community.
-    posts = scratch.materialize(posts, "forum-posts")
-    posts = posts.withColumn("page", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-posts.count() // PAGE_POSTS)))))
+    kept = scratch.materialize(posts, "forum-posts")
+    posts = kept.withColumn("page", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-kept.count() // PAGE_POSTS)))))
     lists = posts.groupBy("page", "community").agg(F.array_sort(F.collect_list(sub)).alias("s")).groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("community", "s"))).alias("s"))
     people = posts.where(F.col("author_id").isNotNull()).groupBy("page").agg(F.map_from_entries(F.collect_set(F.struct("author_id", person))).alias("a"))
     doc = F.struct(F.lit(0).cast("long").alias("collected_at"), F.col("a").alias("authors"), F.col("s").alias("subreddits"))
     out = scratch.new_path(spark, "forum")
-    lists.join(people, "page", "left").select("page", F.to_json(doc).alias("value")).repartition(20, "page").write.partitionBy("page").text(out)
+    lists.join(people, "page", "left").select("page", F.to_json(doc).alias("value")).repartition(20, "page").write.partitionBy("page").option("compression", "gzip").text(out)
+    scratch.release(kept)
+    scratch.tidy(spark)
     made = feeds.forum_posts(spark, f"{out}/*", SINCE, NOW, ["U1", "automod"])
     return made.select("id", "title", "community", "engagement", "author_karma", "author_age_days", F.col("body").isNull().alias("bodyless"))
 
