@@ -135,6 +135,19 @@ def test_scratch_join_beyond_the_broadcast_bound(spark):
         assert sorted(tuple(r) for r in scratch.join_checked(big, small, ["k"], "inner", "v", bound).collect()) == sorted((v % 7, v, v % 7 * 10) for v in range(500) if v % 7 < 5)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scratch_tables_are_broadcast_only_when_counted(spark):
+    """Their files are far under Spark's own threshold, but not so the rows, and sixteen copies of them."""
+    big, small = spark.range(1000).withColumn("v", F.col("id")), scratch.materialize(spark.range(500).withColumn("w", F.lit("x")))
+    assert "BroadcastHashJoin" not in plan(scratch.join_checked(big, small, ["id"], "inner", "v", 499))
+    assert "BroadcastHashJoin" in plan(scratch.join_checked(big, small, ["id"], "inner", "v", 500))
+    assert "BroadcastHashJoin" not in plan(big.join(small.groupBy("id").agg(F.max("w").alias("w")), "id"))
+    scratch.release(small)
+
+
 def test_scratch_tables_can_be_cleaned(spark, tmp_path):
     one = scratch.materialize(spark.range(3), path=str(tmp_path / "one"))
     scratch.materialize(spark.range(3), path=str(tmp_path / "two"))

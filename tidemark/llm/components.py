@@ -12,7 +12,7 @@ def _centred(links: DataFrame) -> DataFrame:
     """(u, v, m): each link with the least node among u and its neighbours. Minima are pre-aggregated, so a hub
     costs one row per task there; in the join back, adaptive execution splits a hub's partition."""
     least = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return links.join(least, "u")
+    return links.join(least.hint("merge"), "u")
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

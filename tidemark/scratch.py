@@ -32,11 +32,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str = "step", path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
+    """Write ``df`` to the shared folder and return a DataFrame that reads it back.
+
+    It is joined by sorted partitions unless it is broadcast by name: Spark would broadcast it by the bytes of its files, and these
+    are compressed and know nothing of the copies that an explode makes, so rows many times larger would come to the driver.
+    """
     path = path or new_path(df.sparkSession, name)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
     table._tm_path = path
     _written.add(path)
     tidy(df.sparkSession)
@@ -100,11 +104,11 @@ def join_checked(large: DataFrame, small: DataFrame, on: list[str], how: str, sp
     """Join a possibly skewed ``large`` side to a materialised ``small`` side with unique keys.
 
     ``small`` is counted first. Up to ``max_rows`` and ``BROADCAST_BYTES`` it is broadcast; beyond, each hot key of ``large`` is spread over
-    ``SALTS`` tasks by the hash of column ``spread`` and ``small`` is repeated once per salt.
+    ``SALTS`` tasks by the hash of column ``spread`` and ``small`` is repeated once per salt, and never broadcast.
     """
     size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size <= BROADCAST_BYTES and small.limit(max_rows + 1).count() <= max_rows:
         return large.join(F.broadcast(small), on, how)
     salted = large.withColumn("_tm_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
     copies = small.withColumn("_tm_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, [*on, "_tm_salt"], how).drop("_tm_salt")
+    return salted.join(copies.hint("merge"), [*on, "_tm_salt"], how).drop("_tm_salt")
