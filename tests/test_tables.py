@@ -148,6 +148,18 @@ def test_scratch_tables_are_broadcast_only_when_counted(spark):
     scratch.release(small)
 
 
+def test_stored_keys_are_broadcast_only_when_counted(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    row = lambda n, label: spark.range(n).select(F.col("id").cast("string").alias("post_id"), F.lit("A").alias("ticker"), F.lit("m").alias("model"), F.lit(label).alias("label"), F.lit(1.0).alias("score"), F.lit(None).cast("timestamp_ntz").alias("scored_at"))
+    store.insert_absent("post_scores", row(30, "old"))
+    store.upsert("post_scores", row(9, "new"), F.lit(0))
+    assert "BroadcastHashJoin" in plan(store.read("post_scores"))
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 8)
+    assert "BroadcastHashJoin" not in plan(store.read("post_scores"))
+    assert {r.label: r["count"] for r in store.read("post_scores").groupBy("label").count().collect()} == {"new": 9, "old": 21}
+    assert store.insert_absent("post_scores", row(40, "last")) == 10
+
+
 def test_scratch_tables_can_be_cleaned(spark, tmp_path):
     one = scratch.materialize(spark.range(3), path=str(tmp_path / "one"))
     scratch.materialize(spark.range(3), path=str(tmp_path / "two"))

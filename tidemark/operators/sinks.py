@@ -102,6 +102,8 @@ class Store:
         many = [p for p in manifest["parts"] if p["kind"] == "change"]
         if sum(p["rows"] for p in many) <= scratch.BROADCAST_ROWS and sum(p["bytes"] for p in many) <= scratch.BROADCAST_BYTES:
             keys = F.broadcast(keys)
+        else:
+            keys = keys.hint("merge")  # Spark would go by the compressed bytes
         changed = newest.where(~F.col("r._tm_gone")).select("r.*").select(columns)
         return changed if plain is None else plain.join(keys, key, "left_anti").select(columns).unionByName(changed)
 
