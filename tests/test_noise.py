@@ -150,3 +150,10 @@ def test_near_duplicates_leave_only_their_result(spark):
     found = []
     assert left(spark, lambda: found.append(noise.near_duplicate_posts(frame(spark, data)))) == ["copies"]
     assert {r.post_id for r in found[0].collect()} == {f"p{i}" for i in range(3, 9)}
+
+
+def test_entries_of_hashes_are_not_broadcast(spark):
+    """Twenty rows for each hash, of which Spark knows nothing when it takes the table for a small one."""
+    pairs = noise.similar_hash_pairs(spark.createDataFrame([(0,), (7,), (15,)], "h long"), "h", 3)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert rows(pairs) == [(0, 7), (7, 15)]

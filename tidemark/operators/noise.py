@@ -92,7 +92,8 @@ def similar_hash_pairs(hashes: DataFrame, column: str, max_hamming: int, pieces:
 
     Two such hashes agree in all but ``max_hamming`` of ``pieces`` slices, so they share one combination of the rest.
     More pieces make longer keys: with 6 and a distance of 3 a key has 32 bits, so buckets stay small at any size
-    that matters, for 20 entries a hash; with 4 it has 16 bits and 4 entries.
+    that matters, for 20 entries a hash; with 4 it has 16 bits and 4 entries. Never broadcast: Spark takes the entries for
+    as few as the hashes.
     """
     pieces = pieces or max_hamming + 3
     width = 64 // pieces
@@ -102,7 +103,7 @@ def similar_hash_pairs(hashes: DataFrame, column: str, max_hamming: int, pieces:
     keys = [F.struct(F.lit(n).alias("band"), F.xxhash64(*[slices[i] for i in keep]).alias("key")) for n, keep in enumerate(combinations(range(pieces), pieces - max_hamming))]
     entries = hashes.select(h.alias("h")).distinct().select("h", F.explode(F.array(*keys)).alias("e")).select("h", "e.band", "e.key")
     a, b = entries.withColumnRenamed("h", "x"), entries.withColumnRenamed("h", "y")
-    near = a.join(b, ["band", "key"]).where((F.col("x") < F.col("y")) & (hamming(F.col("x"), F.col("y")) <= max_hamming))
+    near = a.join(b.hint("merge"), ["band", "key"]).where((F.col("x") < F.col("y")) & (hamming(F.col("x"), F.col("y")) <= max_hamming))
     return near.select("x", "y").distinct()
 
 
