@@ -219,3 +219,12 @@ def test_word_model_on_held_out_texts(spark):
     assert len(odd) == 4 and odd[4] == "pos"
     empty = scoring.WordModel.train(frame.limit(0), "text", "label")
     assert empty.apply(frame.limit(2), "id", "text").count() == 2 and empty.apply(frame.limit(0), "id", "text").count() == 0
+
+
+def test_mentions_are_not_broadcast(spark):
+    posts = spark.createDataFrame([("p", datetime(2025, 5, 1))], "id string, created_at timestamp_ntz")
+    tickers = spark.createDataFrame([("p", "A", 0.9), ("p", "B", 0.1), ("q", "A", 0.9)], "post_id string, ticker string, confidence double")
+    scores = spark.createDataFrame([("p", "A", "m", "pos", 0.5, datetime(2025, 5, 1))], "post_id string, ticker string, model string, label string, score double, scored_at timestamp_ntz")
+    out = signals.load_mentions(posts, tickers, scores, ["m"], datetime(2025, 5, 1), datetime(2025, 5, 2), 0.5)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out) == [("p", "A", datetime(2025, 5, 1), "pos", 0.5)]

@@ -27,10 +27,10 @@ def load_mentions(posts: DataFrame, tickers: DataFrame, scores: DataFrame, model
     stamp = lambda t: F.lit(t).cast("timestamp_ntz")
     window = posts.where((F.col("created_at") >= stamp(start)) & (F.col("created_at") < stamp(end))).withColumnRenamed("id", "post_id")
     sure = tickers.where(F.col("confidence") >= min_confidence).select("post_id", "ticker")
-    # Scores meet the tickers first, so that the texts move once.
-    scored = sure.join(effective_scores(scores, models), ["post_id", "ticker"], "left")
+    # Scores meet the tickers first, so that the texts move once. All three grow with the posts, so none is broadcast by the bytes of its files.
+    scored = sure.join(effective_scores(scores, models).hint("merge"), ["post_id", "ticker"], "left")
     rest = [c for c in window.columns if c != "post_id"]
-    return window.join(scored, "post_id").select("post_id", "ticker", *rest, "label", "score")
+    return window.join(scored.hint("merge"), "post_id").select("post_id", "ticker", *rest, "label", "score")
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
