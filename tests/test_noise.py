@@ -154,6 +154,6 @@ def test_near_duplicates_leave_only_their_result(spark):
 
 def test_entries_of_hashes_are_not_broadcast(spark):
     """Twenty rows for each hash, of which Spark knows nothing when it takes the table for a small one."""
-    pairs = noise.similar_hash_pairs(spark.createDataFrame([(0,), (7,), (15,)], "h long"), "h", 3)
+    pairs = noise.similar_hash_pairs(spark.sql("SELECT * FROM VALUES (0L), (7L), (15L) AS t(h)"), "h", 3)
     assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert rows(pairs) == [(0, 7), (7, 15)]

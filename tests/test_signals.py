@@ -222,9 +222,10 @@ def test_word_model_on_held_out_texts(spark):
 
 
 def test_mentions_are_not_broadcast(spark):
-    posts = spark.createDataFrame([("p", datetime(2025, 5, 1))], "id string, created_at timestamp_ntz")
-    tickers = spark.createDataFrame([("p", "A", 0.9), ("p", "B", 0.1), ("q", "A", 0.9)], "post_id string, ticker string, confidence double")
-    scores = spark.createDataFrame([("p", "A", "m", "pos", 0.5, datetime(2025, 5, 1))], "post_id string, ticker string, model string, label string, score double, scored_at timestamp_ntz")
+    values = lambda data, names: spark.sql(f"SELECT * FROM VALUES {data} AS t({names})")
+    posts = values("('p', TIMESTAMP_NTZ'2025-05-01')", "id, created_at")
+    tickers = values("('p', 'A', 0.9D), ('p', 'B', 0.1D), ('q', 'A', 0.9D)", "post_id, ticker, confidence")
+    scores = values("('p', 'A', 'm', 'pos', 0.5D, TIMESTAMP_NTZ'2025-05-01')", "post_id, ticker, model, label, score, scored_at")
     out = signals.load_mentions(posts, tickers, scores, ["m"], datetime(2025, 5, 1), datetime(2025, 5, 2), 0.5)
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert rows(out) == [("p", "A", datetime(2025, 5, 1), "pos", 0.5)]
