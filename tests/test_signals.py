@@ -229,3 +229,14 @@ def test_mentions_are_not_broadcast(spark):
     out = signals.load_mentions(posts, tickers, scores, ["m"], datetime(2025, 5, 1), datetime(2025, 5, 2), 0.5)
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert rows(out) == [("p", "A", datetime(2025, 5, 1), "pos", 0.5)]
+
+
+def test_context_is_not_broadcast(spark):
+    values = lambda data, names: spark.sql(f"SELECT * FROM VALUES {data} AS t({names})")
+    signal = values("(DATE'2025-05-12', 'A', 1D, 1D), (DATE'2025-05-12', 'B', 0D, 0D)", "week_start, ticker, composite_bull, composite_bear")
+    bars = values("('A', DATE'2025-05-15', 2D, 5L), ('A', DATE'2025-05-16', 3D, 6L)", "ticker, date, close, volume")
+    buys = values("('B', DATE'2025-05-16', 1)", "ticker, filing_date, purchase_count")
+    filings = values("('A', '8-K', DATE'2025-05-13', TIMESTAMP_NTZ'2025-05-13', '4.01')", "ticker, form, filing_date, accepted_at, items")
+    out = market.with_context(signal, bars, buys, filings, ["8-K"]).select("ticker", "insider_buy_flag", "events", "red_flag")
+    assert rows(out) == [("A", False, "Red flag: Auditor change", True), ("B", True, None, False)]
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()

@@ -160,18 +160,18 @@ def with_context(signals: DataFrame, bars: DataFrame, purchases: DataFrame | Non
     ranks: returns and volume, early_chatter_flag, insider_buy_flag, events and red_flag.
 
     Without ``purchases`` (insider filings) or ``filings`` (SEC) their columns are NULL, as nothing is known; with them, tickers that have
-    none get false.
+    none get false. Nothing is broadcast: Spark goes by the compressed bytes of the bars and filings, and the labels are made later.
     """
     key = ["week_start", "ticker"]
-    out = signals.join(weekly_context(bars), key, "left")
+    out = signals.join(weekly_context(bars).hint("merge"), key, "left")
     out = early_chatter(out, ["week_start"], **limits)
     no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     if purchases is None:
         out = out.withColumn("insider_buy_flag", F.lit(None).cast("boolean"))
     else:
-        out = out.join(purchases_within(purchases, lookback_days), key, "left").withColumn("insider_buy_flag", no("insider_buy_flag"))
+        out = out.join(purchases_within(purchases, lookback_days).hint("merge"), key, "left").withColumn("insider_buy_flag", no("insider_buy_flag"))
     if filings is None:
         return out.withColumns({"events": F.lit(None).cast("string"), "red_flag": F.lit(None).cast("boolean")})
     at = F.coalesce(F.col("accepted_at"), F.col("filing_date").cast("timestamp_ntz"))
     known = filings.where(F.col("form").isin(forms) & at.isNotNull()).withColumn("week_start", week_start_of(at))
-    return out.join(event_labels(known, ["ticker", "week_start"]), key, "left").withColumn("red_flag", no("red_flag"))
+    return out.join(event_labels(known, ["ticker", "week_start"]).hint("merge"), key, "left").withColumn("red_flag", no("red_flag"))
